@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.chat_tree import conversation_digests, format_conversations, prefix_tree, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = format_conversations(rows)
+    return conversation_digests(read_back(formatted, prefix_tree(formatted)))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipweave.llm.near_dedup import near_duplicates
 
@@ -23,16 +34,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.bpe import encode
+
+    out = encode(_read(spark, sf_dir, "documents"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipweave.llm.mixing import mix
 
     return mix(_read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.top_k import top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe_transducer": op4_bpe_transducer,
     "op7_source_mixing": op7_source_mixing,
+    "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -44,4 +72,12 @@ ORACLE_SQL: dict[str, str] = {
               FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
     """,
+    "op8_bit_sliced_top_k": """
+        WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
 }
