@@ -48,6 +48,16 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.language_id import identify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    fold = lambda c: F.crc32(F.col(c).cast("string")) % 3
+    identifier = train(docs.where(fold("doc_id") != 1).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), identifier)
+    return out.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipweave.llm.mixing import mix
 
@@ -60,14 +70,37 @@ def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.quality import features, score, train
+    from clipweave.llm.shared import materialize
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    stats = materialize(features(_read(spark, sf_dir, "documents").select("doc_id", "text")), "quality_stats")
+    ensemble = train(stats, _read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality"))
+    return score(stats, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+#: op10's rules, fixed by its contract.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.url_templates import filter_urls
+
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op5_warc_segments": op5_warc_segments,
+    "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_url_templates": op10_url_templates,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
