@@ -11,7 +11,7 @@ from clipweave.operators.intervals import islands
 
 EPS = 1e-9
 #: A clip's legal length in seconds, with a millisecond of tolerance; lengths within PREFERRED weigh most.
-SHORTEST, LONGEST, TOLERANCE, PREFERRED = 3.0, 15.0, 0.001, (6.0, 8.0)
+SHORTEST, LONGEST, TOLERANCE, PREFERRED, TARGET = 3.0, 15.0, 0.001, (6.0, 8.0), 8.0
 
 
 def quiet_score(prob: Column, rms: Column) -> Column:
@@ -46,14 +46,15 @@ def dedupe_cutpoints(cuts: DataFrame, recording: str, buffer: str, id_col: str)
     """Of cuts of a recording at one millisecond the best, with what supports it: n_support, mean_score, max_score."""
     ms = F.bround(F.col("time") * 1000, 0).cast("bigint")
     best = F.struct("score", (-F.length(F.col(buffer).cast("string"))).alias("len"), F.col(buffer), F.col(id_col))
-    g = cuts.groupBy(F.col(recording), ms.alias("ms")).agg(F.max_by(F.struct(*cuts.columns), best).alias("r"), F.count(F.lit(1)).alias("n_support"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"))
+    g = cuts.groupBy(F.col(recording), ms.alias("ms")).agg(F.max_by(F.struct(*cuts.columns), best).alias("r"), F.count(F.lit(1)).alias("n_support"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
     return g.select("r.*", "n_support", "mean_score", "max_score")
 
 
 def clip_weight(seconds: Column) -> Column:
-    """The weight of a clip by length: most from 6 to 8 seconds, falling off on both sides."""
+    """The weight of a clip by length: most from 6 to 8 seconds."""
     low, high = PREFERRED
-    return F.when(seconds.between(low, high), 1.0).when(seconds < low, 1.0 - 0.15 * (low - seconds)).otherwise(1.0 - 0.08 * (seconds - high))
+    longer = 6.5 - F.greatest(F.lit(0.0), seconds - 9.0)
+    return F.when(seconds.between(low, high), 10.0 - (TARGET - seconds) * 1.5).when(seconds > high, longer).otherwise(seconds / SHORTEST)
 
 
 def legal_pairs(cuts: DataFrame, keys: list[str], shortest: float = SHORTEST, longest: float = LONGEST) -> DataFrame:
@@ -67,7 +68,7 @@ def legal_pairs(cuts: DataFrame, keys: list[str], shortest: float = SHORTEST, lo
     a = a.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1, F.col("_b") + 2)))
     near = (F.col("end") - F.col("start") >= shortest - TOLERANCE) & (F.col("end") - F.col("start") <= longest + TOLERANCE)
     out = a.join(b, [*keys, "_b"]).where(near).drop("_b")
-    return out.withColumn("seconds", F.round(F.col("end") - F.col("start"), 6)).withColumn("weight", F.round(clip_weight(F.col("seconds")), 6))
+    return out.withColumn("seconds", F.round(F.col("end") - F.col("start"), 6)).withColumn("weight", F.round(clip_weight(F.col("seconds")), 7))
 
 
 def nearest_target_pairs(cuts: DataFrame, keys: list[str], target: float, shortest: float, longest: float, stride: int = 1) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clipweave.plans import intervals, qc
+from clipweave.plans import intervals, qc, slicer, text, vectors
 from clipweave.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = qc.qc_finalize_clips
 
-__all__ = ["intervals", "FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+__all__ = ["intervals", "slicer", "text", "vectors", "FLAGSHIP", "ORACLE_SQL", "QUERIES"]
