@@ -71,9 +71,9 @@ _RANK = """s AS (SELECT d.lang, l.quality AS y, (d.n_chars % 997)::DOUBLE AS s F
     f"""WITH {_RANK}, pr AS (SELECT a.lang, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM s a JOIN s b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY a.lang),
     c AS (SELECT lang, s, sum(y) AS pos, count(*) AS m, any_value(p) AS p, any_value(n) AS n FROM t GROUP BY lang, s),
     w AS (SELECT *, sum(pos) OVER d AS tp, sum(m) OVER d AS seen FROM c WINDOW d AS (PARTITION BY lang ORDER BY s DESC)),
-    f AS (SELECT lang, max(n) AS n, round(max(p) / max(n)::DOUBLE, 6) AS prevalence, round(sum(tp / seen::DOUBLE * pos) / max(p), 6) AS ap,
-                 round(arg_max((seen - tp) / (n - p)::DOUBLE, s) FILTER (tp >= 0.5 * p), 6) AS fpr_at_50, round(arg_max((seen - tp) / (n - p)::DOUBLE, s) FILTER (tp >= 0.8 * p), 6) AS fpr_at_80 FROM w GROUP BY lang)
-    SELECT f.lang, n::BIGINT AS n, prevalence, round(auc, 6)::DOUBLE AS auc, ap, fpr_at_50, fpr_at_80 FROM f JOIN pr USING (lang)"""
+    f AS (SELECT lang, max(n) AS n, round(max(p) / max(n)::DOUBLE, 6) AS prevalence, CASE WHEN max(p) > 0 AND max(p) < max(n) THEN round(sum(tp / seen::DOUBLE * pos) / max(p), 6) END AS ap,
+                 CASE WHEN max(p) > 0 AND max(p) < max(n) THEN round(arg_max((seen - tp) / nullif(n - p, 0)::DOUBLE, s) FILTER (tp >= 0.5 * p), 6) END AS fpr_at_50, CASE WHEN max(p) > 0 AND max(p) < max(n) THEN round(arg_max((seen - tp) / nullif(n - p, 0)::DOUBLE, s) FILTER (tp >= 0.8 * p), 6) END AS fpr_at_80 FROM w GROUP BY lang)
+    SELECT f.lang, n::BIGINT AS n, prevalence, round(auc, 6)::DOUBLE AS auc, ap, fpr_at_50, fpr_at_80 FROM f LEFT JOIN pr USING (lang)"""
 )
 def auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

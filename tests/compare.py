@@ -9,7 +9,7 @@ import duckdb
 
 
 def cell(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return None
     if isinstance(v, bool):
         return str(v)
