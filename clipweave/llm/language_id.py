@@ -27,7 +27,7 @@ _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 ORDER = 4
 #: Of labelled rows, so many per language are expected to be counted at most; they are chosen by a hash of the id.
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 600
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +86,7 @@ class Models:
 
     def __init__(self, counts: pd.DataFrame, order: int):
         self.order = order
-        self.langs = sorted(counts["lang"].unique())
+        self.langs = sorted(map(str, counts["lang"].unique()))
         k = len(self.langs)
         self.grams, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
         tables = {n: counts[counts["n"] == n] for n in range(1, order + 1)}
@@ -207,7 +207,7 @@ def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS,
     share = F.least(F.lit(0.5), F.lit(float(train_rows)) / F.col("count"))
     drawn = rows.join(F.broadcast(sizes), "lang").withColumn("draw", draw)  # one row per language
     counts = drawn.where(F.col("draw") < share).select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, context long, suffix long, count long")
-    counts = counts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count")).toPandas()
+    counts = counts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count")).toArrow().to_pandas(categories=["lang"])
     if not len(counts) or not (counts["n"] == order).any():
         return None
     found = Identifier(counts, order)
