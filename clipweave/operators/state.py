@@ -94,25 +94,33 @@ def processing_state(active: Column, latest_failed: Column, alignment: Column, t
     )
 
 
-def failure_code(stage: Column, message: Column) -> Column:
-    """The reason code of a failed stage, by the first rule that fits."""
-    has = lambda *texts: F.coalesce(F.lit(False) if not texts else _any(*[message.contains(t) for t in texts]), F.lit(False))
-    diar, tq = stage == "diarization", stage == "transcript_qc"
-    return (
-        F.when((stage == "audio_variants") & F.lower(message).contains("ffmpeg"), "audio_variant_materialization_failed")
-        .when(diar & has("Silero VAD dependencies are unavailable"), "missing_silero_vad_dependency").when(diar & has("pyannote.audio is unavailable"), "missing_pyannote_dependency")
-        .when(diar & has("local model path is missing", "snapshot is missing", "snapshot is incomplete", "Failed to load"), "missing_diarization_model").when(diar, "diarization_failed")
-        .when(stage == "buffers", "processing_buffer_build_failed").when(stage == "candidate_review_clips", "candidate_review_clip_assembly_failed")
-        .when(tq & has("ASR dependencies are unavailable"), "missing_asr_dependency").when(tq & has("ASR model load timed out"), "asr_model_load_timeout")
-        .when(tq & has("ASR transcription timed out"), "asr_transcription_timeout").when(tq & (has("Hub", "snapshot") | F.lower(message).contains("model")), "asr_model_unavailable")
-        .when(tq, "transcript_qc_failed").when(stage == "speaker_purity", "speaker_purity_failed").when(stage == "native_export", "native_export_failed").otherwise("dataset_worker_failed")
-    )
+#: Failures by stage, the texts of which one is in the message (any message, if none), and the reason code. The first that fits counts.
+FAILURES = [
+    ("audio_variants", ["ffmpeg"], "audio_variant_materialization_failed"),
+    ("diarization", ["silero vad dependencies are unavailable"], "missing_silero_vad_dependency"),
+    ("diarization", ["pyannote.audio is unavailable"], "missing_pyannote_dependency"),
+    ("diarization", ["local model path is missing", "snapshot is missing", "snapshot is incomplete", "failed to load"], "missing_diarization_model"),
+    ("diarization", [], "diarization_failed"),
+    ("buffers", [], "processing_buffer_build_failed"),
+    ("candidate_review_clips", [], "candidate_review_clip_assembly_failed"),
+    ("transcript_qc", ["asr dependencies are unavailable"], "missing_asr_dependency"),
+    ("transcript_qc", ["asr model load timed out"], "asr_model_load_timeout"),
+    ("transcript_qc", ["asr transcription timed out"], "asr_transcription_timeout"),
+    ("transcript_qc", ["hub", "snapshot", "model"], "asr_model_unavailable"),
+    ("transcript_qc", [], "transcript_qc_failed"),
+    ("speaker_purity", [], "speaker_purity_failed"),
+    ("native_export", [], "native_export_failed"),
+]
 
 
-def _any(*conditions: Column) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out |= c
+def failure_code(stage: Column, message: Column) -> Column:
+    """The reason code of a failed stage, whatever the case of its message."""
+    out = F.lit("dataset_worker_failed")
+    for name, texts, code in reversed(FAILURES):
+        fits = stage == name
+        if texts:
+            fits &= F.coalesce(F.lower(message), F.lit("")).rlike("|".join(t.replace(".", "[.]") for t in texts))
+        out = F.when(fits, code).otherwise(out)
     return out
 
 

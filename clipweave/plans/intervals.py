@@ -141,7 +141,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     dur = F.lit(0.2) + F.lit(0.01) * F.length("word")
     c = c.withColumn("dur", dur).withColumn("step", dur + F.when((F.col("pos") + F.col("turn")) % 7 == 6, 0.6).otherwise(0.02))
     before = F.coalesce(F.sum("step").over(iv.Window.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(iv.Window.unboundedPreceding, -1)), F.lit(0.0))
-    return c.select("conv_id", "turn", "pos", "word", F.round(before, 6).alias("start"), F.round(before + F.col("dur"), 6).alias("end"))
+    return c.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "word", F.round(before, 6).alias("start"), F.round(before + F.col("dur"), 6).alias("end"))
 
 
 @query(
