@@ -53,6 +53,20 @@ def signal_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("vec_id", F.round(signal.spectral_centroid(F.col("x"), F.lit(16000.0)), 6).alias("centroid"), F.round(signal.pitch(F.col("x"), F.lit(4000.0)), 6).alias("pitch"), signal.choose_channel(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("channel"))
 
 
+@query()
+def acoustic_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """28 values per clip; an embedding's values over and over stand for 0.2 s of samples."""
+    x = _x(spark, sf_dir).select("vec_id", F.flatten(F.array_repeat("x", 25)).alias("x"))
+    s = x.select("vec_id", signal.signature(F.col("x"), 8000).alias("s"))
+    return s.select("vec_id", *[F.round(F.col("s")[k], 6).alias(f"s{k}") for k in range(28)])
+
+
+@query()
+def gap_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir).select("vec_id", F.flatten(F.array_repeat(F.transform("x", lambda v: v * 0.1), 25)).alias("x"))
+    return x.select("vec_id", signal.breath(F.col("x"), 8000).alias("breath"), F.size(signal.energised(F.col("x"), 80, 40, F.lit(0.4))).alias("energised"), F.round(signal.spectral_flatness(F.col("x")), 6).alias("flatness"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return jobs.events(spark, sf_dir, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

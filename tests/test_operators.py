@@ -191,3 +191,10 @@ def test_signal(spark):
         signal.correlation(F.col("c"), F.col("c")).alias("k"), signal.choose_channel(F.col("x"), F.transform("x", lambda v: v * 0.0)).alias("ch"),
     ).first()
     assert r.p == pytest.approx(200, rel=0.03) and r.f == pytest.approx(200, rel=0.05) and r.l == pytest.approx(0.7071, abs=1e-3) and r.n == 400 and r.k == 1.0 and r.ch == "left"
+
+
+def test_signature(spark):
+    x = [float(0.5 * np.sin(2 * np.pi * 200 * i / 8000)) for i in range(4000)]
+    r = table(spark, [(x, [0.0] * 2000, [])], "x array<double>, z array<double>, e array<double>").select(signal.signature(F.col("x"), 8000).alias("s"), signal.signature(F.col("z"), 8000).alias("z"), signal.signature(F.col("e"), 8000).alias("e"), signal.spectral_flatness("x").alias("f")).first()
+    assert len(r.s) == 28 and r.s[0] == pytest.approx(0.3536, abs=1e-3) and r.s[4] == pytest.approx(0.5) and r.s[3] == pytest.approx(0.05, abs=2e-3)
+    assert r.s[7] == pytest.approx(200, rel=0.05) and r.f < 0.1 and set(r.z) == {0.0} and set(r.e) == {0.0}
