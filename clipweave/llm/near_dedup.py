@@ -7,8 +7,8 @@ sets of Jaccard similarity s share a child with probability s per branch. With 1
 common children of a pair at 0.75 is over one, and the chance that it is split up for good is a fixed recursion, from
 which the number of trees follows for the recall asked for. Nodes of one set end; small nodes are compared exhaustively,
 first on signatures with a wide margin, then on full sets; only links confirmed on full sets count. A node still large at
-the last level (sets that are nearly alike) is cut in blocks; each block also gets the node's pivots. Then every member
-outside the node's main component is compared with every block, so no link between components of such a node is
+the last level (sets that are nearly alike) is cut in blocks; each block also gets some of the node's members as pivots. Then every
+member outside the node's main component is compared with every block, so no link between components of such a node is
 missed. Groups emit a spanning forest of their links, never all pairs, and a forest's components are found by alternating
 large-star and small-star steps.
 
@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.llm.components import connected_components
@@ -106,24 +106,43 @@ def trees_for(recall: float, levels: int, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost_after(levels, similarity))))
 
 
+def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The one or two children of each row's node that the row goes to: (child, row)."""
+    rows = np.arange(len(node))
+    out_node, out_row = [], []
+    for branch in (0, 1):
+        pick = _mix(node + np.uint64(branch + 1))
+        go = rows if branch == 0 else rows[(_mix(node) & np.uint64(1)) == 1]
+        value = sig[go, (pick[go] % np.uint64(SIGNATURE)).astype(np.int64)].astype(np.uint64)
+        out_node.append(_mix(pick[go] ^ _mix(value + np.uint64(0x51ED270B))))
+        out_row.append(go)
+    return np.concatenate(out_node), np.concatenate(out_row)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+
+
+def _plant(trees: range) -> Callable:
+    """(rep, label, sig) to the children of the roots of all ``trees``: (node, rep, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _signatures(b.column(2))
+            for t in trees:
+                root = _mix(np.full(b.num_rows, t + 1, np.uint64))
+                node, row = _children(root, sig)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (0, 1))], ["node", "rep", "label"])
+
+    return run
+
+
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep, sig) to the rows of the node's one or two children."""
+    """(node, rep, label, sig) to the rows of the node's children: (node, rep, label)."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        node = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-        rows = np.arange(len(node))
-        out_node, out_row = [], []
-        for branch in (0, 1):
-            pick = _mix(node + np.uint64(branch + 1))
-            go = rows if branch == 0 else rows[(_mix(node) & np.uint64(1)) == 1]
-            at = (pick[go] % np.uint64(SIGNATURE)).astype(np.int64)
-            value = sig[go, at].astype(np.uint64)
-            out_node.append(_mix(pick[go] ^ _mix(value + np.uint64(0x51ED270B))))
-            out_row.append(go)
-        take = pa.array(np.concatenate(out_row))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node).view(np.int64)), b.column(1).take(take), b.column(2).take(take)], ["node", "rep", "sig"])
+        if b.num_rows:
+            node, row = _children(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _signatures(b.column(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (1, 2))], ["node", "rep", "label"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -162,26 +181,30 @@ def _roots(n: int) -> tuple[list[int], Callable[[int], int]]:
 
 
 def _alike(margin: float) -> Callable:
-    """Members of a small node that look alike by signature, as clusters named by their members: (group, rep)."""
+    """Members of a small node (node, rep, sig, label) that look alike by signature, as clusters named by their members: (grp, rep).
+
+    Only pairs that aren't known to be of one component, by their labels, count.
+    """
     least = math.ceil(margin * SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_g, out_r, seen = [], [], set()
-        for _, (reps, sigs) in _groups(batches):
+        for _, (reps, sigs, labels) in _groups(batches):
             n = len(reps)
-            if n > 1:
+            if n > 1 and len(set(labels)) > 1:
                 s = np.frombuffer(b"".join(sigs), np.uint32).reshape(n, SIGNATURE)
+                known = np.unique(labels, return_inverse=True)[1]
                 up, root = _roots(n)
                 for i in range(n - 1):
-                    for j in np.flatnonzero((s[i + 1 :] == s[i]).sum(1) >= least) + i + 1:
+                    for j in np.flatnonzero(((s[i + 1 :] == s[i]).sum(1) >= least) & (known[i + 1 :] != known[i])) + i + 1:
                         a, c = root(i), root(int(j))
                         up[max(a, c)] = min(a, c)
                 clusters: dict[int, list[int]] = {}
                 for i in range(n):
-                    clusters.setdefault(root(i), []).append(reps[i])
-                for c in clusters.values():
-                    if len(c) > 1:
-                        c.sort()
+                    clusters.setdefault(root(i), []).append(i)
+                for members in clusters.values():
+                    if len(members) > 1:
+                        c = sorted(reps[i] for i in members)
                         name = xxhash.xxh3_64_intdigest(np.array(c, np.int64).tobytes()) - (1 << 63)
                         if name not in seen:  # the same cluster comes from most trees
                             if len(seen) > 200_000:
@@ -255,82 +278,128 @@ def _pack(n: int) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, recall: float = 0.9999, levels: int = 4, small: int = 96, pivots: int = 8, margin: float = 0.5) -> DataFrame:
+def _grow(classes: DataFrame, trees: range, levels: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes of several sets, and nodes still large at the last level, as rows (node, rep, label). Rows stay narrow: signatures are joined on to branch.
+
+    ``classes``: rep, label, sig. A node whose sets are all known to be of one component, by their labels, ends there.
+    """
+    rows = "node long, rep long, label long"
+    children = classes.select("rep", "label", "sig").mapInArrow(_plant(trees), rows)
+    leaves, name = None, f"near_{trees.start}"
+    for level in range(levels):
+        children = materialize(children, f"{name}_level_{level}")
+        counts = materialize(children.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high"), f"{name}_counts_{level}")
+        here = children.join(counts.where(F.col("members") <= small).select("node"), "node")
+        leaves = here if leaves is None else leaves.unionByName(here)
+        large = counts.where(F.col("members") > small).select("node")
+        if large.isEmpty():
+            return leaves, None
+        children = children.join(large, "node")
+        if level < levels - 1:
+            children = children.join(classes.select("rep", "sig"), "rep").select("node", "rep", "label", "sig").mapInArrow(_branch, rows)
+    return leaves, materialize(children, f"{name}_dense")
+
+
+def only(rows: DataFrame, id_col: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
+    """``rows`` that may be among ``wanted`` (one column): a filter in front of a join that spares it most of a large table.
+
+    A bitmap of 2**bits hashed ids is gathered as words of 32 bits, so what is broadcast has 2**(bits - 5) rows at most,
+    whatever the data; where ``wanted`` fills it up, it only filters less.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    at = slot(wanted.columns[0])
+    words = wanted.select((at / 32).cast("int").alias("word"), F.expr("1L").alias("one"), (at % 32).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask"))
+    here = slot(F.col(id_col))
+    return rows.withColumn("_slot", here).join(F.broadcast(words), (F.col("_slot") / 32).cast("int") == F.col("word")).where(F.expr("(mask & shiftleft(1L, cast(_slot % 32 as int))) <> 0")).select(*rows.columns)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, recall: float = 0.9999, levels: int = 4, small: int = 128, pivots: int = 8, margin: float = 0.5) -> DataFrame:
     """One row per doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     ``small``: nodes of so many sets at most are compared exhaustively. ``margin``: signatures that agree in a smaller
-    share are not compared in full; at 0.5 a pair at 0.75 falls below it once in several hundred thousand.
+    share are not compared in full; at 0.5 a pair at 0.75 falls below it once in several hundred thousand. The first two
+    trees find most components; the other trees are then spared every comparison within a component.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = materialize(texts.mapInArrow(_sketch(n), "doc_id long, n_shingles long, digest binary, sig binary"), "near_sketch")
-    # A doc_id on several rows: the union's signature is the coordinate-wise minimum; its set is read again from the rows.
+    sketch = "doc_id long, n_shingles long, digest binary, sig binary"
+    raw = materialize(texts.mapInArrow(_sketch(n), sketch), "near_sketch")
     repeated = raw.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         again = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
-        again = materialize(again.mapInArrow(_sketch(n), "doc_id long, n_shingles long, digest binary, sig binary"), "near_repeats")
-        raw = raw.join(repeated, "doc_id", "left_anti").unionByName(again)
-    found = raw.where(F.col("digest").isNotNull())
+        raw = raw.join(repeated, "doc_id", "left_anti").unionByName(materialize(again.mapInArrow(_sketch(n), sketch), "near_repeats"))
+    found = raw.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "near_classes")
 
-    trees = trees_for(recall, levels, percent / 100)
-    root = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t)))
-    rows = classes.where(F.col("rep").isNotNull()).select(root.alias("node"), "rep", "sig")
-    leaves, big = [], None
-    for level in range(levels):
-        # A set may come to one child by both branches.
-        children = materialize(rows.mapInArrow(_branch, "node long, rep long, sig binary"), f"near_level_{level}")
-        counts = children.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        counts = materialize(counts, f"near_counts_{level}")
-        leaves.append(children.join(counts.where(F.col("members") <= small).select("node"), "node"))
-        rows = children.join(counts.where(F.col("members") > small).select("node"), "node")
-        if counts.where(F.col("members") > small).isEmpty():
-            break
-    else:
-        big = rows
-    small_nodes = leaves[0]
-    for x in leaves[1:]:
-        small_nodes = small_nodes.unionByName(x)
-    alike = small_nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(margin), "grp long, rep long")
-    members = materialize(alike.distinct(), "near_groups")
-    blocks = None
-    if big is not None:
-        width = small
-        sized = materialize(big.select("node", "rep").distinct(), "near_big")
-        n_of = sized.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("rep", "node"), F.lit(64)) == 0, F.col("rep")))).alias("some"), F.min("rep").alias("least"))
-        n_of = n_of.select("node", "members", F.concat(F.slice("some", 1, pivots), F.array("least")).alias("pivots"))
-        n_of = materialize(n_of, "near_big_nodes")
-        blocks = sized.join(n_of.select("node", F.ceil(F.col("members") / width).alias("n_blocks")), "node")
-        blocks = materialize(blocks.select("node", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).alias("block"), "rep", "n_blocks"), "near_blocks")
-        name = F.xxhash64("node", "block", F.lit("block"))
-        guests = blocks.select("node", "block").distinct().join(n_of.select("node", F.explode("pivots").alias("rep")), "node")
-        dense = blocks.select(name.alias("grp"), "rep").unionByName(guests.select(name.alias("grp"), "rep")).distinct()
-        members = members.unionByName(dense)
-
     def confirmed(groups: DataFrame, label: str) -> DataFrame:
         """Links on full sets among the members of each group (grp, rep)."""
-        needed = groups.select("rep").distinct()
-        full = texts.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+        needed = materialize(groups.select("rep").distinct(), f"{label}_needed")
+        full = only(texts, "doc_id", needed).join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
         packed = full.mapInArrow(_pack(n), "rep long, packed binary")
         links = groups.join(packed, "rep").select("grp", "rep", "packed").repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_confirm(percent), "a long, b long")
         return materialize(links.distinct(), label)
 
-    links = confirmed(members, "near_links")
+    def alike(rows: DataFrame, label: str, labels: DataFrame | None = None) -> DataFrame:
+        """Clusters (grp, rep) of the nodes (node, rep, label) by signature, where labels leave something to find."""
+        signed = rows.join(classes.select("rep", "sig"), "rep")
+        if labels is not None:
+            signed = signed.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        signed = signed.select("node", "rep", "sig", "label").repartition("node").sortWithinPartitions("node", "rep")
+        return materialize(signed.mapInArrow(_alike(margin), "grp long, rep long").distinct(), label)
+
+    trees = trees_for(recall, levels, percent / 100)
+    first = min(2, trees)
+    leaves, dense = _grow(classes.withColumn("label", F.col("rep")), range(first), levels, small)
+    groups = alike(leaves, "near_groups")
+    blocks = None
+    if dense is not None:
+        blocks = _blocks(dense, small)
+        some = F.struct(F.xxhash64("rep", "node").alias("h"), "rep")
+        few = blocks.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n_blocks") * small / (2 * pivots)) < 1).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(some)), 1, pivots).alias("p"))
+        guests = blocks.select("node", "block").distinct().join(few.select("node", F.explode("p").alias("g")), "node").select("node", "block", "g.rep")
+        name = F.xxhash64("node", "block").alias("grp")
+        groups = groups.unionByName(blocks.select(name, "rep").unionByName(guests.select(name, "rep")).distinct())
+    links = confirmed(groups, "near_links")
     parts = connected_components(links)
+    labels = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("label")), "near_labels")
+
+    more = None
+    if trees > first:
+        known = materialize(classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "near_known")
+        leaves, later = _grow(known, range(first, trees), levels, small)
+        more = alike(leaves, "near_groups_more")
+        if later is not None:
+            later = _blocks(later, small)
+            blocks = later if blocks is None else blocks.unionByName(later)
     if blocks is not None:
-        of = blocks.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("node", "block", "rep", F.coalesce("component", "rep").alias("component"))
-        of = materialize(of, "near_dense")
-        main = of.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        apart = materialize(of.join(main, "node").where("component <> main").select("node", "rep"), "near_apart")
-        if not apart.isEmpty():
-            chunk = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("node")) / small))
-            apart = materialize(apart.withColumn("chunk", chunk), "near_apart_chunks")
-            meet = apart.select("node", "chunk").distinct().join(of.select("node", "block").distinct(), "node")
-            name = F.xxhash64("node", "chunk", "block").alias("grp")
-            groups = meet.join(apart, ["node", "chunk"]).select(name, "rep").unionByName(meet.join(of, ["node", "block"]).select(name, "rep")).distinct()
-            parts = connected_components(links.unionByName(confirmed(groups, "near_links_apart")))
-    labelled = raw.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found")), "digest", "left")
+        apart = alike(_apart(blocks, labels, small), "near_groups_apart", labels)
+        more = apart if more is None else more.unionByName(apart).distinct()
+    if more is not None and not more.isEmpty():
+        parts = connected_components(links.unionByName(confirmed(more, "near_links_more")))
+    of_class = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
     component = F.coalesce("found", "doc_id")
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    return raw.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _blocks(dense: DataFrame, width: int) -> DataFrame:
+    """The members of large nodes dealt to blocks of about ``width``: node, block, rep, n_blocks."""
+    sizes = dense.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / width).alias("n_blocks"))
+    dealt = dense.join(sizes, "node").select("node", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).alias("block"), "rep", "n_blocks")
+    return materialize(dealt, "near_blocks")
+
+
+def _apart(blocks: DataFrame, labels: DataFrame, width: int) -> DataFrame:
+    """What is left to compare in large nodes: the members outside the node's largest component, in chunks, beside every block (node, rep)."""
+    of = blocks.join(labels, "rep", "left").select("node", "block", "rep", F.coalesce("label", "rep").alias("label"))
+    of = materialize(of, "near_dense_labels")
+    main = of.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"))
+    apart = of.join(main, "node").where("label <> main").select("node", "rep")
+    n = apart.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / width).alias("chunks"))
+    apart = materialize(apart.join(n, "node").select("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).alias("chunk"), "rep"), "near_apart")
+    meet = apart.select("node", "chunk").distinct().join(of.select("node", "block").distinct(), "node")
+    name = F.xxhash64("node", "chunk", "block").alias("n")
+    rows = meet.join(apart, ["node", "chunk"]).select(name, "rep").unionByName(meet.join(of, ["node", "block"]).select(name, "rep")).distinct()
+    return rows.select(F.col("n").alias("node"), "rep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -68,12 +68,12 @@ def _one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def records(record_id: str, url: str, payload: bytes, digest: str, refers: tuple[str, int] | None, segment_bytes: int) -> list[bytes]:
-    """The records of one page, each without the two line ends after it. ``refers``: the response's record id and page id, for a revisit."""
+def records(record_id: str, url: str, payload: bytes, digest: str, refers: str | None, segment_bytes: int) -> list[bytes]:
+    """The records of one page, each without the two line ends after it. ``refers``: the response's record id, for a revisit."""
     base = [("WARC-Date", DATE), ("WARC-Target-URI", _one_line(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     http = b"HTTP/1.1 200 OK\r\n" + _headers([("Content-Type", "text/html; charset=utf-8"), ("Transfer-Encoding", "chunked")])
     if refers:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), *base, ("WARC-Refers-To", refers[0]), ("WARC-Profile", REVISIT_PROFILE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http)))]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), *base, ("WARC-Refers-To", refers), ("WARC-Profile", REVISIT_PROFILE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http)))]
         return [MARK + _headers(fields) + http]
     block = http + chunked(payload)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
@@ -99,7 +99,7 @@ def _write(segment_bytes: int):
                 rows = whole.slice(k, 200).to_pylist()
                 out = []
                 for r in rows:
-                    refers = (_record_id(r["page_id"], r["ref_nth"]), r["refers_to"]) if r["is_revisit"] else None
+                    refers = _record_id(r["refers_to"], r["ref_nth"]) if r["is_revisit"] else None
                     own = _record_id(r["page_id"], r["nth"])
                     out += records(own, r["url"] or "", r["payload"], r["digest"], refers, segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
@@ -171,7 +171,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Whole records: record_id, type (response or revisit), refers_to, digest, url, payload (empty for a revisit)."""
-    found = materialize(read_records(spark, path), "warc_records")
+    found = read_records(spark, path)  # read once for whole records and once for segments, rather than kept a second time
     whole = found.where("segment = 0").drop("origin", "segment", "total")
     parts = F.sort_array(F.collect_list(F.struct("segment", "block", "total", "record_id", "type", "refers_to", "digest", "url")))
     groups = found.where("segment > 0").groupBy("origin").agg(parts.alias("p")).withColumn("n", F.size("p"))
