@@ -69,10 +69,11 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(place, pa.int32()), pa.array(head, pa.binary())], [n for n, _ in kept] + ["chain", "head"])
 
 
-def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, key_bits: int = 64, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, key_bits: int = 64, max_depth: int = MAX_DEPTH, rid_col: str | None = None) -> DataFrame:
     """Index entries of every row, as written to the shared folder: rid, doc_id, n_points, sha, bucket, page, key, chain.
 
     Rows with equal (key, chain) have equal normalised bytes. ``key_bits`` under 64 makes collisions likely, for tests.
+    ``rid_col`` has the rows' distinct numbers; without it they are numbered here.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -82,7 +83,7 @@ def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = {r[0]: r[1] for r in docs.groupBy(prefix.alias("p")).count().collect()}  # 2**max_depth rows at most
     entries = spark.createDataFrame(directory(counts, capacity, min(max_depth, key_bits)) or [(0, 1, 0, 1)], "p int, bucket int, depth int, pages int")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"),
         F.col(id_col).alias("doc_id"),
         F.length(text).alias("n_points"),
         F.unhex(F.sha2(norm, 256)).alias("sha"),
@@ -112,11 +113,8 @@ def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points.
-
-    Of equal texts the row with the most code points, then the smallest doc_id, stays.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, **index) -> DataFrame:
+    """The columns of ``exact_dedup``, and rid."""
     entries = exact_index(docs, id_col, text_col, **index)
     best = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), -F.col("doc_id"), -F.col("rid"))
     groups = entries.groupBy("key", "chain").agg(F.count(F.lit(1)).alias("group_size"), F.max_by(F.struct("doc_id", "rid"), best).alias("keep"))
@@ -127,10 +125,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("rid") == F.col("keep.rid")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "n_points",
+        "rid",
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points.
+
+    Of equal texts the row with the most code points, then the smallest doc_id, stays.
+    """
+    return _decided(docs, id_col, text_col, **index).drop("rid")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops. Rows that repeat a doc_id count as one document here."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_doc")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("keep_doc")), "left_semi").dropDuplicates([id_col])
+    """``docs`` without the rows that ``exact_dedup`` drops, row by row, also where a doc_id is null or repeated.
+
+    Rows are numbered and written once, so that the decisions and the rows they are joined to have the same numbers.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "exact_rows")
+    read = rows.select("rid", F.col("row").getField(id_col).alias("doc_id"), F.col("row").getField(text_col).alias("text"))
+    keep = _decided(read, "doc_id", "text", rid_col="rid").where("kept").select("rid")
+    return rows.join(keep, "rid", "left_semi").select("row.*")

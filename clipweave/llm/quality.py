@@ -45,14 +45,15 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and one column per statistic."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """doc_id and one column per statistic; ``with_row``: the whole row as well, as the struct row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    s = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in statistics(text).items()])
+    row = [F.struct("*").alias("row")] if with_row else []
+    s = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in statistics(text).items()], *row)
     n = F.greatest(F.col("words.n"), F.lit(1))
     return s.select(
         "doc_id", "length", F.col("words.n").cast("double").alias("n_words"), (F.col("words.distinct") / n).alias("distinct"), (F.col("length") * (1 - F.col("white")) / n).alias("word_length"),
-        "upper", "digits", "symbols", "stops", "bangs", "bars", "lines", "white",
+        "upper", "digits", "symbols", "stops", "bangs", "bars", "lines", "white", *(["row"] if with_row else []),
     )
 
 
@@ -185,7 +186,6 @@ def score(stats: DataFrame, ensemble: RuleEnsemble, threshold: float = 0.3) -> D
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that an ensemble trained on ``labels`` rejects."""
-    stats = materialize(features(docs, id_col, text_col), "quality_stats")
-    rejected = score(stats, train(stats, labels), threshold).where("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, F.col(id_col) == F.col("rejected_id"), "left_anti")
+    """``docs`` without those that an ensemble trained on ``labels`` rejects, row by row, also where an id is null or repeated."""
+    stats = materialize(features(docs, id_col, text_col, with_row=True), "quality_stats")
+    return stats.where(train(stats.drop("row"), labels).score() >= threshold).select("row.*")

@@ -52,6 +52,13 @@ def test_exact_edges(spark):
     assert drop_copies(docs(spark, [(1, "a"), (2, "a"), (3, "b")])).columns == ["doc_id", "text", "source", "keep_id", "rid"]
 
 
+def test_drop_copies_keeps_rows_not_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "a "), (7, "c"), (7, "d"), (7, "e"), (5, "e"), (8, "f"), (8, "f"), (9, "g"), (9, "g ")]
+    out = drop_copies(docs(spark, rows).repartition(3))
+    want = [(None, "a "), (None, "b"), (5, "e"), (7, "c"), (7, "d"), (8, "f"), (9, "g ")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_directory_splits_and_pages():
     entries = directory({0: 5, 1: 5, 2: 1, 3: 40}, 8, 2)
     assert {e[0]: e[3] for e in entries} == {0: 1, 1: 1, 2: 1, 3: 5}

@@ -210,3 +210,14 @@ def test_quality_edges(spark, sf_dir):
     none = d.selectExpr("doc_id", "cast(null as int) AS quality")
     assert {r.score for r in quality.score(stats, quality.train(stats, none)).collect()} == {0.5}
     assert quality.score(stats.where("false"), quality.train(stats, none)).count() == 0
+
+
+def test_drop_rejected_decides_rows_not_ids(spark):
+    good, junk = "the cat sat on the mat and looked at the moon", "$$$ ### 1234 |||| <> 5678"
+    rows = [(k, f"{good} {'so ' * (k % 5)}" if k % 2 else f"{junk} {'# ' * (k % 5)}") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    more = [(None, good), (None, junk), (500, good), (500, junk)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows + more], "doc_id long, text string, length int")
+    out = quality.drop_rejected(d, labels)
+    assert out.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(str(x) for x in rows + more if "$" not in x[1])
