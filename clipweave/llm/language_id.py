@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 ORDER = 4
-#: Of labelled rows, so many per language are expected to be counted at most; they are chosen by a hash of the id.
-TRAIN_ROWS = 600
+#: So many labelled rows per language, and an eighth of them at most, are expected to calibrate the confidence; they are chosen by a hash of
+#: the id. The models count every labelled row, these included.
+CALIBRATION_ROWS = 150
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,13 +56,13 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _count(order: int):
-    """(lang, text) to n-gram counts by batch: lang, n, gram, first n-1 (context), last n-1 (suffix), count."""
+    """(lang, held, text) to n-gram counts by batch: lang, held, n, gram, first n-1 (context), last n-1 (suffix), count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500).to_pandas()
-                for lang, texts in b.groupby("lang")["text"]:
+                for (lang, held), texts in b.groupby(["lang", "held"])["text"]:
                     grams = {n: [] for n in range(1, order + 1)}
                     for t in texts:
                         c = _codes(letters(t))
@@ -76,7 +77,7 @@ def _count(order: int):
                             g, context, suffix = np.concatenate(found, 1)
                             unique, first, count = np.unique(g, return_index=True, return_counts=True)
                             k = len(unique)
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, n, np.int32)), *(pa.array(x.view(np.int64)) for x in (unique, context[first], suffix[first])), pa.array(count.astype(np.int64))], ["lang", "n", "gram", "context", "suffix", "count"])
+                            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, held, bool)), pa.array(np.full(k, n, np.int32)), *(pa.array(x.view(np.int64)) for x in (unique, context[first], suffix[first])), pa.array(count.astype(np.int64))], ["lang", "held", "n", "gram", "context", "suffix", "count"])
 
     return run
 
@@ -196,22 +197,31 @@ class Identifier:
         self.reject_below = float(p[order][fine[-1]]) if len(fine) else 1.0
 
 
-def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS, max_error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
-    """Models of the languages in ``labelled``; about ``train_rows`` rows per language are counted, and as many more calibrate.
+def train(labelled: DataFrame, order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS, max_error: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
+    """Models of the languages in ``labelled``, of the n-grams of all its rows.
 
-    N-gram counts that reach the driver are bounded by that sample.
+    About ``calibration_rows`` rows per language are scored by models that leave them out, which gives the confidence. The driver
+    gets one row per language and distinct n-gram.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = rows.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
-    share = F.least(F.lit(0.5), F.lit(float(train_rows)) / F.col("count"))
-    drawn = rows.join(F.broadcast(sizes), "lang").withColumn("draw", draw)  # one row per language
-    counts = drawn.where(F.col("draw") < share).select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, context long, suffix long, count long")
-    counts = counts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count")).toArrow().to_pandas(categories=["lang"])
+    share = F.least(F.lit(0.125), F.lit(float(calibration_rows)) / F.col("count"))
+    drawn = rows.join(F.broadcast(sizes), "lang").select("lang", (draw < share).alias("held"), "text")  # one row per language
+    counts = drawn.mapInArrow(_count(order), "lang string, held boolean, n int, gram long, context long, suffix long, count long")
+    held_count = F.sum(F.when(F.col("held"), F.col("count")).otherwise(0)).alias("held")
+    counts = counts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"), held_count).toArrow().to_pandas(categories=["lang"])
     if not len(counts) or not (counts["n"] == order).any():
         return None
-    found = Identifier(counts, order)
-    held = drawn.where((F.col("draw") >= 0.5) & (F.col("draw") < 0.5 + share / 4)).select("lang", "text").toPandas()
+    found = Identifier(counts.drop(columns="held"), order)
+    left = counts[counts["count"] > counts["held"]]
+    left = left.assign(count=left["count"] - left["held"]).drop(columns="held")
+    del counts
+    if not (left["n"] == order).any():
+        return found
+    without = Identifier(left, order)
+    held = drawn.where("held").select("lang", "text").toPandas()
+    held = held[held["lang"].isin(without.models.langs)]
     held["text"] = held["text"].map(letters)
     held = held[held["text"] != ""]
     # Short pieces as well, so that confidence is known at every length.
@@ -221,14 +231,15 @@ def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS,
             texts.append(letters(text[:size]))
             langs.append(lang)
     if texts:
-        found.calibrate(texts, langs, max_error)
+        without.calibrate(texts, langs, max_error)
+        found.weights, found.reject_below = without.weights, without.reject_below
     return found
 
 
 def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score, rejected."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # its size is bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # it grows with the distinct n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

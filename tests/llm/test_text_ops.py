@@ -221,3 +221,14 @@ def test_drop_rejected_decides_rows_not_ids(spark):
     out = quality.drop_rejected(d, labels)
     assert out.columns == d.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(str(x) for x in rows + more if "$" not in x[1])
+
+
+def test_language_models_count_every_row(spark):
+    words = [a + b + c for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz"] * 4
+    words = [w + "abcd"[k // 500] for k, w in enumerate(words)]
+    single = [f"l{k:02}" for k in range(12)]
+    rows = [(k, w, "many") for k, w in enumerate(words)] + [(5000 + k, "the only row of it", l) for k, l in enumerate(single)]
+    m = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).models
+    assert m.langs == [*single, "many"]
+    want = {int(h) for _, t, _ in rows for h in language_id._hashes(language_id._codes(f" {t} "), 4)}
+    assert set(map(int, m.grams[4])) == want
