@@ -5,16 +5,19 @@ several independent trees starts with all sets in one node; a node picks one or
 coordinates, drawn from the node's own path, and sends a set to the child named by the set's minimum there, so that two
 sets of Jaccard similarity s share a child with probability s per branch. With 1.5 branches on average the expected number of
 common children of a pair at 0.75 is over one, and the chance that it is split up for good is a fixed recursion, from
-which the number of trees follows for the recall asked for. Nodes of one set end; small nodes are compared exhaustively,
-first on signatures with a wide margin, then on full sets; only links confirmed on full sets count. A node still large at
-the last level (sets that are nearly alike) is cut in blocks; each block also gets some of the node's members as pivots. Then every
-member outside the node's main component is compared with every block, so no link between components of such a node is
-missed. Groups emit a spanning forest of their links, never all pairs, and a forest's components are found by alternating
-large-star and small-star steps.
+which the number of trees follows for the recall asked for.
+
+What is still to be compared in a node are its outsiders, the sets outside its largest known component, with all of its sets. A node
+without outsiders ends. One that is small in members, or in pairs left and in shingles, is compared exhaustively: first on sizes and signatures
+with a wide margin, then on full sets; only links confirmed on full sets count. A node of many members and few
+outsiders is cut in blocks that all outsiders visit, which at most doubles its rows. Any other node branches again. The first two trees
+know no components; what they leave large at the last level (sets that are nearly alike) is cut in blocks too, each with some of the
+node's members as pivots, and then branches on with the other trees, which know the components found so far. Groups emit a
+spanning forest of their links, never all pairs, and a forest's components are found by alternating large-star and small-star steps.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with fewer than ``n`` words the
-whole sequence is the one shingle. Rows that repeat a doc_id are one document, of the union of their sets. Empty tables give empty
-results. Other columns are not read.
+whole sequence is the one shingle. Rows that repeat a doc_id are one document, of the union of their sets. A null doc_id has the
+component of a document with an equal set and is not kept beside it, else a null one; ``drop_near_duplicates`` leaves rows with a null id in. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from clipweave.llm.shared import materialize
 
 #: Minwise values in a signature.
 SIGNATURE = 64
+#: A node of so many members, so many pairs left to compare and so many shingles at most is compared in one task.
+MEMBERS, PAIRS, SHINGLES = 4096, 1 << 22, 1 << 21
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,9 +106,15 @@ def lost_after(levels: int, similarity: float) -> float:
     return q
 
 
+def lost_pairs(trees: int, levels: int, similarity: float) -> float:
+    """The chance that a pair of that similarity shares no node at the last level of any tree. All trees draw from one signature, of which it shares a binomial number of values."""
+    share = lambda k: math.comb(SIGNATURE, k) * similarity**k * (1 - similarity) ** (SIGNATURE - k)
+    return sum(share(k) * lost_after(levels, k / SIGNATURE) ** trees for k in range(SIGNATURE + 1))
+
+
 def trees_for(recall: float, levels: int, similarity: float) -> int:
-    """Independent trees for that recall of pairs at that similarity."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost_after(levels, similarity))))
+    """Trees for that recall of pairs at that similarity, even of those whose nodes stay large down to the last level."""
+    return next(t for t in range(1, 1000) if lost_pairs(t, levels, similarity) <= 1 - recall)
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,25 +135,25 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _plant(trees: range) -> Callable:
-    """(rep, label, sig) to the children of the roots of all ``trees``: (node, rep, label)."""
+    """(sig, rep, label, size) to the children of the roots of all ``trees``: (node, rep, label, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = _signatures(b.column(2))
+            sig = _signatures(b.column(0))
             for t in trees:
                 root = _mix(np.full(b.num_rows, t + 1, np.uint64))
                 node, row = _children(root, sig)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (0, 1))], ["node", "rep", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (1, 2, 3))], ["node", "rep", "label", "size"])
 
     return run
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep, label, sig) to the rows of the node's children: (node, rep, label)."""
+    """(node, sig, rep, label, size) to the rows of the node's children: (node, rep, label, size)."""
     for b in batches:
         if b.num_rows:
-            node, row = _children(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _signatures(b.column(3)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (1, 2))], ["node", "rep", "label"])
+            node, row = _children(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _signatures(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in (2, 3, 4))], ["node", "rep", "label", "size"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -168,69 +179,100 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield key, held
 
 
-def _roots(n: int) -> tuple[list[int], Callable[[int], int]]:
-    up = list(range(n))
+class _Components:
+    """Components of a group's members, from their known labels on."""
 
-    def root(x: int) -> int:
+    def __init__(self, labels: list):
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[of].tolist()
+
+    def root(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    return up, root
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        self.up[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(k) for k in range(len(self.up))])
+
+    def outsiders(self) -> np.ndarray:
+        """The members outside the largest component."""
+        at = self.roots()
+        return np.flatnonzero(at != np.bincount(at).argmax())
 
 
-def _alike(margin: float) -> Callable:
-    """Members of a small node (node, rep, sig, label) that look alike by signature, as clusters named by their members: (grp, rep).
+def _alike(margin: float, percent: int) -> Callable:
+    """Members of a node (node, rep, sig, label, size) that look alike by size and signature, as clusters named by their members: (grp, rep, label).
 
     Only pairs that aren't known to be of one component, by their labels, count.
     """
     least = math.ceil(margin * SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_g, out_r, seen = [], [], set()
-        for _, (reps, sigs, labels) in _groups(batches):
+        out, seen = ([], [], []), set()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["grp", "rep", "label"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for _, (reps, sigs, labels, sizes) in _groups(batches):
             n = len(reps)
             if n > 1 and len(set(labels)) > 1:
                 s = np.frombuffer(b"".join(sigs), np.uint32).reshape(n, SIGNATURE)
+                size = np.array(sizes, np.int64)
                 known = np.unique(labels, return_inverse=True)[1]
-                up, root = _roots(n)
-                for i in range(n - 1):
-                    for j in np.flatnonzero(((s[i + 1 :] == s[i]).sum(1) >= least) & (known[i + 1 :] != known[i])) + i + 1:
-                        a, c = root(i), root(int(j))
-                        up[max(a, c)] = min(a, c)
+                apart = _Components(labels).outsiders()
+                open_ = np.ones(n, bool)
+                linked = _Components(list(range(n)))
+                for i in apart:
+                    open_[i] = False  # all of its pairs are looked at now
+                    may = np.flatnonzero(open_ & (known != known[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+                    for j in may[(s[may] == s[i]).sum(1) >= least]:
+                        linked.join(int(i), int(j))
                 clusters: dict[int, list[int]] = {}
                 for i in range(n):
-                    clusters.setdefault(root(i), []).append(i)
+                    clusters.setdefault(linked.root(i), []).append(i)
                 for members in clusters.values():
                     if len(members) > 1:
-                        c = sorted(reps[i] for i in members)
+                        c = sorted(set((reps[i], labels[i]) for i in members))
                         name = xxhash.xxh3_64_intdigest(np.array(c, np.int64).tobytes()) - (1 << 63)
                         if name not in seen:  # the same cluster comes from most trees
                             if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(name)
-                            out_g += [name] * len(c)
-                            out_r += c
-            if len(out_g) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_g, pa.int64()), pa.array(out_r, pa.int64())], ["grp", "rep"])
-                out_g, out_r = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_g, pa.int64()), pa.array(out_r, pa.int64())], ["grp", "rep"])
+                            out[0].extend([name] * len(c))
+                            out[1].extend(rep for rep, _ in c)
+                            out[2].extend(label for _, label in c)
+            if len(out[0]) > 20_000:
+                yield flush()
+        yield flush()
 
     return run
 
 
 def _confirm(percent: int) -> Callable:
-    """Exhaustive comparison of a group's full sets: a spanning forest of the links with 100 * intersection >= percent * union.
+    """Comparison of the full sets in a group (grp, rep, label, packed): a spanning forest of the links with 100 * intersection >= percent * union.
 
-    A pair whose ends are linked already is not compared again.
+    A pair whose ends are linked already, or have one label, is not compared again. A member that comes in several rows has their union.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
-        for _, (reps, packed) in _groups(batches):
+        for _, (all_reps, all_labels, packed) in _groups(batches):
+            parts: dict[int, list[np.ndarray]] = {}
+            for rep, p in zip(all_reps, packed, strict=True):
+                parts.setdefault(rep, []).append(np.frombuffer(p, np.uint64))
+            label_of = dict(zip(all_reps, all_labels, strict=True))
+            reps = list(parts)
             n = len(reps)
-            sets = [np.frombuffer(p, np.uint64) for p in packed]
+            sets = [p[0] if len(p) == 1 else np.unique(np.concatenate(p)) for p in parts.values()]
             size = np.array([len(s) for s in sets], np.int64)
             tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
             owner = np.repeat(np.arange(n), size)
@@ -238,11 +280,11 @@ def _confirm(percent: int) -> Callable:
             holders = owner[order]
             starts = np.searchsorted(at[order], np.arange(len(tokens) + 1))
             ends = np.cumsum(size)
-            up, root = _roots(n)
-            label = np.arange(n)
-            for i in range(n - 1):
-                if (label[i:] == label[i]).all():
-                    continue
+            parts_of = _Components([label_of[r] for r in reps])
+            component = parts_of.roots()
+            for i in parts_of.outsiders():
+                if (component == component[i]).all():
+                    break
                 mine = at[ends[i] - size[i] : ends[i]]
                 lo, hi = starts[mine], starts[mine + 1]
                 many = hi - lo > 1
@@ -251,15 +293,14 @@ def _confirm(percent: int) -> Callable:
                     continue
                 flat = np.arange(count.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count)
                 both = np.bincount(holders[flat], minlength=n)
-                linked = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (label != label[i]))
+                linked = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (component != component[i]))
                 for j in linked:
-                    if j > i and root(int(j)) != root(i):
+                    if parts_of.root(int(j)) != parts_of.root(int(i)):
                         out_a.append(reps[i])
                         out_b.append(reps[int(j)])
-                        a, c = root(i), root(int(j))
-                        up[max(a, c)] = min(a, c)
+                        parts_of.join(int(i), int(j))
                 if len(linked):
-                    label = np.array([root(k) for k in range(n)])
+                    component = parts_of.roots()
             if len(out_a) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
                 out_a, out_b = [], []
@@ -271,32 +312,49 @@ def _confirm(percent: int) -> Callable:
 def _pack(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
-            sets = [_union(t, n, words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "packed"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                sets = [shingles(t, n, words).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "packed"])
 
     return run
 
 
-def _grow(classes: DataFrame, trees: range, levels: int, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes of several sets, and nodes still large at the last level, as rows (node, rep, label). Rows stay narrow: signatures are joined on to branch.
+_ROWS = "node long, rep long, label long, size long"
+
+
+def _grow(children: DataFrame, classes: DataFrame, known: bool, levels: int, small: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes to compare exhaustively, and nodes still large at the last level, as rows (node, rep, label, size).
 
-    ``classes``: rep, label, sig. A node whose sets are all known to be of one component, by their labels, ends there.
+    Rows stay narrow: signatures (``classes``: rep, sig) are joined on to branch. ``known``: labels are components; else each set has its own.
     """
-    rows = "node long, rep long, label long"
-    children = classes.select("rep", "label", "sig").mapInArrow(_plant(trees), rows)
-    leaves, name = None, f"near_{trees.start}"
+    leaves = None
     for level in range(levels):
         children = materialize(children, f"{name}_level_{level}")
-        counts = materialize(children.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high"), f"{name}_counts_{level}")
-        here = children.join(counts.where(F.col("members") <= small).select("node"), "node")
+        one = F.count(F.lit(1))
+        if known:
+            counts = children.groupBy("node", "label").agg(one.alias("n"), F.sum("size").alias("s")).groupBy("node").agg(F.sum("n").alias("members"), F.sum("s").alias("shingles"), F.max(F.struct("n", "label")).alias("m"))
+            counts = counts.select("node", "members", "shingles", (F.col("members") - F.col("m.n")).alias("outside"), F.col("m.label").alias("main")).where("outside > 0")
+        else:
+            counts = children.groupBy("node").agg(one.alias("members"), F.sum("size").alias("shingles")).where("members > 1").select("*", (F.col("members") - 1).alias("outside"), F.lit(None).cast("long").alias("main"))
+        fits = (F.col("members") <= small) | ((F.col("members") <= MEMBERS) & (F.col("members") * F.col("outside") <= PAIRS) & (F.col("shingles") <= SHINGLES))
+        counts = materialize(counts.withColumn("kind", F.when(fits, "leaf").when(F.col("outside") <= small, "wide").otherwise("large")), f"{name}_counts_{level}")
+        met = children.join(counts, "node")
+        here = met.where("kind = 'leaf'").select(*children.columns)
         leaves = here if leaves is None else leaves.unionByName(here)
-        large = counts.where(F.col("members") > small).select("node")
-        if large.isEmpty():
+        kinds = {r[0] for r in counts.select("kind").distinct().collect()}
+        if "wide" in kinds:
+            wide = met.where("kind = 'wide'").withColumn("blocks", F.ceil(F.col("members") / small).cast("int"))
+            own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+            visits = F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+            wide = wide.withColumn("block", F.explode(visits))
+            leaves = leaves.unionByName(wide.select(F.xxhash64("node", "block").alias("node"), "rep", "label", "size"))
+        if "large" not in kinds:
             return leaves, None
-        children = children.join(large, "node")
+        children = met.where("kind = 'large'").select(*children.columns)
         if level < levels - 1:
-            children = children.join(classes.select("rep", "sig"), "rep").select("node", "rep", "label", "sig").mapInArrow(_branch, rows)
+            children = children.join(classes.select("rep", "sig"), "rep").select("node", "sig", "rep", "label", "size").mapInArrow(_branch, _ROWS)
     return leaves, materialize(children, f"{name}_dense")
 
 
@@ -314,11 +372,12 @@ def only(rows: DataFrame, id_col: str, wanted: DataFrame, bits: int = 23) -> Dat
     return rows.withColumn("_slot", here).join(F.broadcast(words), (F.col("_slot") / 32).cast("int") == F.col("word")).where(F.expr("(mask & shiftleft(1L, cast(_slot % 32 as int))) <> 0")).select(*rows.columns)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, recall: float = 0.9999, levels: int = 4, small: int = 128, pivots: int = 8, margin: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, recall: float = 0.9995, levels: int = 4, small: int = 128, pivots: int = 8, margin: float = 0.5) -> DataFrame:
     """One row per doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
-    ``small``: nodes of so many sets at most are compared exhaustively. ``margin``: signatures that agree in a smaller
-    share are not compared in full; at 0.5 a pair at 0.75 falls below it once in several hundred thousand. The first two
+    ``recall``: of pairs at ``percent`` whose nodes stay large on every level; any other pair is found more surely, a pair of a small node
+    at the first level with over 0.999999. ``small``: nodes of so many sets at most are compared exhaustively, larger ones by what they leave to compare. ``margin``: signatures that
+    agree in a smaller share are not compared in full; at 0.5 a pair at 0.75 falls below it once in several hundred thousand. The first two
     trees find most components; the other trees are then spared every comparison within a component.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -329,77 +388,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
         raw = raw.join(repeated, "doc_id", "left_anti").unionByName(materialize(again.mapInArrow(_sketch(n), sketch), "near_repeats"))
     found = raw.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "near_classes")
+    classes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size")), "near_classes")
+    by_rep = classes.select("rep", "sig", "size")
 
     def confirmed(groups: DataFrame, label: str) -> DataFrame:
-        """Links on full sets among the members of each group (grp, rep)."""
-        needed = materialize(groups.select("rep").distinct(), f"{label}_needed")
-        full = only(texts, "doc_id", needed).join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
-        packed = full.mapInArrow(_pack(n), "rep long, packed binary")
-        links = groups.join(packed, "rep").select("grp", "rep", "packed").repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_confirm(percent), "a long, b long")
+        """Links on full sets among the members of each group (grp, rep, label)."""
+        packed = only(texts, "doc_id", groups.select("rep").distinct()).mapInArrow(_pack(n), "rep long, packed binary")
+        links = groups.join(packed, "rep").select("grp", "rep", "label", "packed").repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_confirm(percent), "a long, b long")
         return materialize(links.distinct(), label)
 
-    def alike(rows: DataFrame, label: str, labels: DataFrame | None = None) -> DataFrame:
-        """Clusters (grp, rep) of the nodes (node, rep, label) by signature, where labels leave something to find."""
-        signed = rows.join(classes.select("rep", "sig"), "rep")
-        if labels is not None:
-            signed = signed.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        signed = signed.select("node", "rep", "sig", "label").repartition("node").sortWithinPartitions("node", "rep")
-        return materialize(signed.mapInArrow(_alike(margin), "grp long, rep long").distinct(), label)
+    def alike(rows: DataFrame, label: str) -> DataFrame:
+        """Clusters (grp, rep, label) of the nodes (node, rep, label, size) by signature, where labels leave something to find."""
+        signed = rows.join(classes.select("rep", "sig"), "rep").select("node", "rep", "sig", "label", "size")
+        signed = signed.repartition("node").sortWithinPartitions("node", "rep")
+        return materialize(signed.mapInArrow(_alike(margin, percent), "grp long, rep long, label long").distinct(), label)
 
     trees = trees_for(recall, levels, percent / 100)
     first = min(2, trees)
-    leaves, dense = _grow(classes.withColumn("label", F.col("rep")), range(first), levels, small)
+    planted = classes.select("sig", "rep", F.col("rep").alias("label"), "size").mapInArrow(_plant(range(first)), _ROWS)
+    leaves, dense = _grow(planted, by_rep, False, levels, small, "near_first")
     groups = alike(leaves, "near_groups")
-    blocks = None
     if dense is not None:
         blocks = _blocks(dense, small)
         some = F.struct(F.xxhash64("rep", "node").alias("h"), "rep")
         few = blocks.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n_blocks") * small / (2 * pivots)) < 1).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(some)), 1, pivots).alias("p"))
         guests = blocks.select("node", "block").distinct().join(few.select("node", F.explode("p").alias("g")), "node").select("node", "block", "g.rep")
         name = F.xxhash64("node", "block").alias("grp")
-        groups = groups.unionByName(blocks.select(name, "rep").unionByName(guests.select(name, "rep")).distinct())
+        groups = groups.unionByName(blocks.select(name, "rep").unionByName(guests.select(name, "rep")).distinct().withColumn("label", F.col("rep")))
     links = confirmed(groups, "near_links")
     parts = connected_components(links)
-    labels = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("label")), "near_labels")
 
-    more = None
-    if trees > first:
-        known = materialize(classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "near_known")
-        leaves, later = _grow(known, range(first, trees), levels, small)
+    if trees > first or dense is not None:
+        labels = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("label")), "near_labels")
+        label = F.coalesce("label", "rep").alias("label")
+        rows = by_rep.join(labels, "rep", "left").select("sig", "rep", label, "size").mapInArrow(_plant(range(first, trees)), _ROWS)
+        if dense is not None:
+            rows = rows.unionByName(dense.drop("label").join(labels, "rep", "left").select("node", "rep", label, "size"))
+        leaves, rest = _grow(rows, by_rep, True, levels, small, "near_more")
         more = alike(leaves, "near_groups_more")
-        if later is not None:
-            later = _blocks(later, small)
-            blocks = later if blocks is None else blocks.unionByName(later)
-    if blocks is not None:
-        apart = alike(_apart(blocks, labels, small), "near_groups_apart", labels)
-        more = apart if more is None else more.unionByName(apart).distinct()
-    if more is not None and not more.isEmpty():
-        parts = connected_components(links.unionByName(confirmed(more, "near_links_more")))
+        if rest is not None:
+            more = more.unionByName(alike(_apart(rest, small), "near_groups_apart")).distinct()
+        if not more.isEmpty():
+            stars = labels.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+            parts = connected_components(stars.unionByName(confirmed(more, "near_links_more")))
     of_class = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
     component = F.coalesce("found", "doc_id")
     return raw.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _blocks(dense: DataFrame, width: int) -> DataFrame:
-    """The members of large nodes dealt to blocks of about ``width``: node, block, rep, n_blocks."""
+    """The members of large nodes dealt to blocks of about ``width``: node, block, rep, label, size, n_blocks."""
     sizes = dense.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / width).alias("n_blocks"))
-    dealt = dense.join(sizes, "node").select("node", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).alias("block"), "rep", "n_blocks")
+    dealt = dense.join(sizes, "node").select("node", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).alias("block"), "rep", "label", "size", "n_blocks")
     return materialize(dealt, "near_blocks")
 
 
-def _apart(blocks: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """What is left to compare in large nodes: the members outside the node's largest component, in chunks, beside every block (node, rep)."""
-    of = blocks.join(labels, "rep", "left").select("node", "block", "rep", F.coalesce("label", "rep").alias("label"))
-    of = materialize(of, "near_dense_labels")
-    main = of.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"))
-    apart = of.join(main, "node").where("label <> main").select("node", "rep")
+def _apart(rest: DataFrame, width: int) -> DataFrame:
+    """What nodes still large at the last level leave to compare: their outsiders, in chunks, beside every block (node, rep, label, size)."""
+    of = _blocks(rest, width).drop("n_blocks")
+    main = of.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("m")).select("node", F.col("m.label").alias("main"))
+    apart = of.join(main, "node").where("label <> main").drop("main", "block")
     n = apart.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / width).alias("chunks"))
-    apart = materialize(apart.join(n, "node").select("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).alias("chunk"), "rep"), "near_apart")
+    apart = materialize(apart.join(n, "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks"))).drop("chunks"), "near_apart")
     meet = apart.select("node", "chunk").distinct().join(of.select("node", "block").distinct(), "node")
-    name = F.xxhash64("node", "chunk", "block").alias("n")
-    rows = meet.join(apart, ["node", "chunk"]).select(name, "rep").unionByName(meet.join(of, ["node", "block"]).select(name, "rep")).distinct()
-    return rows.select(F.col("n").alias("node"), "rep")
+    columns = [F.xxhash64("node", "chunk", "block").alias("n"), "rep", "label", "size"]
+    rows = meet.join(apart, ["node", "chunk"]).select(*columns).unionByName(meet.join(of, ["node", "block"]).select(*columns)).distinct()
+    return rows.withColumnRenamed("n", "node")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -115,6 +115,17 @@ def test_near_against_brute_force(spark, options):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{"MEMBERS": 6, "PAIRS": 12}, {"MEMBERS": 6, "PAIRS": 12, "small": 4, "levels": 1}])
+def test_near_wide_and_large_nodes(spark, monkeypatch, limits):
+    # With low limits nodes are cut in blocks that outsiders visit, branch again, or stay large down to the last level.
+    options = {k: v for k, v in limits.items() if k.islower()} or {"small": 6, "levels": 3}
+    for k in ("MEMBERS", "PAIRS"):
+        monkeypatch.setattr(nd, k, limits[k])
+    rows = corpus(4)
+    got = nd.near_duplicates(docs(spark, rows).repartition(3), pivots=2, **options).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)[0]
+
+
 def test_near_edges(spark):
     assert nd.near_duplicates(docs(spark, [])).count() == 0
     got = nd.near_duplicates(docs(spark, [(1, "a b c"), (1, "d e f"), (2, "a b c"), (None, "a b c")])).collect()
@@ -138,12 +149,32 @@ def test_recall_of_trees():
             x, y = np.intersect1d(x, y), np.intersect1d(x, y)
         hits += len(x) > 0
     assert abs(hits / n - (1 - nd.lost_after(level, 0.75))) < 0.03
-    assert 1 - nd.lost_after(4, 0.75) ** nd.trees_for(0.9999, 4, 0.75) >= 0.9999
+
+
+def test_recall_of_trees_that_share_a_signature():
+    # The share of pairs at 0.7 that share no node at the last level of any of three trees, drawn from one signature each.
+    rng = np.random.default_rng(2)
+    n, lost, trees, levels = 6000, 0, 3, 2
+    for k in range(n):
+        a = rng.integers(0, 1 << 32, (1, nd.SIGNATURE), dtype=np.uint32)
+        b = np.where(rng.random(a.shape) < 0.7, a, a + np.uint32(1))
+        found = False
+        for t in range(trees):
+            x = y = nd._mix(np.full(1, 1000 * k + t, np.uint64))
+            for _ in range(levels):
+                x = nd._children(x, np.repeat(a, len(x), 0))[0]
+                y = nd._children(y, np.repeat(b, len(y), 0))[0]
+                x, y = np.intersect1d(x, y), np.intersect1d(x, y)
+            found |= len(x) > 0
+        lost += not found
+    assert abs(lost / n - nd.lost_pairs(trees, levels, 0.7)) < 0.01
+    assert nd.lost_pairs(nd.trees_for(0.9995, 4, 0.75), 4, 0.75) <= 0.0005
+    assert nd.lost_pairs(nd.trees_for(0.9995, 4, 0.75), 1, 0.75) < 1e-6
 
 
 def test_components(spark):
     rnd = random.Random(5)
-    edges = [(k, k + 1) for k in range(0, 60)] + [(200, k) for k in range(201, 240)] + [(rnd.randint(300, 400), rnd.randint(300, 400)) for _ in range(60)] + [(7, 7)]
+    edges = [(k, k + 1) for k in range(0, 60)] + [(200, k) for k in range(201, 240)] + [(k, 2000) for k in range(1000, 1400)] + [(3000, k) for k in range(3001, 3400)] + [(rnd.randint(300, 400), rnd.randint(300, 400)) for _ in range(60)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     up = {x: x for e in edges if e[0] != e[1] for x in e}
 
