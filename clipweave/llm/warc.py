@@ -1,8 +1,8 @@
 """WARC archives: written with revisits, segments and chunked framing, and read back by reassembling segments.
 
-A page's HTTP response is one block. Its body uses chunked transfer framing, and a chunk ends inside any string that could pass
-for a record's first line, so that line marks records alone and Spark's text source can split an archive on it, at
-any size and in parallel. Blocks over ``segment_bytes`` are cut in segments: the first record has segment number 1, the
+A page's HTTP response is one block. Its body uses chunked transfer framing, and a chunk ends inside any string that, with the line end
+of a frame or its own, could pass for a record's first line; a header that ends so gets a space after it. So that line marks records alone and Spark's text
+source can split an archive on it, at any size and in parallel. Blocks over ``segment_bytes`` are cut in segments: the first record has segment number 1, the
 others are continuation records with the first's id as origin, the last with the total length. The reader groups continuation records by
 origin, orders them by segment number, checks that no number is missing or repeated and that the total length holds, then decodes the framing.
 
@@ -29,19 +29,22 @@ from clipweave.llm.shared import materialize, scratch
 
 #: Fixed values of the format.
 MARK = b"WARC/1.1\r\n"
+VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def chunked(body: bytes, size: int = 8192) -> bytes:
-    """Chunked transfer framing; no chunk holds the whole of a record mark, nor do a chunk and its neighbours' frames."""
-    cuts, at = [0], 0
-    breaks = [m.start() + 4 for m in re.finditer(re.escape(MARK), body)]
+    """Chunked transfer framing; no chunk holds the whole of a record mark less its line end, which a frame's line end could complete."""
+    out, at, found = [], 0, -1
     while at < len(body):
-        at = min([at + size, len(body), *[b for b in breaks if at < b <= at + size][:1]])
-        cuts.append(at)
-    out = [b"%x\r\n%s\r\n" % (hi - lo, body[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]  # noqa: B905
+        if found < at:
+            found = body.find(VERSION, at)
+            found = len(body) if found < 0 else found
+        end = min(at + size, len(body), max(found + 4, at + 1))
+        out.append(b"%x\r\n%s\r\n" % (end - at, body[at:end]))
+        at = end
     return b"".join(out) + b"0\r\n\r\n"
 
 
@@ -61,7 +64,7 @@ def unchunked(data: bytes) -> bytes:
 
 
 def _headers(fields: list[tuple[str, str]]) -> bytes:
-    return b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
+    return b"".join(f"{k}: {v}{' ' * v.endswith(VERSION.decode())}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
 def _one_line(value: str) -> str:
@@ -150,17 +153,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in ``path``, as they are: record_id, type, origin, segment (0 if whole), total, refers_to, digest, url, block."""
-    lines = spark.read.option("lineSep", MARK.decode()).text(path)
+def read_records(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """All records of the archives in ``path``, plain or compressed (.gz, then one task a file): record_id, type, origin, segment (0 if whole), total, refers_to, digest, url, block. A record that is cut off is an error."""
+    lines = spark.read.option("lineSep", f"WARC/{version}\r\n").text(path)
     return lines.select(F.col("value").cast("binary").alias("raw")).mapInArrow(_parse, "record_id string, type string, origin string, segment int, total long, refers_to string, digest string, url string, block binary")
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         payloads = []
-        for block, kind, digest in zip(*(b.column(c).to_pylist() for c in ("block", "type", "digest")), strict=True):
-            head, _, body = block.partition(b"\r\n\r\n")
+        for blocks, kind, digest in zip(*(b.column(c).to_pylist() for c in ("blocks", "type", "digest")), strict=True):
+            head, _, body = b"".join(blocks).partition(b"\r\n\r\n")
             body = unchunked(body) if kind != "revisit" and b"transfer-encoding: chunked" in head.lower() else body
             if kind == "response" and digest and sha256(body).hexdigest() != digest:
                 raise ValueError("a payload doesn't have its digest")
@@ -169,18 +172,17 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keep, pa.array(payloads, pa.binary())], ["record_id", "type", "refers_to", "digest", "url", "payload"])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
     """Whole records: record_id, type (response or revisit), refers_to, digest, url, payload (empty for a revisit)."""
-    found = read_records(spark, path)  # read once for whole records and once for segments, rather than kept a second time
-    whole = found.where("segment = 0").drop("origin", "segment", "total")
+    found = read_records(spark, path, version)  # read once for whole records and once for segments, rather than kept a second time
+    whole = found.where("segment = 0").withColumn("blocks", F.array("block")).drop("origin", "segment", "total", "block")
     parts = F.sort_array(F.collect_list(F.struct("segment", "block", "total", "record_id", "type", "refers_to", "digest", "url")))
-    groups = found.where("segment > 0").groupBy("origin").agg(parts.alias("p")).withColumn("n", F.size("p"))
-    numbers = F.sequence(F.lit(1), F.col("n"))
-    block = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["block"])), ""))
-    sound = (F.col("p.segment") == numbers) & (F.length(block) == F.element_at("p.total", -1))
-    checked = groups.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), block).otherwise(F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are not whole")))))
+    groups = found.where("segment > 0").groupBy("origin").agg(parts.alias("p")).withColumn("blocks", F.col("p.block"))
+    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    sound = (F.col("p.segment") == F.sequence(F.lit(1), F.size("p"))) & (size == F.element_at("p.total", -1))
+    checked = groups.withColumn("blocks", F.when(F.coalesce(sound, F.lit(False)), F.col("blocks")).otherwise(F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are not whole")))))
     first = F.element_at("p", 1)
-    joined = checked.select(first["record_id"].alias("record_id"), first["type"].alias("type"), first["refers_to"].alias("refers_to"), first["digest"].alias("digest"), first["url"].alias("url"), "block")
+    joined = checked.select(first["record_id"].alias("record_id"), first["type"].alias("type"), first["refers_to"].alias("refers_to"), first["digest"].alias("digest"), first["url"].alias("url"), "blocks")
     return whole.unionByName(joined).mapInArrow(_payload, "record_id string, type string, refers_to string, digest string, url string, payload binary")
 
 
