@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master only, since no cluster shares one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="clipweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +37,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``left`` joined to ``right``, which has one row per key, without a hot key: rows of a frequent key are salted, its row of ``right`` is repeated.
+
+    Frequent are keys with over a hundred-thousandth of the rows, so fewer than 100,000 key hashes are broadcast whatever the data. ``by``: columns of ``left`` that salt.
+    """
+    name = F.xxhash64(*keys).alias("_key")
+    most = max(256, left.count() // 100_000)
+    hot = materialize(left.groupBy(name).count().where(F.col("count") > most).select("_key", F.ceil(F.col("count") / most).cast("int").alias("_parts")), "frequent")
+    if hot.isEmpty():
+        return left.join(right, keys)
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = left.withColumn("_key", name).join(F.broadcast(hot), "_key", "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_key", "_parts")
+    repeated = right.withColumn("_key", name).join(F.broadcast(hot), "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_key", "_parts")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once instead of wherever ``body`` mentions it."""
     return F.transform(F.array(value), body)[0]

@@ -2,15 +2,16 @@
 
 A page's path is read segment by segment. Under each host and parent template, a segment that occurs often enough stays as it is; the
 others are variable and become a wildcard, which keeps only a file ending. Labelled pages give each node its share of blocked
-pages. Sibling branches whose shares don't differ significantly from their parent's are merged and pool their counts; a branch that
-differs keeps its own. Shares are smoothed towards the parent's, from the host down, and a page is blocked where its template's
+pages. Sibling branches whose shares don't differ significantly from their parent's are merged and pool their counts; of those that differ,
+siblings whose shares don't differ significantly from the next one's are merged as well. Shares are smoothed towards the parent's, from the host down, and a page is blocked where its template's
 smoothed share reaches the threshold. Explicit rules come first: a rule fits a host and its subdomains where the path begins as the
 rule's does, and the longest fitting rule decides. Pages that a rule decides are labelled by it.
 
-Everything is grouping and joining over narrow rows; counts are partially aggregated, so a host with a third of all pages is spread.
+Everything is grouping and joining over narrow rows, distinct paths with their counts. Counts are partially aggregated and joins on a node salt frequent ones, so a
+host with a third of all pages is spread. The tree is built level by level until no open path is left: a path is open while it has a further segment and its node
+has ``least`` pages. Under a smaller node no segment can stay literal, so a path there is judged by that node, however long it is.
 
-Defined results: a url that is null or has no ``://`` has an empty host and path. A path deeper than ``depth`` segments is judged by its first
-``depth``. Without any label every page that no rule decides is allowed. Repeated rows repeat; null ids stay null; an empty table gives an empty
+Defined results: a url that is null or has no ``://`` has an empty host and path. Without any label every page that no rule decides is allowed. Repeated rows repeat; null ids stay null; an empty table gives an empty
 result. Columns other than the id and the url are not read.
 """
 
@@ -18,10 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipweave.llm.shared import materialize
+from clipweave.llm.shared import materialize, spread_join
 
 #: Rules as (verdict, host, path prefix); their number is part of the query, not of the data.
 Rule = tuple[str, str, str]
@@ -50,57 +51,78 @@ def _wild(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z]{1,5}$", 0))
 
 
-def templates(rows: DataFrame, depth: int = 3, least: int = 4, share: float = 0.02) -> DataFrame:
-    """``rows`` (host, path, ...) with t1 .. t<depth>: the template down to each level, null below the path's end.
+def template_tree(paths: DataFrame, least: int = 4, share: float = 0.02) -> tuple[DataFrame, list[DataFrame]]:
+    """``paths`` (host, path, n rows, labelled of them, bad of those) with node, where each is judged, and template; and each level's nodes: host, up, node, n, labelled, bad.
 
     A segment stays literal with at least ``least`` rows and ``share`` of its parent's rows.
     """
     parts = F.split(F.regexp_replace("path", "^/|/$", ""), "/")
-    rows = rows.withColumn("parts", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)).withColumn("t0", F.lit(""))
-    for d in range(1, depth + 1):
-        rows = rows.withColumn("seg", F.get("parts", F.lit(d - 1)))
-        here = rows.where(F.col("seg").isNotNull())
-        kids = here.groupBy("host", F.col(f"t{d - 1}").alias("up"), "seg").agg(F.count(F.lit(1)).alias("n"))
-        under = kids.groupBy("host", "up").agg(F.sum("n").alias("n_up"))
-        literal = kids.where(F.col("n") >= least).join(under, ["host", "up"]).where(F.col("n") >= share * F.col("n_up")).select(F.col("host").alias("h"), "up", F.col("seg").alias("lit"))
-        rows = rows.join(literal, (F.col("host") == F.col("h")) & (F.col(f"t{d - 1}") == F.col("up")) & (F.col("seg") == F.col("lit")), "left")
-        rows = rows.withColumn(f"t{d}", F.when(F.col("seg").isNotNull(), F.concat_ws("/", f"t{d - 1}", F.coalesce("lit", _wild(F.col("seg")))))).drop("h", "up", "lit", "seg")
-    return rows.drop("parts")
-
-
-def judged(rows: DataFrame, depth: int = 3, prior: float = 4.0, z: float = 2.0) -> DataFrame:
-    """The tree's nodes with their smoothed shares: host, node (the template), share. ``rows`` has t0 .. t<depth> and bad (1, 0 or null if unlabelled)."""
-    total = rows.agg(F.sum("bad").alias("b"), F.count("bad").alias("n")).first()
-    base = float(total["b"] or 0) / max(1, total["n"])
-    counts = rows.groupBy("host", *[f"t{d}" for d in range(depth + 1)]).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    counts = materialize(counts, "url_counts")
+    parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    root = materialize(paths.groupBy("host").agg(*sums).select("host", F.lit(None).cast("string").alias("up"), F.lit("").alias("node"), "n", "labelled", "bad"), "url_hosts")
+    levels = [root]
+    open_ = paths.select("host", "path", "n", "labelled", "bad", parts.alias("parts"))
+    open_ = spread_join(open_, root.select("host", "node", F.col("n").alias("node_n")), ["host"], ["path"])
+    done, depth = None, 0
+    while True:
+        open_ = materialize(open_, f"url_open_{depth}")
+        further = (F.size("parts") > depth) & (F.col("node_n") >= least)
+        closed = open_.where(~further)
+        done = closed if done is None else done.unionByName(closed)
+        open_ = open_.where(further)
+        if open_.isEmpty():
+            break
+        open_ = open_.withColumn("seg", F.get("parts", F.lit(depth)))
+        kids = open_.groupBy("host", F.col("node").alias("up"), "seg").agg(*sums, F.first("node_n").alias("up_n"))
+        literal = (F.col("n") >= least) & (F.col("n") >= share * F.col("up_n"))
+        kids = materialize(kids.withColumn("node", F.concat_ws("/", "up", F.when(literal, F.col("seg")).otherwise(_wild(F.col("seg"))))), f"url_kids_{depth}")
+        level = materialize(kids.groupBy("host", "up", "node").agg(*sums), f"url_nodes_{depth}")
+        levels.append(level)
+        named = spread_join(kids.select("host", "up", "seg", "node"), level.select("host", "node", F.col("n").alias("node_n")), ["host", "node"], ["seg"])
+        open_ = open_.drop("node_n").withColumnRenamed("node", "up")
+        open_ = spread_join(open_, materialize(named, f"url_named_{depth}"), ["host", "up", "seg"], ["path"]).drop("up", "seg")
+        depth += 1
+    below = F.slice("parts", F.size(F.split("node", "/")), F.size("parts"))  # a node at depth d has d slashes
+    rest = F.transform(below, lambda x: F.concat(F.lit("*"), F.regexp_extract(x, r"\.[A-Za-z]{1,5}$", 0)))
+    return done.withColumn("template", F.concat_ws("/", F.col("node"), rest)).select("host", "path", "n", "node", "template"), levels
+
+
+def judged(levels: list[DataFrame], prior: float = 4.0, z: float = 2.0) -> DataFrame:
+    """The tree's nodes with their smoothed shares of bad pages: host, node, share."""
+    total = levels[0].agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).first()
+    base = float(total["b"] or 0) / max(1, total["n"] or 0)
     smooth = lambda b, n, toward: (b + prior * toward) / (n + prior)
-    level = counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).select("host", F.lit("").alias("node"), "n", smooth(F.col("b"), F.col("n"), F.lit(base)).alias("share"))
+    level = levels[0].select("host", "node", smooth(F.col("bad"), F.col("labelled"), F.lit(base)).alias("share"))
     every = level
-    for d in range(1, depth + 1):
-        own = counts.where(F.col(f"t{d}").isNotNull()).groupBy("host", F.col(f"t{d - 1}").alias("up"), F.col(f"t{d}").alias("node")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-        up = level.select(F.col("host"), F.col("node").alias("up"), F.col("share").alias("up_share"))
-        own = own.join(up, ["host", "up"])
-        spread = F.sqrt(F.col("up_share") * (1 - F.col("up_share")) / F.greatest(F.col("n"), F.lit(1)))
-        own = own.withColumn("similar", (F.col("n") == 0) | (F.abs(F.col("b") / F.greatest(F.col("n"), F.lit(1)) - F.col("up_share")) <= z * spread))
-        own = materialize(own, f"url_level_{d}")
-        pooled = own.where("similar").groupBy("host", "up").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
-        own = own.join(pooled, ["host", "up"], "left")
-        share = F.when(F.col("similar"), smooth(F.col("pool_b"), F.col("pool_n"), F.col("up_share"))).otherwise(smooth(F.col("b"), F.col("n"), F.col("up_share")))
-        level = materialize(own.select("host", "node", "n", share.alias("share")), f"url_shares_{d}")
+    for d, own in enumerate(levels[1:], 1):
+        up = level.select("host", F.col("node").alias("up"), F.col("share").alias("up_share"))
+        own = own.join(up, ["host", "up"]).withColumn("count", F.greatest("labelled", F.lit(1))).withColumn("rate", F.col("bad") / F.col("count"))
+        spread = F.sqrt(F.col("up_share") * (1 - F.col("up_share")) / F.col("count"))
+        own = own.withColumn("similar", (F.col("labelled") == 0) | (F.abs(F.col("rate") - F.col("up_share")) <= z * spread))
+        # Siblings in order of their rates: a branch begins where a rate differs significantly from the one before it. A node has few children, as each literal one has a share of it.
+        in_order = Window.partitionBy("host", "up", "similar").orderBy("rate", "node")
+        before = lambda c: F.lag(c).over(in_order)
+        mean = (F.col("bad") + before("bad")) / (F.col("count") + before("count"))
+        apart = F.abs(F.col("rate") - before("rate")) > z * F.sqrt(mean * (1 - mean) * (1 / F.col("count") + 1 / before("count")))
+        own = own.withColumn("apart", F.coalesce((apart & ~F.col("similar")).cast("int"), F.lit(0)))
+        own = own.withColumn("branch", F.sum("apart").over(in_order))
+        pool = Window.partitionBy("host", "up", "similar", "branch")
+        share = smooth(F.sum("bad").over(pool), F.sum("labelled").over(pool), F.col("up_share"))
+        level = materialize(own.select("host", "node", share.alias("share")), f"url_shares_{d}")
         every = every.unionByName(level)
-    return every.select("host", "node", "share")
+    return every
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", depth: int = 3, reject_at: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", least: int = 4, reject_at: float = 0.5) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, share (of blocked pages, smoothed)."""
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("bad", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("int")))
-    rows = materialize(templates(rows, depth), "url_templates")
-    nodes = judged(rows, depth)
-    leaf = F.coalesce(*[F.col(f"t{d}") for d in range(depth, -1, -1)])
-    rows = rows.withColumn("template", leaf).join(nodes.withColumnRenamed("host", "of_host"), (F.col("host") == F.col("of_host")) & (F.col("template") == F.col("node")), "left")
+    bad = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("int"))
+    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
+    paths = paths.select("host", "path", "n", "by_rule", F.when(bad.isNotNull(), F.col("n")).otherwise(0).alias("labelled"), (F.col("n") * F.coalesce(bad, F.lit(0))).alias("bad"))
+    paths = materialize(paths, "url_paths")
+    placed, levels = template_tree(paths, least)
+    placed = spread_join(placed, judged(levels), ["host", "node"], ["path"]).select("host", "path", "template", "share")
     by_method = F.when(F.col("share") >= reject_at, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", by_method).alias("verdict"), "template", "share")
+    placed = placed.join(paths.select("host", "path", "by_rule"), ["host", "path"]).select("host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", by_method).alias("verdict"), "template", "share")
+    return spread_join(rows, materialize(placed, "url_placed"), ["host", "path"], ["page_id"]).select("page_id", "host", "path", "rule", "verdict", "template", "share")
