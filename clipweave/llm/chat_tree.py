@@ -8,7 +8,7 @@ conversation (the length of its ancestors), and its ancestors' places merged int
 attends to those and to its own node up to itself. Tokens are characters here.
 
 Identical conversations are collapsed before the ordering, so a conversation that many share is handled once. The order is
-by range partitioning; offsets come from per-partition sums. Only sums and one row's path per partition reach the driver. A conversation,
+by range partitioning, within which nodes are numbered; offsets come from per-partition sums. Reading back joins a frequent node salted. Only sums and one row's path per partition reach the driver. A conversation,
 being one training sample, is one row; a tree is never gathered.
 
 Defined results: a null text or role counts as empty. Rows of a conversation are taken by turn, then role, then text; rows that
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipweave.llm.shared import materialize
+from clipweave.llm.shared import materialize, spread_join
 
 #: The template: a user or system turn, an assistant turn, and the mark that escapes control strings.
 OPEN, CLOSE, END, ESC = "[INST]", "[/INST]", "</s>", "\\"
@@ -106,12 +106,12 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
 
 
 def _new_nodes(before: dict[int, bytes]) -> Callable:
-    """Of each path, in order, the nodes that its predecessor lacks, with their ancestors' node hashes left implicit."""
+    """Of each path, in order, the nodes that its predecessor lacks, numbered by ``place`` within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, place = None, 0
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], [], []]
             for part, path, segments, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if last is None:
                     last = before.get(part, b"")
@@ -120,12 +120,14 @@ def _new_nodes(before: dict[int, bytes]) -> Callable:
                     k += 1
                 position = sum(map(len, segments[:k]))
                 for d in range(k, n):
-                    for c, v in zip(cols, (part, path[: 16 * d + 16], d, segments[d], len(segments[d]), position, loss[d]), strict=True):
+                    node, parent = path[16 * d : 16 * d + 16], path[16 * d - 16 : 16 * d] if d else None
+                    for c, v in zip(cols, (part, place, node, parent, d, segments[d], len(segments[d]), position, loss[d]), strict=True):
                         c.append(v)
                     position += len(segments[d])
+                    place += 1
                 last = path
-            types = [pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "path", "depth", "segment", "length", "position", "loss"])
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "place", "node", "parent", "depth", "segment", "length", "position", "loss"])
 
     return run
 
@@ -172,15 +174,13 @@ def prefix_tree(formatted: DataFrame, partitions: int | None = None) -> DataFram
     ends = sorted(tuple(r) for r in ordered.groupBy("part").agg(F.max("path")).collect())
     before = {b[0]: bytes(a[1]) for a, b in zip(ends, ends[1:])}  # noqa: B905
     again = ordered.repartition(F.col("part")).sortWithinPartitions("part", "path").select("part", "path", "segments", "loss")
-    nodes = again.mapInArrow(_by_part(_new_nodes(before)), "part int, path binary, depth int, segment string, length long, position long, loss array<int>")
-    node = F.substring("path", -16, 16)
-    parent = F.when(F.col("depth") > 0, F.expr("substring(path, 16 * depth - 15, 16)"))
-    nodes = materialize(nodes.select("part", "path", node.alias("node"), parent.alias("parent"), "depth", "segment", "length", "position", "loss"), "chat_nodes")
+    nodes = again.mapInArrow(_by_part(_new_nodes(before)), "part int, place long, node binary, parent binary, depth int, segment string, length long, position long, loss array<int>")
+    nodes = materialize(nodes, "chat_nodes")
     starts, total = {}, 0
     for part, length in sorted(tuple(r) for r in nodes.groupBy("part").agg(F.sum("length")).collect()):
         starts[part] = total
         total += length
-    in_order = nodes.repartition(F.col("part")).sortWithinPartitions("part", "path")
+    in_order = nodes.repartition(F.col("part")).sortWithinPartitions("part", "place")
     schema = _schema(nodes) + ", begin long, attends array<array<long>>"
     # Ancestors that a partition's first nodes have in earlier partitions: a first pass places every node, a join finds those few.
     wanted = [(p, d, bytearray(before[p][16 * d : 16 * d + 16])) for p in starts for d in range(len(before.get(p, b"")) // 16)]
@@ -190,7 +190,7 @@ def prefix_tree(formatted: DataFrame, partitions: int | None = None) -> DataFram
         need = spark.createDataFrame(wanted, "p int, d int, node binary")
         for p, _, h, lo, size in sorted(tuple(r) for r in placed.join(F.broadcast(need), "node").select("p", "d", "node", "begin", "length").collect()):
             open_at.setdefault(p, []).append((bytes(h), lo, lo + size))
-    return in_order.mapInArrow(_by_part(_place(starts, open_at)), schema).drop("part", "path")
+    return in_order.mapInArrow(_by_part(_place(starts, open_at)), schema).drop("part", "place")
 
 
 def _schema(df: DataFrame) -> str:
@@ -219,12 +219,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 def read_back(formatted: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each conversation's formatted text put together again from the tree: conv_id, formatted, loss (places of all assistant texts)."""
-    wanted = formatted.select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("length(path) div 16 - 1")), lambda d: F.expr("path").substr(d * 16 + 1, F.lit(16)))).alias("d", "node"))
-    parts = wanted.join(nodes.select("node", "segment", "position", "loss"), "node")
+    paths = formatted.select("path").distinct()  # equal conversations are put together once
+    wanted = paths.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("length(path) div 16 - 1")), lambda d: F.expr("path").substr(d * 16 + 1, F.lit(16)))).alias("d", "node"))
+    wanted = materialize(wanted.select(F.md5("path").alias("name"), "d", "node"), "chat_wanted")
+    parts = spread_join(wanted, nodes.select("node", "segment", "position", "loss"), ["node"], ["name"])
     pieces = F.sort_array(F.collect_list(F.struct("d", "segment", "position", "loss")))
-    whole = parts.groupBy("conv_id").agg(pieces.alias("p"))
+    whole = parts.groupBy("name").agg(pieces.alias("p"))
     loss = F.transform(F.filter("p", lambda x: x["loss"][1] > x["loss"][0]), lambda x: F.array(x["position"] + x["loss"][0], x["position"] + x["loss"][1]))
-    return whole.select("conv_id", F.array_join("p.segment", "").alias("formatted"), loss.alias("loss"))
+    whole = whole.select("name", F.array_join("p.segment", "").alias("formatted"), loss.alias("loss"))
+    return spread_join(formatted.select("conv_id", F.md5("path").alias("name")), whole, ["name"], ["conv_id"]).drop("name")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
