@@ -1,10 +1,11 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-Components are quantised to integers. Rows are dealt to blocks of bounded expected size; a block's index holds, per dimension and bit, the
-bitmap of rows with that bit. A query's score is a sum of slices, each weighted by the query's component: bitmaps of one
+Components are quantised to integers. Rows are dealt to blocks of bounded expected size in components; a block's index holds, per dimension and bit, the
+bitmap of rows with that bit. Indexes are built once and written to the shared folder. A query's score is a sum of slices, each weighted by the query's component: bitmaps of one
 weight are added with carry-save adders, which leaves the score itself as slices. The top rows are read from the most
 significant slice downward: rows that have the bit come before rows that haven't. What ties at the boundary is resolved
-exactly, smaller ids first. Every query chunk meets every block; a block answers with k rows per query.
+exactly, smaller ids first. Every query chunk meets every block, as each pair of them has to be scored; an index is sent once per chunk
+of some thousand queries, and a block answers with k rows per query.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part. A shorter vector counts as padded with
 zeros. Rows that share the query's id are its own and no candidates; each other row counts, repeated ids too. Of rows that repeat a
@@ -33,22 +34,26 @@ def quantise(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_c
 class BitSlices:
     """The bit-sliced index of one block: rows in order of id."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, q = ids[order], q[order]
+    def __init__(self, ids: np.ndarray, low: np.ndarray, bits: np.ndarray, slices: np.ndarray):
+        self.ids, self.low, self.bits = ids, low, bits
         self.n = len(ids)
         words = -(-self.n // 64)
-        self.low = q.min(0)
-        span = (q - self.low).astype(np.uint64)
-        self.bits = np.array([int(m).bit_length() for m in span.max(0)], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.bits)))
-        self.slices = np.zeros((int(self.first[-1]), words), np.uint64)
+        self.first = np.concatenate(([0], np.cumsum(bits)))
+        self.slices = slices.reshape(-1, words)
         self.all = self._pack(np.ones(self.n, bool), words)
-        for d, bits in enumerate(self.bits):
-            for j in range(int(bits)):
-                self.slices[self.first[d] + j] = self._pack((span[:, d] >> np.uint64(j)) & np.uint64(1), words)
         self.inverse = self.slices ^ self.all
 
+    @classmethod
+    def build(cls, ids: np.ndarray, q: np.ndarray) -> BitSlices:
+        order = np.argsort(ids, kind="stable")
+        ids, q = ids[order], q[order]
+        words = -(-len(ids) // 64)
+        low = q.min(0)
+        span = (q - low).astype(np.uint64)
+        bits = np.array([int(m).bit_length() for m in span.max(0)], np.int64)
+        slices = [cls._pack((span[:, d] >> np.uint64(j)) & np.uint64(1), words) for d, n in enumerate(bits) for j in range(int(n))]
+        return cls(ids, low, bits, np.concatenate(slices) if slices else np.zeros(0, np.uint64))
+
     @staticmethod
     def _pack(bits: np.ndarray, words: int) -> np.ndarray:
         packed = np.zeros(words * 8, np.uint8)
@@ -123,39 +128,66 @@ class BitSlices:
         return [(int(self.ids[r]), score(int(r))) for r in chosen]
 
 
-def _matrix(rows: list[list[int]], dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows of ``dims`` components: shorter ones end in zeros, longer ones are cut."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == dims).all():
+        return values.reshape(-1, dims)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(sizes), dims), np.int64)
+    out[row[at < dims], at[at < dims]] = values[at < dims]
     return out
 
 
+def _members(column: pa.ListArray, i: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Ids and vectors in row ``i`` of a column of lists of (vec_id, q)."""
+    held = column[i].values
+    return held.field("vec_id").to_numpy(zero_copy_only=False), held.field("q")
+
+
+_BLOCK = "block int, ids binary, low binary, bits binary, slices binary"
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            ids, q = _members(b.column(1), i)
+            x = BitSlices.build(ids, _matrix(q, int(q.value_lengths().to_numpy(zero_copy_only=False).max())))
+            packed = [pa.array([a.tobytes()], pa.binary()) for a in (x.ids, x.low, x.bits, x.slices)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *packed], ["block", "ids", "low", "bits", "slices"])
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
         for b in batches:
             for i in range(b.num_rows):
-                block, members, asking = (b.column(c)[i].as_py() for c in ("block", "members", "asking"))
-                dims = max(len(x["q"]) for x in members + asking)
-                if held is None or held[0] != (block, dims):
-                    held = ((block, dims), BitSlices(np.array([x["vec_id"] for x in members], np.int64), _matrix([x["q"] for x in members], dims)))
-                out = [(x["vec_id"], *hit) for x, q in zip(asking, _matrix([x["q"] for x in asking], dims), strict=True) for hit in held[1].top(x["vec_id"], q, k)]
+                ids, low, bits, slices = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("ids", np.int64), ("low", np.int64), ("bits", np.int64), ("slices", np.uint64)))
+                found = BitSlices(ids, low, bits, slices)
+                asking, q = _members(b.column("asking"), i)
+                out = [(int(x), *hit) for x, v in zip(asking, _matrix(q, len(low)), strict=True) for hit in found.top(int(x), v, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 16_384, chunk_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best rows for each query, a row whose id is divisible by ``every``."""
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_cells: int = 1 << 20, chunk_cells: int = 1 << 18, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best rows for each query, a row whose id is divisible by ``every``.
+
+    ``block_cells``, ``chunk_cells``: components that a block of rows and a chunk of queries hold, by their longest vector.
+    """
     q = materialize(quantise(vectors, scale, id_col, vec_col), "top_k_vectors")
     asking = q.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n, n_asking = q.count(), asking.count()
-    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-n_asking // chunk_rows))
+    n, dims = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    n_asking = asking.count()
+    blocks, chunks = max(1, -(-n * dims // block_cells)), max(1, -(-n_asking * dims // chunk_cells))
     members = F.collect_list(F.struct("vec_id", "q"))
     index = q.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).groupBy("block").agg(members.alias("members"))
-    batch = asking.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(members.alias("asking"))
+    index = materialize(index.mapInArrow(_index, _BLOCK), "top_k_index")
+    batch = materialize(asking.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(members.alias("asking")), "top_k_asking")
     # Each query chunk meets each block: both sides are repeated over the other's numbers and meet by key.
     pairs = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(batch.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block", "chunk"])
-    hits = pairs.select("block", "members", "asking").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    hits = pairs.select("ids", "low", "bits", "slices", "asking").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
