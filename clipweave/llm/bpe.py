@@ -4,7 +4,8 @@ From the merge list one pass computes how many bytes right of a token can still
 depends on whether b merges to the right by an earlier rule first, which depends on that rule's own right part, and so
 on along falling ranks. The encoder reads text in pieces. Pre-tokens end where no further character can move their border;
 inside a pre-token that is still open, tokens that end more than the lookahead before the end of what has been read are
-emitted and forgotten. What is held is bounded by the lookahead, not by the text. The decoder maps ids to bytes and bytes
+emitted and forgotten. What the encoder holds is bounded by the lookahead, not by the text; a row's ids are one array, as its text is one
+string. The decoder maps ids to bytes and bytes
 to text with a UTF-8 state machine, ill-formed bytes becoming U+FFFD.
 
 Defined results: a null text counts as empty and gives no ids. Strings of special tokens inside a text become those tokens, as in
@@ -31,7 +32,7 @@ _RUNS = {k: regex.compile(p) for k, p in {"L": r"\p{L}+", "N": r"\p{N}+", "P": r
 _WHITE = regex.compile(r"\p{White_Space}")
 _NONE = 1 << 40
 #: Characters of a text that are read at a time; pre-tokens longer than LONG bytes are streamed.
-SLICE, LONG = 1 << 16, 256
+SLICE, LONG = 1 << 13, 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -131,26 +132,20 @@ class Encoder:
             if self.open:
                 self.buffer = text[at:]
                 return
-        if final and len(text) - at < SLICE:
-            words = self.pattern.findall(text, at)
-            seen = self.seen
-            for w in words:
-                ids = seen.get(w)
-                out.extend(ids if ids is not None else self._word(w))
-            self.buffer = ""
-            return
-        for m in self.pattern.finditer(text, at):
-            if m.end() > end:
-                if m.end() - m.start() > LONG and not final:
-                    self.open = "S" if _WHITE.match(text, m.end() - 1) else next(k for k, run in _RUNS.items() if run.match(text, m.end() - 1))
+        seen = self.seen
+        for word in self.pattern.findall(text, at):
+            stop = at + len(word)
+            if stop > end:
+                if len(word) > LONG and not final:
+                    self.open = "S" if _WHITE.match(word, len(word) - 1) else next(k for k, run in _RUNS.items() if run.match(word, len(word) - 1))
                     # Of white space, the last character may go to the next word.
                     stop = end - (self.open == "S")
                     self._grow(text[at:stop], out)
                     at = stop
                 break
-            ids = self.seen.get(m[0])
-            out.extend(ids if ids is not None else self._word(m[0]))
-            at = m.end()
+            ids = seen.get(word)
+            out.extend(ids if ids is not None else self._word(word))
+            at = stop
         self.buffer = text[at:]
 
     def _go_on(self, text: str, end: int, final: bool, out: list[int]) -> int:
@@ -223,11 +218,7 @@ class Decoder:
 
 def encode_text(encoder: Encoder, text: str | None) -> list[int]:
     """All ids of one text, read in slices."""
-    text = text or ""
-    if len(text) <= SLICE:
-        encoder.buffer = text
-        return encoder.finish()
-    ids: list[int] = []
+    text, ids = text or "", []
     for k in range(0, len(text), SLICE):
         ids += encoder.feed(text[k : k + SLICE])
     return ids + encoder.finish()
