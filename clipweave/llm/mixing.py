@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("due", due).withColumn("whole", F.floor("due"))
     p = F.col("due") - F.col("whole")
     units = rows.where((F.col("size") > 0) & (p > 1e-12)).groupBy("source", F.col("doc_id").alias("id")).agg(F.sum("size").alias("w"), F.first(p).alias("p"))
-    ups = pivotal_round(materialize(units, "mix_units"), fan_in, seed).select(F.col("source").alias("s"), "id", "up")
+    ups = pivotal_round(materialize(units, "mix_units"), fan_in, seed=seed).select(F.col("source").alias("s"), "id", "up")
     out = rows.join(ups, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("up", F.lit(0))).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
