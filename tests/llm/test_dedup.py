@@ -59,6 +59,16 @@ def test_drop_copies_keeps_rows_not_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_exact_beyond_the_directory_and_hot_keys(spark):
+    # Buckets split on by further bits of the key, hot keys get pages whose heads meet, and collisions of short keys stay apart.
+    rnd = random.Random(9)
+    rows = [(k, f"text {k % 700}" + " " * rnd.randint(0, 3)) for k in range(3000)] + [(5000 + k, "hot" + " " * (k % 5)) for k in range(900)] + [(7000 + k, None) for k in range(300)]
+    for options in ({"capacity": 3000, "max_depth": 2}, {"capacity": 3000, "max_depth": 2, "key_bits": 5}, {"capacity": 500, "max_depth": 1, "key_bits": 3}):
+        got = exact_dedup(docs(spark, rows).repartition(5), **options).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_exact(rows)
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
 def test_directory_splits_and_pages():
     entries = directory({0: 5, 1: 5, 2: 1, 3: 40}, 8, 2)
     assert {e[0]: e[3] for e in entries} == {0: 1, 1: 1, 2: 1, 3: 5}

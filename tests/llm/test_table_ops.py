@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from clipweave.llm import mixing, top_k, url_templates
 from clipweave.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from tests.compare import duck, rows
+from tests.llm.test_dedup import brute_components
 
 DOCS = "doc_id long, text string, source string, size int, target string"
 
@@ -53,6 +60,17 @@ def test_mix_near_targets_and_unbiased(spark):
     assert abs(ups.mean() - 0.3) < 0.02 and 0.15 < ups.std() * np.sqrt(12) / np.sqrt(0.21) * 1.0 + 0.0 < 3
 
 
+def test_mix_seed_and_expectations(spark):
+    # Two sources, over seeds: reruns agree, seeds differ, and every document's expected words are its share.
+    d = docs(spark, [(k, "w " * (1 + k % 5), "a" if k % 4 else "b") for k in range(80)]).cache()
+    run = lambda s: mixing.mix(d, weights=(1, 2), seed=s).toPandas().sort_values("doc_id", ignore_index=True)
+    runs = [run(s) for s in range(0, 24000, 1000)]
+    assert run(0).equals(runs[0]) and not runs[1].taken.equals(runs[0].taken)
+    due = runs[0]["size"] * runs[0].target / runs[0].source_size
+    mean = np.mean([r.taken for r in runs], 0)
+    assert abs((mean - due) / runs[0]["size"]).mean() < 0.12 and all(abs((mean - due)[runs[0].source_size == n].sum()) < 8 for n in runs[0].source_size.unique())
+
+
 def test_mix_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     got = {(r.doc_id, r["size"], r.taken) for r in mixing.mix(docs(spark, [(1, None, None), (2, " \n", None), (3, "a b", None), (3, "a b", None), (None, "x y", None)])).collect()}
@@ -71,7 +89,7 @@ def brute_top(vectors, k=5, every=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 37, "chunk_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"block_cells": 37 * 16, "chunk_cells": 32}])
 def test_top_k_against_brute_force(spark, options):
     rng = np.random.default_rng(5)
     v = [(i, rng.normal(0, 0.3, 16).tolist()) for i in range(300)] + [(i, [0.25] * 16) for i in range(300, 340)] + [(345, [0.1, -0.2])]
@@ -119,15 +137,96 @@ def test_urls_against_brute_force(spark):
         assert (r.rule, r.verdict) == rule if rule else r.rule is None
 
 
+def tree(spark, data, **options):
+    paths = spark.createDataFrame(data, "host string, path string, bad int").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    placed, levels = url_templates.template_tree(paths, **options)
+    share = {(r.host, r.node): r.share for r in url_templates.judged(levels).collect()}
+    return {(r.host, r.path): (r.template, share[r.host, r.node]) for r in placed.collect()}
+
+
 def test_templates_generalise_and_reject(spark):
     data = [("bad.net", f"/spam/{k}", 1) for k in range(30)] + [("bad.net", f"/news/{k}", 0) for k in range(30)] + [("bad.net", "/spam/999", None), ("bad.net", "/news/999", None), ("new.net", "/a/b", None)]
-    rows_ = url_templates.templates(spark.createDataFrame(data, "host string, path string, bad int"))
-    assert {r.t2 for r in rows_.where("host = 'bad.net'").collect()} == {"/spam/*", "/news/*"}
-    share = {(r.host, r.node): r.share for r in url_templates.judged(rows_).collect()}
-    assert share["bad.net", "/spam/*"] > 0.8 and share["bad.net", "/news/*"] < 0.2 and 0.4 < share["new.net", "/*/*"] < 0.6
+    got = tree(spark, data)
+    assert {t for (h, _), (t, _) in got.items() if h == "bad.net"} == {"/spam/*", "/news/*"}
+    assert got["bad.net", "/spam/999"][1] > 0.8 and got["bad.net", "/news/999"][1] < 0.2 and got["new.net", "/a/b"][0] == "/*/*" and 0.4 < got["new.net", "/a/b"][1] < 0.6
     assert url_templates.filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_deep_branches_are_told_apart(spark):
+    data = [("h", f"/a/b/c/d/{k}.html", 1) for k in range(20)] + [("h", f"/a/b/c/x/{k}", 0) for k in range(20)] + [("h", "/a/b/c/d/77.html", None), ("h", "/a/b/c/x/77", None), ("h", "/z" * 400, None)]
+    got = tree(spark, data)
+    assert got["h", "/a/b/c/d/77.html"][0] == "/a/b/c/d/*.html" and got["h", "/a/b/c/x/77"][0] == "/a/b/c/x/*"
+    assert got["h", "/a/b/c/d/77.html"][1] > 0.8 and got["h", "/a/b/c/x/77"][1] < 0.2
+    assert got["h", "/z" * 400][0] == "/*" * 400
+
+
+def test_similar_siblings_pool_their_counts(spark):
+    # Two small bad branches and a large good one: the bad ones differ from their parent, not from each other.
+    data = [("h", f"/good/{k}", 0) for k in range(400)] + [("h", f"/{b}/{k}", 1) for b in ("bad", "ill") for k in range(12)]
+    got = tree(spark, data, share=0.0)
+    assert got["h", "/bad/1"][1] == got["h", "/ill/1"][1] > got["h", "/good/1"][1]
+    nodes = url_templates.judged(url_templates.template_tree(spark.createDataFrame([("h", f"/{b}/{k}", 1, 1, int(b != "good")) for b in ("good", "bad", "ill") for k in range(12 if b != "good" else 400)], "host string, path string, n long, labelled long, bad long"), share=0.0)[1])
+    share = {r.node: r.share for r in nodes.collect()}
+    up = share[""]
+    assert share["/bad"] == pytest.approx((24 + 4 * up) / 28)
+
+
+def test_pipeline_run(spark, sf_dir):
+    import corpus_pipeline as c
+
+    out = c.run(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert out and all(r.decoded == texts[r.doc_id] for r in out)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"op6_language_id", "op9_quality_rules"}))
+def test_queries_against_brute_force(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).collect()
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()
+    if name.startswith("op1_"):
+        turns = {}
+        for r in sorted(read("conversations"), key=lambda r: (r.conv_id, r.turn)):
+            turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+        turns[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+        sha = lambda t: sha256(t.encode()).hexdigest()
+        loss = lambda v: "".join(t for r, t in v if r == "assistant")
+        want = {c: (len(v), sha("".join(f"{r}\n{t}\n" for r, t in v)), len(loss(v)), sha(loss(v))) for c, v in turns.items()}
+        assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want and len(got) == len(want)
+    elif name.startswith("op2_"):
+        component, size = brute_components([(r.doc_id, r.text) for r in read("documents")])
+        assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got} == {i: (c, size[i], c == i) for i, c in component.items()}
+    elif name.startswith("op4_"):
+        library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+        library.no_truncation()
+        library.no_padding()
+        want = {}
+        for r in read("documents"):
+            ids = library.encode(r.text or "", add_special_tokens=False).ids
+            want[r.doc_id] = (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+    elif name.startswith("op7_"):
+        sizes, docs_ = {}, {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in read("documents")}
+        for s, n in docs_.values():
+            sizes[s] = sizes.get(s, 0) + n
+        weights = {s: 1 + k % 3 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        target, taken = fill(sizes, weights), dict.fromkeys(sizes, 0)
+        for r in got:
+            s, n = docs_[r.doc_id]
+            assert (r["size"], r.source_size) == (n, sizes[s]) and r.target == pytest.approx(target[s]) and r.taken <= 3 * n and (not n or r.taken % n == 0)
+            taken[s] += r.taken
+        # What is drawn last of a source is one document.
+        most = {s: max(n for k, n in docs_.values() if k == s) for s in sizes}
+        assert len(got) == len(docs_) and all(abs(taken[s] - target[s]) <= most[s] for s in sizes)
+    else:
+        assert len(got) == len(read("pages"))
+        by = {r.page_id: r.url for r in read("pages")}
+        for r in got:
+            host, path = split(by[r.page_id])
+            assert (r.host, r.path) == (host, path) and r.verdict in ("allow", "block")
+            rule = brute_rule(host, path)
+            assert (r.rule, r.verdict) == rule if rule else r.rule is None
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, sf_dir, name):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), duck(sf_dir).execute(ORACLE_SQL[name]).df()

@@ -161,6 +161,31 @@ def test_chunked_framing(body, size):
     assert warc.MARK not in warc.chunked(marked, size) and warc.unchunked(warc.chunked(marked, size)) == marked
 
 
+@pytest.mark.parametrize("size", range(1, 24))
+def test_no_frame_completes_a_mark(size):
+    for k in range(len(warc.MARK) + 1):
+        for body in (warc.MARK[:k], b"<p>see " + warc.MARK[:k], warc.MARK + warc.MARK[:k], b"WARC/1.1" * 3 + warc.MARK[:k], b"x" * (size - 1) + warc.MARK[:k] + b"y"):
+            framed = warc.chunked(body, size)
+            assert warc.MARK not in framed and warc.unchunked(framed) == body
+
+
+def test_round_trip_of_payloads_that_end_like_a_mark(spark):
+    bodies = ["<p>see WARC/1.1", "WARC/1.1", "WARC/1.1\r\n", "a" * 8184 + "WARC/1.1", "a" * 8184 + "WARC/1.1\r\n" + "b" * 40_000, "WARC/1.1\r\n" * 5000]
+    rows = [(k, "http://x/WARC/1.1" if k % 2 else "WARC/1.1\r\n", b) for k, b in enumerate(bodies)]
+    got = {r.page_id: r for r in warc.round_trip(pages(spark, rows)).collect()}
+    assert len(got) == len(bodies)
+    for k, b in enumerate(bodies):
+        assert (got[k].payload_bytes, got[k].payload_digest, got[k].record_type) == (len(b), sha256(b.encode()).hexdigest(), "response")
+
+
+def test_many_turns_and_a_common_first_turn(spark):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", "same start" if k == 0 else f"{c % 40} {k}") for c in range(600) for k in range(3)] + [(9999, k, "user", f"turn {k}") for k in range(3000)]
+    formatted = chat_tree.format_conversations(chats(spark, rows))
+    tree = chat_tree.prefix_tree(formatted, 3)
+    got = {r.conv_id: r.n_turns for r in chat_tree.conversation_digests(chat_tree.read_back(formatted, tree)).collect()}
+    assert got == {c: 3 for c in range(600)} | {9999: 3000} and tree.count() == 1 + 2 * 40 + 3000
+
+
 def test_language_models_are_distributions(spark):
     rows = [(k, t * 3, l) for k, (t, l) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr")] * 30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
