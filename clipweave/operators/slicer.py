@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipweave.operators.intervals import islands
+from clipweave.operators.intervals import islands, points_in
 
 EPS = 1e-9
 #: A clip's legal length in seconds, with a millisecond of tolerance; lengths within PREFERRED weigh most.
@@ -19,9 +19,9 @@ def quiet_score(prob: Column, rms: Column) -> Column:
     return (1 - prob) + F.least(F.greatest(-rms / 100.0, F.lit(0.0)), F.lit(1.0))
 
 
-def frames_in(frames: DataFrame, buffers: DataFrame, keys: list[str]) -> DataFrame:
+def frames_in(frames: DataFrame, buffers: DataFrame, keys: list[str], bucket: float) -> DataFrame:
     """Frames strictly inside the buffers of their recording. buffers: keys, buffer_id, b_start, b_end."""
-    return frames.join(buffers, keys).where((F.col("center") > F.col("b_start") + EPS) & (F.col("center") < F.col("b_end") - EPS))
+    return points_in(frames, buffers, keys, "center", "b_start", "b_end", bucket, (F.col("center") > F.col("b_start") + EPS) & (F.col("center") < F.col("b_end") - EPS))
 
 
 def detect_cutpoints(frames: DataFrame, keys: list[str], prob_below: float = 0.2, rms_over_floor: float = 3.0, quantile: float = 0.10, least: float = 0.040) -> DataFrame:
@@ -160,40 +160,92 @@ def keep_order_clamp(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(F.aggregate(ws, zero, step, lambda s: s["out"]).alias("w")).select(*keys, F.posexplode("w").alias("pos", "x")).select(*keys, "pos", "x.start", "x.end", "x.word")
 
 
-def boundary_candidates(words: DataFrame, keys: list[str], guard_after: float = 0.045, guard_before: float = 0.035, least: float = 0.12, full: float = 0.5) -> DataFrame:
-    """Gaps after words that a clip may end in, with a strength from their length."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    g = words.withColumn("next_start", F.lead("start").over(w)).withColumn("gap", F.col("next_start") - F.col("end"))
-    g = g.where(F.col("gap") >= least).withColumn("time", (F.col("end") + guard_after + F.col("next_start") - guard_before) / 2)
-    return g.withColumn("strength", F.least(F.lit(1.0), F.col("gap") / full))
+#: Fixed values of the greedy grouping, in seconds: guards after and before a word, the least and the preferred guarded gap; a clip's target, least, soft most and most length.
+GUARD_AFTER, GUARD_BEFORE, LEAST_GAP, PREFERRED_GAP = 0.045, 0.035, 0.12, 0.24
+CLIP_TARGET, CLIP_LEAST, CLIP_SOFT, CLIP_MOST = 7.0, 2.0, 10.0, 15.0
+#: The acoustic score's share of a boundary's strength and the least it may be; the weights of length, strength and overshoot.
+ACOUSTIC_SHARE, LEAST_ACOUSTIC, BY_LENGTH, BY_STRENGTH, BY_OVERSHOOT = 0.65, 0.35, 0.55, 0.45, 0.35
+
 
+def boundary_candidates(words: DataFrame, keys: list[str], acoustic: str | None = None) -> DataFrame:
+    """Words that a clip may end with: those before a long enough guarded gap, with column gap, time (its middle) and strength.
 
-def greedy_groups(words: DataFrame, keys: list[str], longest: float = 15.0, target: float = 7.0, overshoot: float = 0.35) -> DataFrame:
-    """Chains of words cut greedily: each clip starts after the one before and ends at the best gap within the longest length.
+    ``acoustic``: a column of scores of the gaps' quiet, from 0 to 1; candidates below the least are dropped. Without it the score counts as 0.
+    """
+    w = Window.partitionBy(*keys).orderBy("start", "end", "pos")
+    lo, hi = F.col("end") + GUARD_AFTER, F.lead("start").over(w) - GUARD_BEFORE
+    g = words.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("gap", F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0.0))).where(F.col("_hi").isNotNull() & (F.col("gap") >= LEAST_GAP))
+    score = F.col(acoustic) if acoustic else F.lit(0.0)
+    if acoustic:
+        g = g.where(score >= LEAST_ACOUSTIC)
+    strength = F.lit(1.0 - ACOUSTIC_SHARE) * F.least(F.col("gap") / PREFERRED_GAP, F.lit(1.0)) + F.lit(ACOUSTIC_SHARE) * score
+    return g.withColumn("time", (F.col("_lo") + F.col("_hi")) / 2).withColumn("strength", strength).drop("_lo", "_hi")
+
+
+def clip_ends(start: np.ndarray, end: np.ndarray, strength: np.ndarray, gap: np.ndarray) -> list[tuple[int, int]]:
+    """First and last word of each clip of one recording, in order. ``strength`` is NaN where no clip may end."""
+    n, out, i = len(start), [], 0
+    may = np.flatnonzero(~np.isnan(strength[: n - 1])) if n else np.empty(0, int)
+    while i < n:
+        best, best_rank, over = None, None, None
+        for k in may[np.searchsorted(may, i) :]:
+            length = end[k] - start[i]
+            if length < CLIP_LEAST:
+                continue
+            if length > CLIP_MOST:
+                over = int(k)
+                break
+            score = BY_LENGTH * (1.0 - min(abs(length - CLIP_TARGET) / max(CLIP_TARGET - CLIP_LEAST, 0.5), 1.0)) + BY_STRENGTH * strength[k]
+            if length > CLIP_SOFT:
+                score -= BY_OVERSHOOT * min((length - CLIP_SOFT) / max(CLIP_MOST - CLIP_SOFT, 0.5), 1.0)
+            rank = (score, strength[k], gap[k])
+            if best_rank is None or rank > best_rank:
+                best, best_rank = int(k), rank
+        last = best if best is not None else over if over is not None else n - 1
+        out.append((i, last))
+        i = last + 1
+    return out
+
+
+def greedy_groups(words: DataFrame, keys: list[str], acoustic: str | None = None) -> DataFrame:
+    """Chains of words cut greedily: each clip starts after the one before and ends at the boundary that scores best by length and strength, else at
+    the first one past the most, else at the recording's end.
 
     words: keys, pos, start, end. A recording's words are one array in one task, as each cut depends on the last. Returns keys, clip, first, last, start, end.
     """
+    ends = boundary_candidates(words, keys, acoustic).select(*keys, "pos", "strength", "gap")
+    marked = words.select(*keys, "pos", "start", "end").join(ends, [*keys, "pos"], "left")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*keys).schema.fields) + ", clip int, first int, last int, start double, end double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "end", "pos"], ignore_index=True)
-        s, e = pdf["start"].to_numpy(float), pdf["end"].to_numpy(float)
-        gap = np.append(s[1:] - e[:-1], np.inf)
-        out, i, clip = [], 0, 0
-        while i < len(s):
-            length = e[i:] - s[i]
-            n = max(1, int((length <= longest).sum()))
-            ends = np.arange(i, i + n)
-            if i + n == len(s) and length[-1] <= longest:
-                j = len(s) - 1
-            else:
-                value = 0.55 * (1 - np.abs(length[:n] - target) / target) + 0.45 * np.minimum(1.0, gap[ends] / 0.5) - overshoot * np.maximum(0.0, (length[:n] - target) / target)
-                j = int(ends[int(np.argmax(value))])
-            out.append((clip, i, j, s[i], e[j]))
-            clip, i = clip + 1, j + 1
-        res = pd.DataFrame(out, columns=["clip", "first", "last", "start", "end"])
+        s, e, strength, gap = (pdf[c].to_numpy(float) for c in ("start", "end", "strength", "gap"))
+        res = pd.DataFrame([(k, i, j, s[i], e[j]) for k, (i, j) in enumerate(clip_ends(s, e, strength, gap))], columns=["clip", "first", "last", "start", "end"])
         for k in reversed(keys):
             res.insert(0, k, pdf[k].iloc[0])
         return res
 
-    return words.groupBy(*keys).applyInPandas(one, schema)
+    return marked.groupBy(*keys).applyInPandas(one, schema)
+
+
+def clip_specs(words: DataFrame, clips: DataFrame, keys: list[str], acoustic: str | None = None, long_over: float = 12.0) -> DataFrame:
+    """Each clip's words as one row: keys, clip, transcript, word_count, duration, avg_confidence and flags joined by a spaced pipe.
+
+    words: keys, pos, word, start, end, confidence; pos counts a recording's words in order. clips: as of ``greedy_groups``.
+    """
+    at_boundary = boundary_candidates(words, keys, acoustic).select(*keys, F.col("pos").alias("last"), F.lit(True).alias("bounded"))
+    spans = clips.select(*keys, "clip", F.col("start").alias("c_start"), F.col("end").alias("c_end"), "last", F.explode(F.sequence("first", "last")).alias("pos"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    spec = spans.join(words, [*keys, "pos"]).groupBy(*keys, "clip", "c_start", "c_end", "last").agg(F.trim(text).alias("transcript"), F.count(F.lit(1)).alias("word_count"), F.avg("confidence").alias("avg_confidence"))
+    spec = spec.withColumn("duration", F.col("c_end") - F.col("c_start")).join(at_boundary, [*keys, "last"], "left")
+    flags = joined_flags(
+        F.when(F.col("duration") > long_over, F.format_string("long_%.1fs", "duration")),
+        F.when(F.col("bounded").isNull() & (F.col("duration") > CLIP_MOST), F.format_string("no_safe_boundary_%.1fs", "duration")),
+        F.when(F.round("avg_confidence", 9) < 0.5, F.format_string("low_confidence_%.2f", "avg_confidence")),
+    )
+    return spec.select(*keys, "clip", "transcript", "word_count", "duration", "avg_confidence", flags.alias("flags"))
+
+
+def joined_flags(*flags: Column) -> Column:
+    """Flags that are there, each once and in order, joined by a spaced pipe."""
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*flags))), " | ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.operators import intervals as iv
 from clipweave.operators import slicer
-from clipweave.plans.intervals import words
+from clipweave.plans.intervals import WORDS_SQL, words
 from clipweave.plans.registry import query, table
 
 #: An event is a frame of ten minutes on a clock that runs 600 times slower, so that a day is 144 s; frames overlap by half.
@@ -124,9 +124,50 @@ def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicer.suppress(p.select("user_id", "day", "pair", "start", "end", "weight"), ["user_id", "day"], "weight", "pair", 0.5)
 
 
-@query()
+#: Words with an acoustic score of the gap after them and a confidence; and the boundaries among them.
+_SAID_SQL = f"""{WORDS_SQL},
+    said AS (SELECT *, ((pos * 37 + turn) % 101) / 100.0::DOUBLE AS acoustic, ((pos * 13 + conv_id) % 100) / 100.0::DOUBLE AS confidence, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY conv_id, turn) AS n,
+                    (lead(start) OVER w - 0.035::DOUBLE) - ("end" + 0.045::DOUBLE) AS room FROM words WINDOW w AS (PARTITION BY conv_id, turn ORDER BY start, "end", pos)),
+    bd AS (SELECT conv_id, turn, pos, idx, "end" AS e, room AS gap, 0.35::DOUBLE * least(room / 0.24::DOUBLE, 1.0::DOUBLE) + 0.65::DOUBLE * acoustic AS strength FROM said WHERE room >= 0.12 AND acoustic >= 0.35)"""
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acoustic, confidence = ((F.col("pos") * 37 + F.col("turn")) % 101) / F.lit(100.0), ((F.col("pos") * 13 + F.col("conv_id")) % 100) / F.lit(100.0)
+    return words(spark, sf_dir).withColumn("acoustic", acoustic).withColumn("confidence", confidence)
+
+
+@query(f"WITH {_SAID_SQL} SELECT conv_id, turn, pos, round(gap, 6) AS gap, round(strength, 6) AS strength FROM bd")
+def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = slicer.boundary_candidates(said(spark, sf_dir), ["conv_id", "turn"], "acoustic")
+    return b.select("conv_id", "turn", "pos", F.round("gap", 6).alias("gap"), F.round("strength", 6).alias("strength"))
+
+
+#: From every word: the boundaries of a legal length, the first one past the most, the best by score, then strength, gap and place; then the chain of clips from the first word on.
+_CLIPS_SQL = f"""{_SAID_SQL},
+    cd AS (SELECT s.conv_id, s.turn, s.idx AS i, b.idx AS j, b.e - s.start AS d, b.strength, b.gap FROM said s JOIN bd b ON b.conv_id = s.conv_id AND b.turn = s.turn AND b.idx >= s.idx AND b.e - s.start >= 2.0),
+    ov AS (SELECT conv_id, turn, i, min(j) AS past FROM cd WHERE d > 15.0 GROUP BY 1, 2, 3),
+    un AS (SELECT cd.*, 0.55::DOUBLE * (1.0::DOUBLE - least(abs(d - 7.0::DOUBLE) / 5.0::DOUBLE, 1.0::DOUBLE)) + 0.45::DOUBLE * strength - CASE WHEN d > 10.0 THEN 0.35::DOUBLE * least((d - 10.0::DOUBLE) / 5.0::DOUBLE, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS score
+           FROM cd LEFT JOIN ov USING (conv_id, turn, i) WHERE d <= 15.0 AND (past IS NULL OR j < past)),
+    be AS (SELECT conv_id, turn, i, j FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY score DESC, strength DESC, gap DESC, j) AS k FROM un) WHERE k = 1),
+    nx AS (SELECT s.conv_id, s.turn, s.idx AS i, coalesce(be.j, ov.past, s.n - 1) AS j FROM said s LEFT JOIN be ON be.conv_id = s.conv_id AND be.turn = s.turn AND be.i = s.idx LEFT JOIN ov ON ov.conv_id = s.conv_id AND ov.turn = s.turn AND ov.i = s.idx),
+    ch AS (SELECT conv_id, turn, 0 AS clip, i, j FROM nx WHERE i = 0 UNION ALL SELECT nx.conv_id, nx.turn, ch.clip + 1, nx.i, nx.j FROM ch JOIN nx ON nx.conv_id = ch.conv_id AND nx.turn = ch.turn AND nx.i = ch.j + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_CLIPS_SQL} SELECT ch.conv_id, ch.turn, clip::INT AS clip, i::INT AS first, j::INT AS last, a.start, b."end" FROM ch JOIN said a ON a.conv_id = ch.conv_id AND a.turn = ch.turn AND a.idx = i JOIN said b ON b.conv_id = ch.conv_id AND b.turn = ch.turn AND b.idx = j""")
 def greedy_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicer.greedy_groups(words(spark, sf_dir), ["conv_id", "turn"])
+    return slicer.greedy_groups(said(spark, sf_dir), ["conv_id", "turn"], "acoustic")
+
+
+@query(
+    f"""WITH RECURSIVE {_CLIPS_SQL}, sp AS (SELECT ch.conv_id, ch.turn, clip, any_value(bd.pos) IS NULL AS bare, trim(string_agg(word, ' ' ORDER BY s.idx)) AS transcript, count(*) AS word_count, max(s."end") FILTER (s.idx = j) - min(s.start) FILTER (s.idx = i) AS duration, avg(confidence) AS c
+        FROM ch JOIN said s ON s.conv_id = ch.conv_id AND s.turn = ch.turn AND s.idx BETWEEN i AND j LEFT JOIN bd ON bd.conv_id = ch.conv_id AND bd.turn = ch.turn AND bd.idx = j GROUP BY 1, 2, 3)
+    SELECT conv_id, turn, clip::INT AS clip, md5(transcript) AS digest, word_count, round(duration, 6) AS duration, round(c, 6) AS avg_confidence, array_to_string([x FOR x IN [CASE WHEN duration > 12.0 THEN 'long' END, CASE WHEN bare AND duration > 15.0 THEN 'no_safe_boundary' END, CASE WHEN round(c, 9) < 0.5 THEN 'low_confidence' END] IF x IS NOT NULL], ' | ') AS flags FROM sp"""
+)
+def clip_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = said(spark, sf_dir)
+    s = slicer.clip_specs(w, slicer.greedy_groups(w, ["conv_id", "turn"], "acoustic"), ["conv_id", "turn"], "acoustic")
+    bare = F.regexp_replace("flags", "_[0-9.]+s?( |$)", "$1")  # without the numbers, which the engines round each in their way
+    return s.select("conv_id", "turn", "clip", F.md5("transcript").alias("digest"), "word_count", F.round("duration", 6).alias("duration"), F.round("avg_confidence", 6).alias("avg_confidence"), bare.alias("flags"))
 
 
 @query(
@@ -141,7 +182,14 @@ def longest_quiet_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.longest_run_below(f, ["user_id"], "prob", 0.5).select("user_id", F.round("longest", 6).alias("longest"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL}, m AS (SELECT conv_id, turn, word, CASE WHEN pos % 4 = 1 THEN greatest(start - 0.1::DOUBLE, 0.0::DOUBLE) ELSE start END AS start, "end" FROM words),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start, "end", word) AS i FROM m),
+    f AS (SELECT conv_id, turn, i, word, start AS s, "end" AS e, "end" > start AS kept, CASE WHEN "end" > start THEN "end" END AS last FROM o WHERE i = 1
+          UNION ALL SELECT o.conv_id, o.turn, o.i, o.word, c.s, o."end", o."end" > c.s, CASE WHEN o."end" > c.s THEN o."end" ELSE f.last END
+          FROM f JOIN o ON o.conv_id = f.conv_id AND o.turn = f.turn AND o.i = f.i + 1, LATERAL (SELECT CASE WHEN f.last IS NOT NULL AND o.start < f.last - 0.001::DOUBLE THEN f.last ELSE o.start END AS s) c)
+    SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS pos, s AS start, e AS "end", word FROM f WHERE kept"""
+)
 def words_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every fourth word is made to begin before the last one ends.
     w = words(spark, sf_dir).withColumn("start", F.when(F.col("pos") % 4 == 1, F.greatest(F.col("start") - 0.1, F.lit(0.0))).otherwise(F.col("start")))
