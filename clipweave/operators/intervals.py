@@ -53,7 +53,7 @@ def union_length(rows: DataFrame, keys: list[str], start: str = "start", end: st
     return union(rows, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("length"))
 
 
-def merge_unless_intruded(target: DataFrame, others: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def merge_unless_intruded(target: DataFrame, others: DataFrame, keys: list[str], bucket: float, start: str = "start", end: str = "end") -> DataFrame:
     """Neighbouring target intervals joined across their gap unless another's interval overlaps it: keys, start, end, parts, blocked.
 
     The gap before each interval is found by a running maximum; a banded join finds the gaps that are intruded.
@@ -62,7 +62,7 @@ def merge_unless_intruded(target: DataFrame, others: DataFrame, keys: list[str],
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gaps = target.withColumn("gap_start", reach).withColumn("gap", F.coalesce(F.col(start) > F.col("gap_start"), F.lit(False)))
     open_gaps = gaps.where("gap").select(*keys, F.col("gap_start").alias("g_start"), F.col(start).alias("g_end")).distinct()
-    hit = range_join(open_gaps, others.select(*keys, F.col(start).alias("o_start"), F.col(end).alias("o_end")), keys, "g_start", "g_end", "o_start", "o_end")
+    hit = range_join(open_gaps, others.select(*keys, F.col(start).alias("o_start"), F.col(end).alias("o_end")), keys, "g_start", "g_end", "o_start", "o_end", bucket)
     hit = hit.select(*keys, F.col("g_end").alias(start), F.lit(True).alias("intruded")).distinct()
     marked = gaps.drop("gap_start").join(hit, [*keys, start], "left")
     flag = F.coalesce(F.col("intruded") & F.col("gap"), F.lit(False))
@@ -70,20 +70,13 @@ def merge_unless_intruded(target: DataFrame, others: DataFrame, keys: list[str],
     return out.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts"), F.sum("_b").cast("bigint").alias("blocked")).drop("island")
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, how: str = "inner", bucket: float | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, bucket: float) -> DataFrame:
     """Pairs with equal keys and overlapping intervals.
 
-    With ``bucket`` both sides are repeated over the buckets of that width that they touch and a pair is made in the first that both
-    touch, so a key with many intervals is spread and the join is an equi-join throughout. Without, the keys alone are joined on.
+    Both sides are repeated over the buckets of that width that they touch and a pair is made in the first that both
+    touch, so a key with many intervals is spread and the join is an equi-join throughout. Take about the length of the longer side's intervals.
     """
     meets = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    if bucket is None:
-        r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-        on = meets
-        for k in keys:
-            on &= F.col(k) == F.col(f"_r_{k}")
-        joined = left.join(r, on, how)
-        return joined.drop(*[f"_r_{k}" for k in keys])
     at = lambda c: F.floor(F.col(c) / F.lit(float(bucket)))
     l_all = left.withColumn("_b", F.explode(F.sequence(at(ls), at(le))))
     r_all = right.withColumn("_b", F.explode(F.sequence(at(rs), at(re))))
@@ -91,22 +84,29 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le:
     return l_all.join(r_all, [*keys, "_b"]).where(meets & first).drop("_b")
 
 
-def stab(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points strictly inside spans, with the depth: the distance to the nearer end. Points in no span keep nulls."""
-    s = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in spans.columns if c not in keys])
-    on = (F.col(start) < F.col(at)) & (F.col(at) < F.col(end))
+def points_in(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: float, inside: Column, how: str = "inner") -> DataFrame:
+    """Points with the spans of their key that they lie in, as ``inside`` says. Spans are repeated over the buckets of that width that they touch, so the join is an equi-join on key and bucket."""
+    place = lambda c: F.floor(F.col(c) / F.lit(float(bucket)))
+    s = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in spans.columns if c not in keys], F.explode(F.when(F.col(start) <= F.col(end), F.sequence(place(start), place(end)))).alias("_s_b"))
+    on = (place(at) == F.col("_s_b")) & inside
     for k in keys:
         on &= F.col(k) == F.col(f"_s_{k}")
-    return points.join(s, on, "left").withColumn("depth", F.least(F.col(at) - F.col(start), F.col(end) - F.col(at))).drop(*[f"_s_{k}" for k in keys])
+    return points.join(s, on, how).drop(*[f"_s_{k}" for k in keys], "_s_b")
+
+
+def stab(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: float) -> DataFrame:
+    """Points strictly inside spans, with the depth: the distance to the nearer end. Points in no span keep nulls."""
+    hit = points_in(points, spans, keys, at, start, end, bucket, (F.col(start) < F.col(at)) & (F.col(at) < F.col(end)), "left")
+    return hit.withColumn("depth", F.least(F.col(at) - F.col(start), F.col(end) - F.col(at)))
 
 
-def position_preference(candidates: DataFrame, regions: DataFrame, keys: list[str], id_col: str, full_margin: float) -> DataFrame:
+def position_preference(candidates: DataFrame, regions: DataFrame, keys: list[str], id_col: str, full_margin: float, bucket: float) -> DataFrame:
     """How far inside a region each candidate lies, as a share of ``full_margin``: the best of the containing regions, 0 if its key has regions but none
     contains it, 0.5 if its key has none. candidates: start, end; regions: r_start, r_end."""
     known = regions.select(*keys).distinct().withColumn("known", F.lit(True))
     inside = (F.col("r_start") <= F.col("start")) & (F.col("end") <= F.col("r_end"))
     margin = F.least(F.col("start") - F.col("r_start"), F.col("r_end") - F.col("end"))
-    best = candidates.join(regions, keys).where(inside).groupBy(id_col).agg(F.max(margin).alias("margin"))
+    best = points_in(candidates, regions.select(*keys, "r_start", "r_end"), keys, "start", "r_start", "r_end", bucket, inside).groupBy(id_col).agg(F.max(margin).alias("margin"))
     out = candidates.join(known, keys, "left").join(best, id_col, "left")
     return out.withColumn("position_preference", F.when(F.col("margin").isNotNull(), F.least(F.lit(1.0), F.col("margin") / F.lit(float(full_margin)))).when(F.col("known"), 0.0).otherwise(0.5)).drop("known", "margin")
 
@@ -118,9 +118,9 @@ def concat_layout(files: DataFrame, keys: list[str], order: str, length: str, ga
     return files.withColumn("offset", offset).withColumn("offset_end", F.col("offset") + F.col(length))
 
 
-def remap(regions: DataFrame, layout: DataFrame, keys: list[str]) -> DataFrame:
+def remap(regions: DataFrame, layout: DataFrame, keys: list[str], bucket: float) -> DataFrame:
     """Regions of the laid-out timeline cut at file borders and given in each file's own time; what lies in gaps goes."""
-    both = range_join(regions, layout, keys, "start", "end", "offset", "offset_end")
+    both = range_join(regions, layout, keys, "start", "end", "offset", "offset_end", bucket)
     lo, hi = F.greatest("start", "offset") - F.col("offset"), F.least("end", "offset_end") - F.col("offset")
     return both.withColumn("local_start", lo).withColumn("local_end", hi).where("local_end > local_start")
 

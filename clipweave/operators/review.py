@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import reasons
-from clipweave.operators.intervals import union, union_length
+from clipweave.operators.intervals import points_in, union, union_length
 
 
 def patched_tokens(tokens: Column, patches: Column) -> Column:
@@ -73,22 +73,31 @@ def energy_regions(frames: DataFrame, keys: list[str], join_gap: float = 0.18, p
     return union(first.where(F.col("end") - F.col("start") >= least).drop("parts"), keys, gap=rejoin_gap)
 
 
-def window_mean(windows: DataFrame, frames: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """The mean level of the frames within each closed window, else that of the frame nearest to its middle. windows: keys, id, w_start, w_end; frames: keys, at, level."""
-    inside = windows.join(frames, keys).where((F.col("at") >= F.col("w_start")) & (F.col("at") <= F.col("w_end"))).groupBy(id_col).agg(F.avg("level").alias("inside"))
-    bare = windows.join(inside, id_col, "left_anti")
-    middle = (F.col("w_start") + F.col("w_end")) / 2
-    near = bare.join(frames, keys).groupBy(id_col).agg(F.min_by("level", F.struct(F.abs(F.col("at") - middle).alias("d"), "at")).alias("near"))
+def window_mean(windows: DataFrame, frames: DataFrame, keys: list[str], id_col: str, bucket: float) -> DataFrame:
+    """The mean level of the frames within each closed window, else that of the frame nearest to its middle. windows: keys, id, w_start, w_end; frames: keys, at, level.
+
+    Frames meet windows by time bucket; the nearest frame comes from the last one before and the first one after, in one order of frames and middles.
+    """
+    within = (F.col("w_start") <= F.col("at")) & (F.col("at") <= F.col("w_end"))
+    inside = points_in(frames.select(*keys, "at", "level"), windows.select(*keys, id_col, "w_start", "w_end"), keys, "at", "w_start", "w_end", bucket, within).groupBy(id_col).agg(F.avg("level").alias("inside"))
+    middles = windows.join(inside, id_col, "left_anti").select(*keys, ((F.col("w_start") + F.col("w_end")) / 2).alias("at"), F.lit(None).cast("struct<at:double,level:double>").alias("frame"), F.col(id_col))
+    both = frames.select(*keys, "at", F.struct(F.col("at").cast("double").alias("at"), F.col("level").cast("double").alias("level")).alias("frame"), F.lit(None).cast(windows.schema[id_col].dataType).alias(id_col)).unionByName(middles)
+    in_order = Window.partitionBy(*keys).orderBy("at", F.col("frame").isNull())
+    before = F.last("frame", True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("frame", True).over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("_b", before).withColumn("_a", after).where(F.col("frame").isNull())
+    near = near.select(id_col, F.when(F.coalesce(F.col("_a.at") - F.col("at") < F.col("at") - F.col("_b.at"), F.col("_b").isNull()), F.col("_a.level")).otherwise(F.col("_b.level")).alias("near"))
     return windows.join(inside, id_col, "left").join(near, id_col, "left").withColumn("mean_level", F.coalesce("inside", "near", F.lit(0.0))).drop("inside", "near")
 
 
-def snap(gaps: DataFrame, frames: DataFrame, keys: list[str], id_col: str, slack: float = 1.15) -> DataFrame:
+def snap(gaps: DataFrame, frames: DataFrame, keys: list[str], id_col: str, bucket: float, slack: float = 1.15) -> DataFrame:
     """Where to cut in each gap: of the frames within ``slack`` of the gap's least level the one nearest to its middle; the middle where there are none.
 
-    gaps: keys, id, g_start, g_end; frames: keys, at, level.
+    gaps: keys, id, g_start, g_end; frames: keys, at, level. Frames meet gaps by time bucket.
     """
     middle = (F.col("g_start") + F.col("g_end")) / 2
-    in_gap = gaps.join(frames, keys).where((F.col("at") >= F.col("g_start")) & (F.col("at") <= F.col("g_end")))
+    within = (F.col("g_start") <= F.col("at")) & (F.col("at") <= F.col("g_end"))
+    in_gap = points_in(frames.select(*keys, "at", "level"), gaps.select(*keys, id_col, "g_start", "g_end"), keys, "at", "g_start", "g_end", bucket, within)
     low = in_gap.groupBy(id_col).agg(F.min("level").alias("low"))
     best = in_gap.join(low, id_col).where(F.col("level") <= F.col("low") * slack + 1e-12).groupBy(id_col).agg(F.min_by("at", F.struct(F.abs(F.col("at") - middle).alias("d"), "at")).alias("cut"))
     return gaps.join(best, id_col, "left").withColumn("cut", F.coalesce("cut", middle))

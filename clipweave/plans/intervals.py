@@ -49,7 +49,7 @@ def union_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def region_merge_intrusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = regions(spark, sf_dir)
-    out = iv.merge_unless_intruded(r.where("speaker = 'view'").select("user_id", "start", "end"), r.where("speaker <> 'view'"), ["user_id"])
+    out = iv.merge_unless_intruded(r.where("speaker = 'view'").select("user_id", "start", "end"), r.where("speaker <> 'view'"), ["user_id"], 86400.0)
     return out.select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "parts", "blocked")
 
 
@@ -81,11 +81,11 @@ def concat_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concat_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     r = table(spark, sf_dir, "supplier").select(k.alias("region"), (k % 50).alias("project"), (k * 37 % 1000).cast("double").alias("start"), (k * 37 % 1000 + 400).cast("double").alias("end"))
-    out = iv.remap(r, _layout(spark, sf_dir), ["project"])
+    out = iv.remap(r, _layout(spark, sf_dir), ["project"], 86400.0)
     return out.select("region", "file", F.round("local_start", 6).alias("local_start"), F.round("local_end", 6).alias("local_end"))
 
 
-_CAND = """cand AS (SELECT event_id, user_id, start + 600 AS start, start + 1800 AS "end" FROM regions WHERE event_id % 5 = 0)"""
+_CAND = """cand AS (SELECT event_id, user_id, start + 600 AS start, start + 1800 AS "end" FROM regions)"""
 
 
 @query(
@@ -96,9 +96,9 @@ _CAND = """cand AS (SELECT event_id, user_id, start + 600 AS start, start + 1800
 )
 def position_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = regions(spark, sf_dir)
-    cand = r.where("event_id % 5 = 0").select("event_id", "user_id", (F.col("start") + 600).alias("start"), (F.col("start") + 1800).alias("end"))
+    cand = r.select("event_id", "user_id", (F.col("start") + 600).alias("start"), (F.col("start") + 1800).alias("end"))
     reg = r.where("speaker = 'view'").select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return iv.position_preference(cand, reg, ["user_id"], "event_id", 7200.0).select("event_id", F.round("position_preference", 6).alias("position_preference"))
+    return iv.position_preference(cand, reg, ["user_id"], "event_id", 7200.0, 86400.0).select("event_id", F.round("position_preference", 6).alias("position_preference"))
 
 
 @query("SELECT doc_id, k AS chunk, k * 3.0::DOUBLE AS chunk_start, (k + 1) * 3.0::DOUBLE AS chunk_end FROM (SELECT doc_id, unnest(range(least(floor(n_chars / 100.0 / 3.0), 20)::BIGINT))::INT AS k FROM documents)")
@@ -179,14 +179,14 @@ def coordinate_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {REGIONS_SQL}, cuts AS (SELECT event_id, user_id, start + 1234 AS t FROM regions WHERE event_id % 3 = 0), sp AS (SELECT user_id, event_id AS span_id, start, "end" FROM regions WHERE speaker = 'click')
+    f"""WITH {REGIONS_SQL}, cuts AS (SELECT event_id, user_id, start + 1234 AS t FROM regions), sp AS (SELECT user_id, event_id AS span_id, start, "end" FROM regions WHERE speaker = 'click')
     SELECT c.event_id, s.span_id, round(least(c.t - s.start, s."end" - c.t), 6) AS depth FROM cuts c LEFT JOIN sp s ON c.user_id = s.user_id AND s.start < c.t AND c.t < s."end" """
 )
 def cut_stab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = regions(spark, sf_dir)
-    cuts = r.where("event_id % 3 = 0").select("event_id", "user_id", (F.col("start") + 1234).alias("t"))
+    cuts = r.select("event_id", "user_id", (F.col("start") + 1234).alias("t"))
     spans = r.where("speaker = 'click'").select("user_id", F.col("event_id").alias("span_id"), "start", "end")
-    return iv.stab(cuts, spans, ["user_id"], "t", "start", "end").select("event_id", "span_id", F.round("depth", 6).alias("depth"))
+    return iv.stab(cuts, spans, ["user_id"], "t", "start", "end", 86400.0).select("event_id", "span_id", F.round("depth", 6).alias("depth"))
 
 
 @query(

@@ -68,7 +68,7 @@ def energy_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("user_id", "day", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-_WINDOWS = """w AS (SELECT pos, user_id, day, moment + 1 AS w_start, moment + 1 + (pos % 7) * 5 AS w_end FROM lv WHERE pos % 3 = 0)"""
+_WINDOWS = """w AS (SELECT pos, user_id, day, moment + 1 AS w_start, moment + 1 + (pos % 7) * 5 AS w_end FROM lv)"""
 
 
 @query(
@@ -78,18 +78,18 @@ _WINDOWS = """w AS (SELECT pos, user_id, day, moment + 1 AS w_start, moment + 1
 )
 def window_mean_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     lv = _levels(spark, sf_dir)
-    w = lv.where("pos % 3 = 0").select("pos", "user_id", "day", (F.col("at") + 1).alias("w_start"), (F.col("at") + 1 + (F.col("pos") % 7) * 5).alias("w_end"))
-    return review.window_mean(w, lv.select("user_id", "day", "at", "level"), ["user_id", "day"], "pos").select("pos", F.round("mean_level", 6).alias("mean_level"))
+    w = lv.select("pos", "user_id", "day", (F.col("at") + 1).alias("w_start"), (F.col("at") + 1 + (F.col("pos") % 7) * 5).alias("w_end"))
+    return review.window_mean(w, lv.select("user_id", "day", "at", "level"), ["user_id", "day"], "pos", 20.0).select("pos", F.round("mean_level", 6).alias("mean_level"))
 
 
 @query(
-    f"""WITH {_LEVELS}, g AS (SELECT pos, user_id, day, moment - 20 AS g_start, moment + 31 AS g_end FROM lv WHERE pos % 3 = 0), x AS (SELECT g.pos, g_start, g_end, lv.moment, lv.level, min(level) OVER (PARTITION BY g.pos) AS low FROM g JOIN lv ON lv.user_id = g.user_id AND lv.day = g.day AND lv.moment >= g_start AND lv.moment <= g_end)
+    f"""WITH {_LEVELS}, g AS (SELECT pos, user_id, day, moment - 20 AS g_start, moment + 31 AS g_end FROM lv), x AS (SELECT g.pos, g_start, g_end, lv.moment, lv.level, min(level) OVER (PARTITION BY g.pos) AS low FROM g JOIN lv ON lv.user_id = g.user_id AND lv.day = g.day AND lv.moment >= g_start AND lv.moment <= g_end)
     SELECT pos, round(moment, 6) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(moment - (g_start + g_end) / 2), moment) AS k FROM x WHERE level <= low * 1.15 + 1e-12) WHERE k = 1"""
 )
 def boundary_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lv = _levels(spark, sf_dir)
-    g = lv.where("pos % 3 = 0").select("pos", "user_id", "day", (F.col("at") - 20).alias("g_start"), (F.col("at") + 31).alias("g_end"))
-    return review.snap(g, lv.select("user_id", "day", "at", "level"), ["user_id", "day"], "pos").select("pos", F.round("cut", 6).alias("cut"))
+    g = lv.select("pos", "user_id", "day", (F.col("at") - 20).alias("g_start"), (F.col("at") + 31).alias("g_end"))
+    return review.snap(g, lv.select("user_id", "day", "at", "level"), ["user_id", "day"], "pos", 20.0).select("pos", F.round("cut", 6).alias("cut"))
 
 
 @query(
