@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipweave.operators.written import written
+
 
 def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """``df`` with each row's number in a total order from 1, and the count of rows.
@@ -15,8 +17,7 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    # The cut of the ranges is drawn from the data: kept, so that both uses see one cut.
-    keyed = keyed.persist()
+    keyed = written(keyed, "numbered")  # the cut of the ranges is drawn from the data: both uses see one cut
     sizes = {r[0]: r[1] for r in keyed.groupBy("_part").count().collect()}
     shift, total = [], 0
     for p in sorted(sizes):
@@ -30,7 +31,8 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -
 def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows up to each, in a total order, computed as ``with_row_number`` does."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).withColumn("_v", value).persist()
+    keyed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).withColumn("_v", value)
+    keyed = written(keyed, "summed")
     sums = {r[0]: r[1] or 0 for r in keyed.groupBy("_part").agg(F.sum("_v")).collect()}
     shift, total = [], 0
     for p in sorted(sums):

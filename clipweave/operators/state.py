@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipweave.operators.written import scratch
+
 #: Fixed value: the stages of a run, in order.
 STAGES = ["source_audio", "audio_variants", "diarization", "buffers", "candidate_review_clips", "transcript_qc", "speaker_purity", "native_export"]
 
@@ -144,17 +146,28 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 30) -> DataFrame:
-    """All nodes under the roots: node, depth. edges: parent, child. One join per level, each level's new nodes only, up to the deepest."""
-    level = roots.select(F.col("node"), F.lit(0).alias("depth")).distinct().persist()
-    seen = level
-    for depth in range(1, max_depth + 1):
-        found = edges.join(level, edges["parent"] == level["node"], "left_semi").select(F.col("child").alias("node")).distinct()
-        level = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if level.isEmpty():
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All nodes under the roots: node, depth. edges: parent, child.
+
+    One join per level, of the newest nodes only, down to the deepest. Levels are written to one table in the shared folder, so a level's plan doesn't hold the ones before it.
+    With ``max_depth`` a deeper graph is an error.
+    """
+    spark, path, depth = edges.sparkSession, scratch(edges.sparkSession, "closure"), 0
+    edges = edges.select("parent", "child")
+    kind = roots.schema["node"].dataType.simpleString()
+    read = lambda level: spark.read.schema(f"node {kind}").parquet(f"{path}/depth={level}")
+    roots.select("node").distinct().write.parquet(f"{path}/depth=0")
+    while not read(depth).isEmpty():
+        if max_depth is not None and depth >= max_depth:
+            deeper = edges.join(read(depth).withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).join(spark.read.schema(f"node {kind}, depth int").parquet(path), "node", "left_anti")
+            if not deeper.isEmpty():
+                raise ValueError(f"the graph is deeper than {max_depth} levels")
             break
-        seen = seen.unionByName(level)
-    return seen
+        found = edges.join(read(depth).withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        seen = spark.read.schema(f"node {kind}, depth int").parquet(path)
+        found.join(seen, "node", "left_anti").write.parquet(f"{path}/depth={depth + 1}")
+        depth += 1
+    return spark.read.schema(f"node {kind}, depth int").parquet(path)
 
 
 def chunks_complete(chunks: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -82,7 +82,15 @@ def staleness_and_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    """WITH RECURSIVE ev AS (SELECT user_id AS clip_id, CASE WHEN event_type = 'view' THEN row_number() OVER w - 1 ELSE event_id % 5 END AS expected, CASE WHEN event_id % 3 = 0 THEN 'accepted' END AS rs, CASE WHEN event_id % 4 = 0 THEN event_type END AS tr,
+        row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    f AS (SELECT DISTINCT clip_id, 0::BIGINT AS i, 0::BIGINT AS version, 'unresolved' AS status, NULL::VARCHAR AS transcript, 0::BIGINT AS refused, n FROM ev
+          UNION ALL SELECT ev.clip_id, ev.i, CASE WHEN expected = version THEN version + 1 ELSE version END,
+              CASE WHEN expected <> version THEN status WHEN rs IS NOT NULL THEN rs WHEN tr IS NOT NULL AND tr IS DISTINCT FROM transcript AND status = 'accepted' THEN 'unresolved' ELSE status END,
+              CASE WHEN expected = version THEN coalesce(tr, transcript) ELSE transcript END, CASE WHEN expected = version THEN refused ELSE refused + 1 END, f.n FROM f JOIN ev ON ev.clip_id = f.clip_id AND ev.i = f.i + 1)
+    SELECT clip_id, version, status, transcript, refused FROM f WHERE i = n"""
+)
 def edit_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", F.when(F.col("event_type") == "view", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).otherwise(F.col("event_id") % 5).cast("bigint").alias("expected_version"),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import doubles
 from clipweave.operators import signal
+from clipweave.operators.written import scratch
 from clipweave.plans.registry import query, table
 from clipweave.streaming import jobs
 
@@ -72,12 +70,6 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.events(spark, sf_dir, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, or a temporary one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="clipweave-stream-")
-
-
 @query(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM s GROUP BY user_id, k"""
@@ -89,18 +81,22 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.to_timestamp_ntz(F.col("s.start").cast("string")).alias("start"), F.to_timestamp_ntz(F.col("s.end").cast("string")).alias("end"), "events")
 
 
-@query()
+@query(
+    # A window is final, and so in the table, once the newest event is an hour past its end.
+    """WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS start FROM events, range(2) r(k))
+    SELECT event_type, start, start + INTERVAL 1 DAY AS "end", count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"""
+)
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding windows over the events as a stream, drained into a table."""
-    base = _scratch(spark)
+    base = scratch(spark, "stream")
     out = jobs.windowed(_stream(spark, sf_dir), ["event_type"], "ts", "value", "1 day", "12 hours", "1 hour")
-    return jobs.run_to_table(out, f"{base}/checkpoint", f"{base}/table").select("event_type", "start", "end", "n", F.round("total", 4).alias("total"))
+    return jobs.run_to_table(out, f"{base}/checkpoint", f"{base}/table").select("event_type", *[F.to_timestamp_ntz(F.col(c).cast("string")).alias(c) for c in ("start", "end")], "n", F.round("total", 4).alias("total"))
 
 
 @query()
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job states from messages: a user's events are a job's claim, heartbeats and end."""
-    base = _scratch(spark)
+    base = scratch(spark, "stream")
     kind = F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "purchase", "done").otherwise("heartbeat")
     messages = _stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), "ts", kind.alias("kind"))
     return jobs.run_to_table(jobs.job_states(messages, 86_400_000), f"{base}/checkpoint", f"{base}/table", "update")
