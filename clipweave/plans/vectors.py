@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.functions.arrays import dot, doubles, unit
+from clipweave.functions.arrays import doubles, unit
 from clipweave.operators import vectors as vx
 from clipweave.plans.registry import query, table
 
@@ -65,9 +65,10 @@ def vec_rerank_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _v(spark, sf_dir).withColumn("w", unit(F.col("embedding"))).select("vec_id", "label", "w")
     probes = u.where("vec_id % 50 = 0").select(F.col("vec_id").alias("probe"), F.col("label").alias("probe_label"), F.col("w").alias("p"))
-    met = u.join(probes, F.col("vec_id") != F.col("probe")).withColumn("s", F.round(dot(F.col("w"), F.col("p")), 9))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("s"), "vec_id")))
-    return vx.recall_at(ranked, "probe", F.col("label") == F.col("probe_label"), "rank", [5, 25])
+    best = vx.nearest(u.select(F.col("vec_id").alias("id"), "w"), probes.select("probe", "p"), 25)
+    ranked = best.join(u.select(F.col("vec_id").alias("id"), "label"), "id").join(probes.select("probe", "probe_label"), "probe")
+    totals = u.groupBy(F.col("label").alias("probe_label")).agg((F.count(F.lit(1)) - 1).alias("relevant"))  # all of the label but the probe
+    return vx.recall_at(ranked.join(totals, "probe_label"), "probe", F.col("label") == F.col("probe_label"), "rank", [5, 25], F.col("relevant"))
 
 
 @query(f"WITH {_C}, s AS (SELECT u.vec_id, c.label AS hit, round(list_dot_product(u.w, c.c), 9) AS s FROM u CROSS JOIN c WHERE u.label = 0 AND c.label <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, hit DESC) AS k FROM s WHERE s >= 0.05) SELECT vec_id, hit, round(s, 6) AS similarity FROM k WHERE k = 1")
