@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import reasons
 from clipweave.operators import curves, qc
+from clipweave.operators.ordering import with_row_number
 from clipweave.plans.registry import query, table
 
 MATCH_MIN, CHECK_MIN = 85.0, 70.0
@@ -117,9 +118,11 @@ def qc_riskiest_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.riskiest(kept.select("clip_id", *[c.alias(k) for k, c in m.items()]), "least_margin", 25)
 
 
-@query(f"WITH {SCORED_SQL} SELECT clip_id, \"check\" FROM scored ORDER BY \"check\" DESC NULLS LAST, clip_id LIMIT 50")
+@query(f"WITH {SCORED_SQL} SELECT clip_id, \"check\", row_number() OVER (ORDER BY \"check\" DESC NULLS LAST, clip_id) AS place FROM scored")
 def clip_sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qc.sorted_clips(scored_clips(spark, sf_dir).select("clip_id", "check"), "check", True, "clip_id").limit(50)
+    # The place of each clip in the order that sorted_clips gives: unscored ones last.
+    s = scored_clips(spark, sf_dir).select("clip_id", "check", F.col("check").isNull().alias("last"), (-F.col("check")).alias("falling"))
+    return with_row_number(s, ["last", "falling", "clip_id"], "place")[0].select("clip_id", "check", "place")
 
 
 @query("SELECT doc_id AS clip_id, source, lang FROM documents WHERE (contains(lower(text), 'tion') OR contains(lower(source), 'tion')) AND lang IN ('en', 'fr')")

@@ -13,13 +13,13 @@ from clipweave.plans.registry import query, table
 
 #: Word probabilities of a document: one per word, from its place; the fourth of the documents whose id ends in 7 are on the unit scale.
 PROBS_SQL = """
-    pw AS (SELECT doc_id, [((i * 7 + doc_id) % 100)::DOUBLE / CASE WHEN doc_id % 10 = 7 THEN 100.0 ELSE 1.0 END FOR i IN range(least(len(string_split(text, ' ')), 40))] AS p FROM documents)
+    pw AS (SELECT doc_id, [((i * 7 + doc_id) % 100)::DOUBLE / CASE WHEN doc_id % 10 = 7 THEN 100.0 ELSE 1.0 END FOR i IN range(len(string_split(text, ' ')))] AS p FROM documents)
 """
 
 
 def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    n = F.least(F.size(F.split("text", " ", -1)), F.lit(40))
+    n = F.size(F.split("text", " ", -1))
     p = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i * 7 + F.col("doc_id")) % 100).cast("double") / F.when(F.col("doc_id") % 10 == 7, 100.0).otherwise(1.0))
     return d.select("doc_id", p.alias("p"))
 
@@ -51,11 +51,11 @@ def hazard_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT w.token, regexp_replace(w.token, '^[^\p{L}\p{N}_'']+|[^\p{L}\p{N}_'']+$', '', 'g') AS bare, count(*) AS n
-    FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS token FROM documents WHERE lang = 'en') w
+    FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS token FROM documents) w
     WHERE regexp_matches(regexp_replace(w.token, '^[^\p{L}\p{N}_'']+|[^\p{L}\p{N}_'']+$', '', 'g'), '[\p{L}\p{N}]') GROUP BY 1, 2"""
 )
 def lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     w = d.select(F.explode(F.split(F.regexp_replace("text", "\n", " "), " ", -1)).alias("token")).groupBy("token").count()
     return w.select("token", text.lexical_token(F.col("token")).alias("bare"), F.col("count").alias("n")).where("bare IS NOT NULL")
 
@@ -108,11 +108,11 @@ def filename_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.filename_stem(F.col("html"), F.col("page_id").cast("string")).alias("stem"))
 
 
-@query("SELECT doc_id, sha256('transcript:' || left(text, 200) || chr(10) || 'audio:' || source) AS content_hash, 'cand-' || left(sha1(format('{}:{:.3f}:{:.3f}:{}', source, doc_id / 8.0, doc_id / 8.0 + 4.0, lang)), 16) AS candidate_id FROM documents")
+@query("SELECT doc_id, sha256('transcript:' || text || chr(10) || 'audio:' || source) AS content_hash, 'cand-' || left(sha1(format('{}:{:.3f}:{:.3f}:{}', source, doc_id / 8.0, doc_id / 8.0 + 4.0, lang)), 16) AS candidate_id FROM documents")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     at = F.col("doc_id") / F.lit(8.0)
-    return d.select("doc_id", text.content_hash(F.substring("text", 1, 200), F.col("source")).alias("content_hash"), text.candidate_id(F.col("source"), at, at + 4.0, F.col("lang")).alias("candidate_id"))
+    return d.select("doc_id", text.content_hash(F.col("text"), F.col("source")).alias("content_hash"), text.candidate_id(F.col("source"), at, at + 4.0, F.col("lang")).alias("candidate_id"))
 
 
 @query(
