@@ -3,7 +3,7 @@
 Text is reduced to letters, lower-cased, with one space between runs; a space also stands before and after. Per language, n-grams up to
 ``order`` characters are counted in Spark: the highest order by occurrences, lower orders by the number of distinct characters before them. All
 languages share one sorted array of n-gram hashes, with a row of log probabilities per n-gram seen in any language and a row of
-back-off weights per context: a lookup is one binary search. A text's score for a language is its cross-entropy per character; the
+back-off weights per context: a lookup is one binary search for each distinct n-gram of a batch. A text's score for a language is its cross-entropy per character; the
 lowest wins. Confidence is a logistic function of the margin to the runner-up and of the length, fitted on the training texts; texts below
 ``reject_below``, the confidence that keeps the error of what is accepted on those under ``max_error``, are marked rejected.
 
@@ -55,6 +55,13 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _find(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted array ``held`` and whether each value is there; each distinct value is searched once."""
+    which, unique = pd.factorize(wanted)
+    at = np.minimum(np.searchsorted(held, unique), len(held) - 1)
+    return at[which], (held[at] == unique)[which]
+
+
 def _count(order: int):
     """(lang, held, text) to n-gram counts by batch: lang, held, n, gram, first n-1 (context), last n-1 (suffix), count."""
 
@@ -63,21 +70,22 @@ def _count(order: int):
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500).to_pandas()
                 for (lang, held), texts in b.groupby(["lang", "held"])["text"]:
-                    grams = {n: [] for n in range(1, order + 1)}
-                    for t in texts:
-                        c = _codes(letters(t))
-                        for n in grams:
-                            g = _hashes(c, n)
-                            if len(g):
-                                context = _hashes(c, n - 1)[: len(g)] if n > 1 else np.zeros(len(g), np.uint64)
-                                suffix = _hashes(c, n - 1)[1:] if n > 1 else np.zeros(len(g), np.uint64)
-                                grams[n].append(np.stack([g, context, suffix]))
-                    for n, found in grams.items():
-                        if found:
-                            g, context, suffix = np.concatenate(found, 1)
-                            unique, first, count = np.unique(g, return_index=True, return_counts=True)
-                            k = len(unique)
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, held, bool)), pa.array(np.full(k, n, np.int32)), *(pa.array(x.view(np.int64)) for x in (unique, context[first], suffix[first])), pa.array(count.astype(np.int64))], ["lang", "held", "n", "gram", "context", "suffix", "count"])
+                    reduced = [t for t in map(letters, texts) if t]
+                    codes, sizes = _codes("".join(reduced)), np.array([len(t) for t in reduced], np.int64)
+                    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from each on to its text's end
+                    shorter = np.zeros(len(codes) + 1, np.uint64)
+                    for n in range(1, order + 1):
+                        hashes = _hashes(codes, n)
+                        at = np.flatnonzero(room[: len(hashes)] >= n)
+                        if not len(at):
+                            break
+                        which, unique = pd.factorize(hashes[at])
+                        k = len(unique)
+                        first = np.empty(k, np.int64)
+                        first[which[::-1]] = at[::-1]
+                        keys = (pa.array(x.view(np.int64)) for x in (unique, shorter[first], shorter[first + 1]))
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, held, bool)), pa.array(np.full(k, n, np.int32)), *keys, pa.array(np.bincount(which, minlength=k))], ["lang", "held", "n", "gram", "context", "suffix", "count"])
+                        shorter = hashes
 
     return run
 
@@ -141,9 +149,7 @@ class Models:
         open_[: self.order] = False
         for n in range(self.order, 0, -1):
             rows = np.flatnonzero(open_)
-            h = _hashes(codes, n)[rows - n + 1]
-            at = np.minimum(np.searchsorted(self.grams[n], h), len(self.grams[n]) - 1)
-            hit = self.grams[n][at] == h
+            at, hit = _find(self.grams[n], _hashes(codes, n)[rows - n + 1])
             logp[rows[hit]] += self.logp[n][at[hit]]
             open_[rows[hit]] = False
             rest = rows[~hit]
@@ -152,9 +158,7 @@ class Models:
             if n == 1:
                 logp[rest] += self.unseen
             else:
-                c = _hashes(codes, n - 1)[rest - n + 1]
-                at = np.minimum(np.searchsorted(self.contexts[n], c), len(self.contexts[n]) - 1)
-                known = self.contexts[n][at] == c
+                at, known = _find(self.contexts[n], _hashes(codes, n - 1)[rest - n + 1])
                 logp[rest[known]] += self.backoff[n][at[known]]
         # The space that opens a text is given, not predicted.
         sums = np.concatenate((np.zeros((1, logp.shape[1])), np.cumsum(logp, 0, dtype=np.float64)))
