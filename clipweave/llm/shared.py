@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_noted = threading.local()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/clipweave-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/clipweave-{uuid.uuid4().hex}/{name}"
+    if (paths := getattr(_noted, "paths", None)) is not None:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list that gets the scratch paths which this thread makes within; for ``release`` when what reads them is written elsewhere."""
+    before, _noted.paths = getattr(_noted, "paths", None), []
+    try:
+        yield _noted.paths
+    finally:
+        _noted.paths = before
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables. Whatever still reads them fails."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
