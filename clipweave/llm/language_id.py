@@ -3,7 +3,7 @@
 Text is reduced to letters, lower-cased, with one space between runs; a space also stands before and after. Per language, n-grams up to
 ``order`` characters are counted in Spark: the highest order by occurrences, lower orders by the number of distinct characters before them. All
 languages share one sorted array of n-gram hashes, with a row of log probabilities per n-gram seen in any language and a row of
-back-off weights per context: a lookup is one binary search for each distinct n-gram of a batch. A text's score for a language is its cross-entropy per character; the
+back-off weights per context: a lookup is one binary search for each distinct n-gram of a run of texts. A text's score for a language is its cross-entropy per character; the
 lowest wins. Confidence is a logistic function of the margin to the runner-up and of the length, fitted on the training texts; texts below
 ``reject_below``, the confidence that keeps the error of what is accepted on those under ``max_error``, are marked rejected.
 
@@ -13,12 +13,15 @@ training rows everything is ``und``. Equal scores go to the language that sorts
 
 from __future__ import annotations
 
+import functools
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ ORDER = 4
 #: So many labelled rows per language, and an eighth of them at most, are expected to calibrate the confidence; they are chosen by a hash of
 #: the id. The models count every labelled row, these included.
 CALIBRATION_ROWS = 150
+#: Texts are counted and scored in runs of about so many characters, whatever their number; a longer text is a run of its own.
+COUNT_RUN, SCORE_RUN = 2_000_000, 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,6 +48,47 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a mark, else 0."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for kind, pattern in ((1, r"\p{M}+"), (2, r"\p{L}+")):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def reduced(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``letters`` of many texts at once: their code points one after the other, and how many each has."""
+    lower = [f" {t.lower()} " if t else " " for t in texts]
+    if not lower:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) for t in lower], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    kind = _kinds()[codes]
+    word = kind > 0
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    keep[starts] = True  # of a run of other characters, the first stays and becomes a space
+    lettered = np.maximum.reduceat(kind, starts) == 2
+    if not lettered.all():
+        keep &= np.repeat(lettered, lengths)
+    return np.where(word, codes, np.uint32(32))[keep].astype(np.uint64), np.add.reduceat(keep, starts, dtype=np.int64)
+
+
+def _runs(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about ``size`` characters together."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all n-grams of a code sequence, by their last characters' order."""
     size = len(codes) - n + 1
@@ -55,6 +101,23 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _hashes_at(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``_hashes`` of the n-grams that begin at some places only; of no characters, 0."""
+    h = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        h = (h ^ codes[at + k]) * _M
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _firsts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where each stands first, which of them stands at each place, and how often each stands."""
+    which, unique = pd.factorize(hashes)
+    first = np.empty(len(unique), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return unique, first, which, np.bincount(which, minlength=len(unique))
+
+
 def _find(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the sorted array ``held`` and whether each value is there; each distinct value is searched once."""
     which, unique = pd.factorize(wanted)
@@ -63,29 +126,31 @@ def _find(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _count(order: int):
-    """(lang, held, text) to n-gram counts by batch: lang, held, n, gram, first n-1 (context), last n-1 (suffix), count."""
+    """(lang, held, text) to n-gram counts by batch: lang, held, n, gram, first n-1 (context), last n-1 (suffix), count.
+
+    Only the longest n-grams are looked for at every character. A shorter one either opens a text or ends a longer one, so it is looked for in
+    those places alone; its count is the number of those, which is all that is asked of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500).to_pandas()
-                for (lang, held), texts in b.groupby(["lang", "held"])["text"]:
-                    reduced = [t for t in map(letters, texts) if t]
-                    codes, sizes = _codes("".join(reduced)), np.array([len(t) for t in reduced], np.int64)
-                    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from each on to its text's end
-                    shorter = np.zeros(len(codes) + 1, np.uint64)
-                    for n in range(1, order + 1):
-                        hashes = _hashes(codes, n)
-                        at = np.flatnonzero(room[: len(hashes)] >= n)
-                        if not len(at):
-                            break
-                        which, unique = pd.factorize(hashes[at])
-                        k = len(unique)
-                        first = np.empty(k, np.int64)
-                        first[which[::-1]] = at[::-1]
-                        keys = (pa.array(x.view(np.int64)) for x in (unique, shorter[first], shorter[first + 1]))
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, held, bool)), pa.array(np.full(k, n, np.int32)), *keys, pa.array(np.bincount(which, minlength=k))], ["lang", "held", "n", "gram", "context", "suffix", "count"])
-                        shorter = hashes
+            for part in _runs(whole, "text", COUNT_RUN):
+                for (lang, held), texts in part.to_pandas().groupby(["lang", "held"])["text"]:
+                    codes, sizes = reduced(texts.tolist())
+                    sizes = sizes[sizes > 0]
+                    opens = np.cumsum(sizes) - sizes
+                    room = np.repeat(opens + sizes, sizes) - np.arange(len(codes))  # characters from each on to its text's end
+                    at = np.flatnonzero(room >= order)
+                    hashes = _hashes(codes, order)[at]
+                    for n in range(order, 0, -1):
+                        unique, first, _, count = _firsts(hashes)
+                        at = at[first]
+                        k = len(at)
+                        keys = (pa.array(x.view(np.int64)) for x in (unique, _hashes_at(codes, at, n - 1), _hashes_at(codes, at + 1, n - 1)))
+                        if k:
+                            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, held, bool)), pa.array(np.full(k, n, np.int32)), *keys, pa.array(count)], ["lang", "held", "n", "gram", "context", "suffix", "count"])
+                        at = np.concatenate((opens[sizes >= n - 1], at + 1))
+                        hashes = _hashes_at(codes, at, n - 1)
 
     return run
 
@@ -138,32 +203,41 @@ class Models:
         suffix = one["suffix"].to_numpy().view(np.uint64)[order]
         return context_of, self.logp[n - 1][np.searchsorted(self.grams[n - 1], suffix), j].astype(np.float64)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each reduced text in each language, and its number of characters."""
-        pad = self.order - 1
-        codes = _codes((" " * pad).join(["", *texts, ""]))
-        sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(np.concatenate(([pad], sizes[:-1] + pad)))
-        logp = np.zeros((len(codes), len(self.langs)), np.float32)
-        open_ = np.ones(len(codes), bool)
-        open_[: self.order] = False
+    def _logp(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """In each language, the log probability of the last character of the n-grams of full order that begin at some places."""
+        logp, open_ = np.zeros((len(at), len(self.langs)), np.float32), np.arange(len(at))
         for n in range(self.order, 0, -1):
-            rows = np.flatnonzero(open_)
-            at, hit = _find(self.grams[n], _hashes(codes, n)[rows - n + 1])
-            logp[rows[hit]] += self.logp[n][at[hit]]
-            open_[rows[hit]] = False
-            rest = rows[~hit]
-            if not len(rest):
+            begin = at[open_] + self.order - n
+            place, hit = _find(self.grams[n], _hashes_at(codes, begin, n))
+            logp[open_[hit]] += self.logp[n][place[hit]]
+            open_, begin = open_[~hit], begin[~hit]
+            if not len(open_):
                 break
             if n == 1:
-                logp[rest] += self.unseen
+                logp[open_] += self.unseen
             else:
-                at, known = _find(self.contexts[n], _hashes(codes, n - 1)[rest - n + 1])
-                logp[rest[known]] += self.backoff[n][at[known]]
+                place, known = _find(self.contexts[n], _hashes_at(codes, begin, n - 1))
+                logp[open_[known]] += self.backoff[n][place[known]]
+        return logp
+
+    def entropies(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each text, as ``reduced`` gives them, in each language, and its number of characters.
+
+        A character's probability depends on its n-gram alone, so each distinct n-gram is looked up once.
+        """
+        pad = self.order - 1
+        moved = pad * np.arange(1, len(sizes) + 1)
+        spaced = np.full(len(codes) + pad * (len(sizes) + 1), 32, np.uint64)
+        spaced[np.arange(len(codes)) + np.repeat(moved, sizes)] = codes
+        _, first, which, _ = _firsts(_hashes(spaced, self.order))
+        logp = self._logp(spaced, first)[np.append(which, 0)]
         # The space that opens a text is given, not predicted.
-        sums = np.concatenate((np.zeros((1, logp.shape[1])), np.cumsum(logp, 0, dtype=np.float64)))
+        ends = np.cumsum(sizes) + moved - pad
+        spans = np.stack((ends - sizes + np.minimum(1, sizes), ends), 1)
+        sums = np.add.reduceat(logp, spans.ravel(), 0, np.float64)[::2]
+        sums[spans[:, 0] == spans[:, 1]] = 0
         n_chars = np.maximum(sizes - 1, 1)
-        return -(sums[starts + sizes] - sums[starts + np.minimum(1, sizes)]) / n_chars[:, None], n_chars
+        return -sums / n_chars[:, None], n_chars
 
 
 def _features(entropy: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
@@ -180,12 +254,12 @@ class Identifier:
         self.weights = np.array([0.0, 1.0, 0.0, 0.0])
         self.reject_below = 0.0
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        entropy, n_chars = self.models.entropies(texts)
+    def scores(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entropy, n_chars = self.models.entropies(codes, sizes)
         return entropy.argmin(1), 1 / (1 + np.exp(-np.clip(_features(entropy, n_chars) @ self.weights, -30, 30)))
 
     def calibrate(self, texts: list[str], langs: list[str], max_error: float) -> None:
-        entropy, n_chars = self.models.entropies(texts)
+        entropy, n_chars = self.models.entropies(_codes("".join(texts)), np.array([len(t) for t in texts], np.int64))
         right = np.array([self.models.langs[k] for k in entropy.argmin(1)]) == np.array(langs)
         x = _features(entropy, n_chars)
         w = self.weights
@@ -232,8 +306,9 @@ def train(labelled: DataFrame, order: int = ORDER, calibration_rows: int = CALIB
     texts, langs = [], []
     for text, lang in zip(held["text"], held["lang"], strict=True):
         for size in (12, 40, 150, len(text)):
-            texts.append(letters(text[:size]))
-            langs.append(lang)
+            if piece := letters(text[:size]):
+                texts.append(piece)
+                langs.append(lang)
     if texts:
         without.calibrate(texts, langs, max_error)
         found.weights, found.reject_below = without.weights, without.reject_below
@@ -248,13 +323,12 @@ def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                texts = [letters(t) for t in b.column(1).to_pylist()]
-                langs, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                some = [k for k, t in enumerate(texts) if t]
-                if some and model is not None:
-                    best, p = model.scores([texts[k] for k in some])
+            for b in _runs(whole, "text", SCORE_RUN):
+                codes, sizes = reduced(b.column(1).to_pylist())
+                langs, scores, rejected = ["und"] * len(sizes), np.zeros(len(sizes)), np.ones(len(sizes), bool)
+                some = np.flatnonzero(sizes)
+                if len(some) and model is not None:
+                    best, p = model.scores(codes, sizes[some])
                     for k, j in zip(some, best, strict=True):
                         langs[k] = model.models.langs[j]
                     scores[some], rejected[some] = p, p < model.reject_below

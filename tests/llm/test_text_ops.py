@@ -7,6 +7,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -193,9 +194,10 @@ def test_language_models_are_distributions(spark):
     # Probabilities of all continuations of a context sum to one at most.
     m = found.models
     letters = sorted({c for _, t, _ in rows for c in t})
+    entropies = lambda texts: m.entropies(language_id._codes("".join(texts)), np.array([len(t) for t in texts]))
     for context in ("the", " ch", "zzz"):
-        entropy, n = m.entropies([context + c for c in letters])
-        base, n0 = m.entropies([context])
+        entropy, n = entropies([context + c for c in letters])
+        base, n0 = entropies([context])
         assert (np.exp(-(entropy * n[:, None] - base * n0[:, None])).sum(0) < 1.001).all()
     out = {r.doc_id: r for r in language_id.identify(d.unionByName(spark.createDataFrame([(900, None, "x"), (901, "123 !?", "x"), (902, "", None), (None, "the mat the cat " * 900, "en")], d.schema)), found).collect()}
     assert sum(out[k].lang_pred == l for k, _, l in rows) == len(rows)
@@ -257,3 +259,27 @@ def test_language_models_count_every_row(spark):
     assert m.langs == [*single, "many"]
     want = {int(h) for _, t, _ in rows for h in language_id._hashes(language_id._codes(f" {t} "), 4)}
     assert set(map(int, m.grams[4])) == want
+
+
+def test_texts_are_reduced_at_once_as_one_by_one():
+    texts = [None, "", "  ", "\u0301\u0301", "ab", "Ab1c", " \u0301 x", "İZMİR Ⅷ", "日本 語", "x" * 5000, "a\x00b\r\nc"]
+    texts += ["".join(chr(c) for c in np.random.default_rng(k).integers(32, 900 + 12_000 * (k % 2), k % 30)) for k in range(600)]
+    codes, sizes = language_id.reduced(texts)
+    flat, at = "".join(map(chr, codes.tolist())), 0
+    for text, size in zip(texts, sizes.tolist(), strict=True):
+        assert flat[at : at + size] == language_id.letters(text)
+        at += size
+    assert at == len(flat) and [len(x) for x in language_id.reduced([])] == [0, 0]
+
+
+def test_every_ngram_of_every_order_is_counted():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(k % 5)) for k in range(200)] + [None, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array([False] * len(texts)), pa.array(texts, pa.string())], ["lang", "held", "text"])
+    got = pa.Table.from_batches(language_id._count(4)(iter([batch]))).to_pandas()
+    for n in range(1, 5):
+        every = [int(h) for t in texts if language_id.letters(t) for h in language_id._hashes(language_id._codes(language_id.letters(t)), n)]
+        seen = got[got["n"] == n]
+        assert sorted(seen["gram"].to_numpy().view(np.uint64).tolist()) == sorted(set(every))
+        if n == 4:
+            assert dict(zip(seen["gram"].to_numpy().view(np.uint64).tolist(), seen["count"], strict=True)) == {h: every.count(h) for h in set(every)}
