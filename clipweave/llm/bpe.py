@@ -25,10 +25,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Code points that this box's regex module takes for letters or numbers, as newer Unicode does, and the tokenizers library doesn't yet.
+NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF
+18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96
+1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479
+3D000-3FC3F
+"""
+_NEWER = "".join("-".join(chr(int(end, 16)) for end in part.split("-")) for part in NEWER.split())
+#: Characters before all of those go first, so that the long list is seldom looked through.
+_BEFORE = f"{chr(int(NEWER.split()[0].split('-')[0], 16))}-\U0010ffff"
+_LETTERS, _NUMBERS = (rf"(?:[^\P{{{k}}}{_BEFORE}]+|[^\P{{{k}}}{_NEWER}])+" for k in "LN")
+_OTHERS = rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]+|[{_NEWER}])+"
 #: The pre-token pattern of byte-level BPE.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}| ?{_NUMBERS}| ?{_OTHERS}|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
 #: Runs that a pre-token of one kind can go on with.
-_RUNS = {k: regex.compile(p) for k, p in {"L": r"\p{L}+", "N": r"\p{N}+", "P": r"[^\p{White_Space}\p{L}\p{N}]+"}.items()}
+_RUNS = {k: regex.compile(p) for k, p in {"L": _LETTERS, "N": _NUMBERS, "P": _OTHERS}.items()}
 _WHITE = regex.compile(r"\p{White_Space}")
 _NONE = 1 << 40
 #: Characters of a text that are read at a time; pre-tokens longer than LONG bytes are streamed.

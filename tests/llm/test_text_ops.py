@@ -34,6 +34,13 @@ def test_bpe_equals_library(parts, step):
     assert "".join(d.feed([i]) for i in want) + d.finish() == THEIRS.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_newer_letters_are_others_as_in_the_library():
+    for part in bpe.NEWER.split():
+        for c in {chr(int(end, 16)) for end in part.split("-")}:
+            for text in (f"a{c}!", f" {c}'ll", f"1{c}{c} 2"):
+                assert bpe.encode_text(bpe.Encoder(VOCAB), text) == THEIRS.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("alphabet", ["ab", "a", "aeth", " ", " \n", "!-=", "0123", "ßüé"])
 def test_bpe_long_pretokens_in_constant_memory(alphabet):
     rnd = random.Random(1)
