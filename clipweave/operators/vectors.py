@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,103 +124,11 @@ def zscores(rows: DataFrame, vector: str, dims: int) -> DataFrame:
 
 
 def display_labels(rows: DataFrame, cluster: str) -> DataFrame:
-    """Cluster numbers for display: -1 is outliers, the others count from 1 in order. One row per cluster is numbered and joined back."""
+    """Cluster numbers for display: -1 is outliers, the others count from 1 in order, as text. One row per cluster is numbered and joined back."""
     numbered = rows.where(F.col(cluster) >= 0).select(cluster).distinct().withColumn("_n", F.row_number().over(Window.orderBy(cluster)))
-    return rows.join(checked(numbered), cluster, "left").withColumn("display", F.coalesce(F.concat(F.lit("cluster "), F.col("_n")), F.lit("outliers"))).drop("_n")
-
-
-def _density_labels(x: np.ndarray, least: int) -> np.ndarray:
-    """HDBSCAN labels of one group's vectors: mutual-reachability spanning tree, condensed, most stable clusters."""
-    n = len(x)
-    if n < max(2, least):
-        return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if n <= 400 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    core = np.sort(d, 1)[:, min(least, n - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
-    best, parent, done = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
-    done[0], edges = True, []
-    for _ in range(n - 1):
-        j = int(np.where(done, np.inf, best).argmin())
-        edges.append((best[j], parent[j], j))
-        done[j] = True
-        closer = reach[j] < best
-        best, parent = np.where(closer, reach[j], best), np.where(closer, j, parent)
-    edges.sort()
-    up, size, kids, height = list(range(2 * n - 1)), [1] * (2 * n - 1), {}, {}
-
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    for m, (w, a, b) in enumerate(edges, n):
-        ra, rb = root(a), root(b)
-        kids[m], height[m], size[m] = (ra, rb), w, size[ra] + size[rb]
-        up[ra] = up[rb] = m
-    top = 2 * n - 2
-    todo = [(top, top, 0.0)]
-    born = {top: 0.0}
-    inner: dict[int, list[int]] = {top: []}
-    stability = {top: 0.0}
-
-    def leaves(k: int) -> list[int]:
-        out, stack = [], [k]
-        while stack:
-            k = stack.pop()
-            if k < n:
-                out.append(k)
-            else:
-                stack += kids[k]
-        return out
-
-    while todo:
-        node, cluster, _ = todo.pop()
-        if node < n:
-            continue
-        lam = 1 / max(height[node], 1e-12)
-        a, b = kids[node]
-        big = [k for k in (a, b) if size[k] >= least]
-        if len(big) == 2:
-            stability[cluster] += size[node] * (lam - born[cluster])
-            for k in (a, b):
-                born[k], stability[k], inner[k] = lam, 0.0, []
-                inner[cluster].append(k)
-                todo.append((k, k, lam))
-        else:
-            for k in (a, b):
-                if size[k] < least:
-                    stability[cluster] += size[k] * (lam - born[cluster])
-                else:
-                    todo.append((k, cluster, lam))
-    chosen: dict[int, bool] = {}
-    for c in sorted(stability):  # children have smaller numbers than their parents
-        below = sum(stability[k] for k in inner[c])
-        chosen[c] = c != top and (not inner[c] or stability[c] >= below)
-        if not chosen[c]:
-            stability[c] = below
-    labels, stack, number = np.full(n, -1), [top], 0
-    while stack:
-        c = stack.pop()
-        if chosen[c]:
-            for k in leaves(c):
-                labels[k] = number
-            number += 1
-        else:
-            stack += sorted(inner[c])
-    return labels
-
-
-def density_clusters(rows: DataFrame, keys: list[str], id_col: str, vector: str, least: int) -> DataFrame:
-    """HDBSCAN labels within each key: keys, id, cluster (-1: outlier). A key is one search's candidates, a bounded list."""
-    out = rows.select(*keys, id_col).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.fields) + ", cluster int"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, ignore_index=True)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return pdf[[*keys, id_col]].assign(cluster=_density_labels(x, least).astype("int32"))
-
-    return rows.select(*keys, id_col, doubles(F.col(vector)).alias(vector)).groupBy(*keys).applyInPandas(one, schema)
+    return rows.join(checked(numbered), cluster, "left").withColumn("display", F.coalesce(F.col("_n").cast("string"), F.lit("outliers"))).drop("_n")
 
+
+def risk_flag(display: Column) -> Column:
+    """The risk flag of a display label."""
+    return F.concat(F.lit("cluster_"), display)

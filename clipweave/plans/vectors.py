@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import doubles, unit
 from clipweave.operators import vectors as vx
+from clipweave.operators.density import density_clusters
 from clipweave.plans.registry import query, table
 
 DIMS = 64
@@ -85,11 +86,11 @@ def vec_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vec_density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _v(spark, sf_dir).withColumn("search", F.pmod("vec_id", F.lit(4)))
-    return vx.display_labels(vx.density_clusters(v, ["search"], "vec_id", "embedding", 5), "cluster").select("search", "vec_id", "cluster", "display")
+    found = vx.display_labels(density_clusters(_v(spark, sf_dir), "vec_id", "embedding"), "cluster")
+    return found.select("vec_id", "cluster", "display", vx.risk_flag(F.col("display")).alias("risk_flag"))
 
 
-@query("SELECT vec_id, CASE WHEN label % 4 = 3 THEN 'outliers' ELSE 'cluster ' || dense_rank() OVER (PARTITION BY label % 4 = 3 ORDER BY label) END AS display FROM embeddings")
+@query("SELECT vec_id, d AS display, 'cluster_' || d AS risk_flag FROM (SELECT vec_id, CASE WHEN label % 4 = 3 THEN 'outliers' ELSE '' || dense_rank() OVER (PARTITION BY label % 4 = 3 ORDER BY label) END AS d FROM embeddings)")
 def cluster_display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") % 4 == 3, -1).otherwise(F.col("label")).alias("cluster"))
-    return vx.display_labels(v, "cluster").select("vec_id", "display")
+    return vx.display_labels(v, "cluster").select("vec_id", "display", vx.risk_flag(F.col("display")).alias("risk_flag"))

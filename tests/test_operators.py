@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipweave.operators import curves, export, ordering, qc, scoring, signal, slicer, state, vectors
+from clipweave.operators import curves, density, export, ordering, qc, scoring, signal, slicer, state, vectors
 from clipweave.operators import intervals as iv
 
 
@@ -180,7 +180,7 @@ def test_outliers_and_clusters(spark):
     d = table(spark, rows, "k int, id int, v array<double>")
     low = min(vectors.leave_one_out(d, ["k"], "v", 4).collect(), key=lambda r: r.loo_similarity)
     assert low.id == 99
-    labels = {r.id: r.cluster for r in vectors.density_clusters(d, ["k"], "id", "v", 5).collect()}
+    labels = {r.id: r.cluster for r in density.density_clusters(d, "id", "v", 5).collect()}
     assert labels[99] == -1 and labels[0] != labels[1] and {labels[i] for i in range(0, 40, 2)} == {labels[0]}
 
 
