@@ -53,8 +53,16 @@ def to_samples(seconds: Column, rate: Column | float) -> Column:
 
 
 def to_seconds(samples: Column, rate: Column | float) -> Column:
-    """A sample index to seconds, to 6 places."""
-    return F.bround(samples.cast("double") / rate, 6)
+    """A sample index to seconds, to 6 places. Where samples / rate lies exactly between two, its double's own error decides, as in correct rounding, and the even one if it has none."""
+    s, r = samples.cast("double"), F.lit(1.0) * rate
+    halves = s * 2e6 / r
+    split = 134217729.0 * (s / r)
+    high = split - (split - s / r)  # 26 bits, so that products with the rate are exact
+    error = (high * r - s) + (s / r - high) * r
+    below = F.floor(halves / 2)
+    up = (error > 0) | ((error == 0) & (below % 2 == 1))
+    tie = (s * 2e6 % r == 0) & (halves % 2 == 1)
+    return F.when(tie, (below + up.cast("int")) / F.lit(1e6)).otherwise(F.bround(s / r, 6))
 
 
 def rescale_samples(samples: Column, from_rate: Column | float, to_rate: Column | float) -> Column:

@@ -62,3 +62,9 @@ def test_text(spark):
     assert r.hazards == ["contains_currency_symbol", "contains_danger_symbol", "contains_numeric_token", "contains_percent_symbol"]
     assert (r.same, r.order, r.pause, r.tight, r.end) == ("identical", "word_order", "so,", "so", "so.")
     assert (r.stem, r.blank, r.speaker, r.nospeaker, r.digest, r.bad, r.path, r.up) == ("a b c", "id", "speaker_7", None, "a" * 64, None, True, False)
+
+
+@pytest.mark.parametrize("rate", [16000, 32000, 44100, 48000])
+def test_seconds_round_as_written_numbers_do(spark, rate):
+    got = spark.range(20_001).select("id", numeric.to_seconds(F.col("id"), rate).alias("s")).collect()
+    assert all(r.s == round(r.id / rate, 6) for r in got)
