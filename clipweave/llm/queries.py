@@ -90,6 +90,12 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.simhash import simhash_groups
+
+    return simhash_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_templates": op10_url_templates,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
