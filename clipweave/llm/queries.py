@@ -96,6 +96,12 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.spelling import spelling_groups, word_counts
+
+    return spelling_groups(word_counts(_read(spark, sf_dir, "documents"), every=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_templates": op10_url_templates,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
