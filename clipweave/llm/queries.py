@@ -102,6 +102,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(word_counts(_read(spark, sf_dir, "documents"), every=97))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipweave.llm.repair import damaged, repair_report
+
+    rows = _read(spark, sf_dir, "conversations")
+    return repair_report(rows, damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_templates": op10_url_templates,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
