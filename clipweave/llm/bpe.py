@@ -42,7 +42,7 @@ _OTHERS = rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]+|[{_NEWER}])+"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}| ?{_NUMBERS}| ?{_OTHERS}|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
 #: Runs that a pre-token of one kind can go on with.
 _RUNS = {k: regex.compile(p) for k, p in {"L": _LETTERS, "N": _NUMBERS, "P": _OTHERS}.items()}
-_WHITE = regex.compile(r"\p{White_Space}")
+_WHITE, _WHITES = regex.compile(r"\p{White_Space}"), regex.compile(r"\p{White_Space}*")
 _NONE = 1 << 40
 #: Characters of a text that are read at a time; pre-tokens longer than LONG bytes are streamed.
 SLICE, LONG = 1 << 13, 256
@@ -163,16 +163,16 @@ class Encoder:
 
     def _go_on(self, text: str, end: int, final: bool, out: list[int]) -> int:
         """Streams the open pre-token's next bytes; returns how far."""
-        if self.open == "S":
-            m = regex.compile(r"\p{White_Space}*").match(text)
-            stop = m.end() if m.end() == len(text) else max(0, m.end() - 1)
-            closed = m.end() < len(text) or final
-            stop = stop if closed else max(0, min(stop, end - 1))
-        else:
-            m = _RUNS[self.open].match(text)
-            stop = m.end() if m else 0
-            closed = stop < len(text) or final
-            stop = stop if closed else min(stop, end)
+        white = self.open == "S"
+        m = (_WHITES if white else _RUNS[self.open]).match(text)
+        stop = m.end() if m else 0
+        closed = final or stop < len(text)
+        if white and stop < len(text):
+            stop = max(0, stop - 1)  # the last one may go to the next word
+        if not final and stop > end:  # what begins after it may be the begin of a special token
+            stop, closed = max(0, end - white), False
+        elif not closed:
+            stop = max(0, min(stop, end - white))
         self._grow(text[:stop], out)
         if closed:
             out.extend(self.vocab.merge(self.tail) if len(self.tail) <= 2 * LONG else self._all(self.tail))
