@@ -32,15 +32,16 @@ from clipweave.llm.shared import materialize, spread_join
 #: The template: a user or system turn, an assistant turn, and the mark that escapes control strings.
 OPEN, CLOSE, END, ESC = "[INST]", "[/INST]", "</s>", "\\"
 ROLE = "<|{}|>"
-_TURN = re.compile(r"<\|([^\\|]*(?:\\.[^\\|]*)*)\|>(?:\[INST\]([^\\\[]*(?:\\.[^\\\[]*)*)\[/INST\]|([^\\<]*(?:\\.[^\\<]*)*)</s>)", re.S)
-_UNESCAPE = re.compile(r"\\(.)", re.S)
-#: Of characters that could begin a mark, only these are escaped in a text.
+_TEXT = r"((?:[^\\\[<|]+|[\\\[<|]\\)*+)"
+_TURN = re.compile(rf"<\|{_TEXT}\|>(?:\[INST\]{_TEXT}\[/INST\]|{_TEXT}</s>)")
+_UNESCAPE = re.compile(r"([\\\[<|])\\")
+#: Of characters that a mark could begin with, only these are escaped in a text.
 _SPECIAL = re.compile(r"[\\\[<|]")
 
 
 def escape(text: str) -> str:
-    """``text`` with an escape before every character that a mark could begin with."""
-    return _SPECIAL.sub(lambda m: ESC + m[0], text)
+    """``text`` with an escape behind every character that a mark could begin with, so that no mark is left in one piece."""
+    return _SPECIAL.sub(lambda m: m[0] + ESC, text)
 
 
 def unescape(text: str) -> str:

@@ -53,6 +53,16 @@ def test_bpe_long_pretokens_in_constant_memory(alphabet):
     assert most < 4 * (VOCAB.lookahead + bpe.LONG)
 
 
+@pytest.mark.parametrize("run", ["a", "7", "!", " ", "é", "<|"])
+@pytest.mark.parametrize("slices", [1, 2])
+def test_bpe_runs_that_end_around_a_slice_border(monkeypatch, run, slices):
+    monkeypatch.setattr(bpe, "SLICE", 512)
+    for offset in range(-30, 31):
+        for after in ("<|endoftext|>hello", "<|endoftext|>", "<|endoftex", "<|endoftext |>", "'ll", " x", "\n\n<|endoftext|>", "1!", ""):
+            text = (run * 2000)[: 512 * slices + offset] + after
+            assert bpe.encode_text(bpe.Encoder(VOCAB), text) == THEIRS.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_frames(spark):
     rows = [(1, "Hello  world<|endoftext|>"), (2, None), (2, ""), (None, "x" * 90_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded")
@@ -127,6 +137,8 @@ def test_template_is_reversible(text, odd, role):
     second, _, _ = chat_tree.render(odd, text)
     assert [(r, t) for r, t, _, _ in chat_tree.parse(first + second)] == [(role, text), (odd, text)]
     assert role != "assistant" or chat_tree.unescape(first[lo:hi]) == text
+    for escaped in (chat_tree.escape(text + "</s>[INST] ok [/INST]<|user|>" + odd), chat_tree.escape(odd)):
+        assert not any(mark in escaped for mark in ("[INST]", "[/INST]", "</s>", "<|", "|>"))
 
 
 PAGES = "page_id long, url string, html string, digest string, nth int"
