@@ -5,8 +5,9 @@ leaves is shared again by weight among the others (water filling, in closed form
 due target / source_size copies: the whole part is certain, the fraction is rounded by pivotal steps. A step takes two
 documents with fractions p, q and sizes v, w and moves words between them, keeping v*p + w*q, until one fraction is 0 or 1;
 which way is drawn so that each expectation is kept. Groups of about ``fan_in`` documents of a source fold to one residual
-document each; the residuals form the next level of the tree, until one is left per source and is drawn at its own odds.
-So a source's words miss its target by less than the size of that one document.
+document each; the residuals form the next level of the tree, until one is left per source. It is drawn together with some
+documents kept back, the largest first: what a draw adds or takes, those that follow give or take. So a source misses its target by
+about the size of its smallest documents; where its documents are so few and unequal that no choice of them comes near, by what the choice leaves.
 
 Draws are hashes of the ids and the seed: reruns agree. Groups are salted, so a source with a third of all rows is spread
 like any other.
@@ -83,8 +84,8 @@ def _fold(rows: DataFrame, seed: int, name: str) -> DataFrame:
 def pivotal_round(units: DataFrame, fan_in: int = 48, closing: int = 256, seed: int = 17) -> DataFrame:
     """``units``: source, id, w > 0 and 0 < p < 1. Returns source, id, up (0 or 1) of each; per source the sum of w*up stays within one unit's w of that of w*p.
 
-    About ``closing`` units of each source are kept for the end: the tree's residual, which tends to be a large document,
-    meets them one by one from the largest to the smallest, so that the unit drawn last is small.
+    About ``closing`` units of each source are kept for the end, where the tree's residual, which tends to be a large document,
+    is drawn before them (``_close``).
     """
     counts = units.groupBy("source").count()
     most = counts.agg(F.max("count")).first()[0] or 0
@@ -106,14 +107,37 @@ def pivotal_round(units: DataFrame, fan_in: int = 48, closing: int = 256, seed:
     rest = rows.where("closes").select("source", "id", "w", "p", F.lit(1).alias("late"))
     if decided:
         rest = left.select("source", "id", "w", "p", F.lit(0).alias("late")).unionByName(rest)
-    last = _fold(rest.withColumn("g", F.lit(0)), seed, "pivotal_close")
-    r = F.col("f.r")
-    ups = last.where(r.isNotNull()).select("source", r["id"].alias("id"), (uniform(r["id"], F.lit(seed + 99)) < r["p"]).cast("int").alias("up"))
-    for d in [*decided, last]:
+    last = _close(rest, seed)
+    ups = last.select("source", F.explode("out").alias("o")).select("source", "o.id", "o.up")
+    for d in decided:
         ups = ups.unionByName(d.select("source", F.explode("f.out").alias("o")).select("source", "o.id", "o.up"))
     return ups
 
 
+def _close(rows: DataFrame, seed: int) -> DataFrame:
+    """Decides what is left of each source (source, id, w, p, late), the earliest and then largest first: each is drawn against all that follow.
+
+    What a draw adds or takes, the following give or take in proportion to their sizes, so the words due are kept. Where they can't, as they are all full or empty then, the draw
+    that they can make up for is taken, or the one that leaves less.
+    """
+    members = F.sort_array(F.collect_list(F.struct("late", (-F.col("w")).alias("size"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "w", "p")))
+    whole = rows.groupBy("source").agg(members.alias("members"), F.sum("w").alias("words"), F.sum(F.col("w") * F.col("p")).alias("due"))
+    zero = F.struct(F.col("due").alias("due"), F.col("words").alias("words"), F.expr("cast(array() as array<struct<id:bigint,up:int>>)").alias("out"))
+
+    def draw(s: Column, m: Column) -> Column:
+        after, slack = s["words"] - m["w"], 1e-9 * s["words"]
+        can, may_not = s["due"] >= m["w"] - slack, s["due"] <= after + slack
+        odds = F.when(m["late"] == 0, m["p"]).otherwise(s["due"] / s["words"])
+        up = F.when(can & may_not, uniform(m["id"], F.lit(seed + 99)) < odds).when(can, True).when(may_not, False).otherwise(m["w"] - s["due"] < s["due"] - after)
+
+        def take(u: Column) -> Column:
+            return F.struct((s["due"] - u * m["w"]).alias("due"), after.alias("words"), F.concat(s["out"], F.array(F.struct(m["id"].alias("id"), u.alias("up")))).alias("out"))
+
+        return let(up.cast("int"), take)
+
+    return materialize(whole.select("source", F.aggregate("members", zero, draw)["out"].alias("out")), "pivotal_close")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fan_in: int = 48, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (size * copies)."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")

@@ -60,6 +60,16 @@ def test_mix_near_targets_and_unbiased(spark):
     assert abs(ups.mean() - 0.3) < 0.02 and 0.15 < ups.std() * np.sqrt(12) / np.sqrt(0.21) * 1.0 + 0.0 < 3
 
 
+def test_mix_meets_every_target(spark, sf_dir):
+    # Fifty documents a source, of very unequal sizes.
+    d = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    got = mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 20 and all(abs(r.taken - r.target) < 0.01 * r.target for r in got)
+    # No choice comes near here: a document of 1,000 words at a third, and two small ones.
+    few = docs(spark, [(1, "w " * 1000, "a"), (2, "w", "a"), (3, "w w", "a"), (4, "w " * 3009, "b")])
+    assert {r.taken for r in mixing.mix(few, weights=(1, 11)).where("source = 'a'").collect()} <= {0, 1, 2, 1000}
+
+
 def test_mix_seed_and_expectations(spark):
     # Two sources, over seeds: reruns agree, seeds differ, and every document's expected words are its share.
     d = docs(spark, [(k, "w " * (1 + k % 5), "a" if k % 4 else "b") for k in range(80)]).cache()
