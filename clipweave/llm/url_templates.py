@@ -7,9 +7,9 @@ siblings whose shares don't differ significantly from the next one's are merged
 smoothed share reaches the threshold. Explicit rules come first: a rule fits a host and its subdomains where the path begins as the
 rule's does, and the longest fitting rule decides. Pages that a rule decides are labelled by it.
 
-Everything is grouping and joining over narrow rows, distinct paths with their counts. Counts are partially aggregated and joins on a node salt frequent ones, so a
-host with a third of all pages is spread. The tree is built level by level until no open path is left: a path is open while it has a further segment and its node
-has ``least`` pages. Under a smaller node no segment can stay literal, so a path there is judged by that node, however long it is.
+Nodes of many paths are grouped and joined over narrow rows, distinct paths with their counts: counts are partially aggregated and joins on a node salt frequent ones, so a
+host with a third of all pages is spread. That goes level by level, while a node has more than ``IN_TASK`` paths; what lies under a smaller node is settled in one task, however deep its
+paths are. Under a node of fewer than ``least`` pages no segment can stay literal, so a path there is judged by that node.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path. Without any label every page that no rule decides is allowed. Repeated rows repeat; null ids stay null; an empty table gives an empty
 result. Columns other than the id and the url are not read.
@@ -17,8 +17,12 @@ result. Columns other than the id and the url are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from clipweave.llm.shared import materialize, spread_join
 
 #: Rules as (verdict, host, path prefix); their number is part of the query, not of the data.
 Rule = tuple[str, str, str]
+#: A node of so many distinct paths at most, with so many segments each on average, is settled in one task.
+IN_TASK, SEGMENTS = 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,28 +54,36 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def _wild(segment: Column) -> Column:
     """A wildcard that keeps the ending, as in ``*.html``."""
-    return F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z]{1,5}$", 0))
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z]{1,5}\z", 0))
 
 
-def template_tree(paths: DataFrame, least: int = 4, share: float = 0.02) -> tuple[DataFrame, list[DataFrame]]:
-    """``paths`` (host, path, n rows, labelled of them, bad of those) with node, where each is judged, and template; and each level's nodes: host, up, node, n, labelled, bad.
+def _ending(segment: str) -> str:
+    m = re.search(r"\.[A-Za-z]{1,5}\Z", segment)
+    return m[0] if m else ""
 
+
+def template_tree(paths: DataFrame, least: int = 4, share: float = 0.02, in_task: int = IN_TASK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The tree of ``paths`` (host, path, n rows, labelled of them, bad of those) down to nodes of at most ``in_task`` paths.
+
+    Returns what lies under those (host, node, depth, path, parts, n, labelled, bad), the paths that end at larger nodes (host, path, node), and each level's nodes: host, up, node, n, labelled, bad.
     A segment stays literal with at least ``least`` rows and ``share`` of its parent's rows.
     """
     parts = F.split(F.regexp_replace("path", "^/|/$", ""), "/")
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    root = materialize(paths.groupBy("host").agg(*sums).select("host", F.lit(None).cast("string").alias("up"), F.lit("").alias("node"), "n", "labelled", "bad"), "url_hosts")
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "paths", "segments")]
+    every = paths.select("host", "path", "n", "labelled", "bad", parts.alias("parts")).select("*", F.lit(1).alias("paths"), F.size("parts").alias("segments"))
+    root = materialize(every.groupBy("host").agg(*sums).select("host", F.lit(None).cast("string").alias("up"), F.lit("").alias("node"), "n", "labelled", "bad", "paths", "segments"), "url_hosts")
     levels = [root]
-    open_ = paths.select("host", "path", "n", "labelled", "bad", parts.alias("parts"))
-    open_ = spread_join(open_, root.select("host", "node", F.col("n").alias("node_n")), ["host"], ["path"])
-    done, depth = None, 0
+    small = ((F.col("paths") <= in_task) & (F.col("segments") <= in_task * SEGMENTS) | (F.col("paths") == 1)).alias("small")
+    open_ = spread_join(every, root.select("host", "node", F.col("n").alias("node_n"), small), ["host"], ["path"])
+    under = ended = None
+    depth = 0
     while True:
         open_ = materialize(open_, f"url_open_{depth}")
-        further = (F.size("parts") > depth) & (F.col("node_n") >= least)
-        closed = open_.where(~further)
-        done = closed if done is None else done.unionByName(closed)
-        open_ = open_.where(further)
+        here = open_.where("small").select("host", "node", F.lit(depth).alias("depth"), "path", "parts", "n", "labelled", "bad")
+        ends = open_.where(~F.col("small") & (F.size("parts") <= depth)).select("host", "path", "node")
+        under, ended = (here, ends) if under is None else (under.unionByName(here), ended.unionByName(ends))
+        open_ = open_.where(~F.col("small") & (F.size("parts") > depth))
         if open_.isEmpty():
             break
         open_ = open_.withColumn("seg", F.get("parts", F.lit(depth)))
@@ -78,13 +92,107 @@ def template_tree(paths: DataFrame, least: int = 4, share: float = 0.02) -> tupl
         kids = materialize(kids.withColumn("node", F.concat_ws("/", "up", F.when(literal, F.col("seg")).otherwise(_wild(F.col("seg"))))), f"url_kids_{depth}")
         level = materialize(kids.groupBy("host", "up", "node").agg(*sums), f"url_nodes_{depth}")
         levels.append(level)
-        named = spread_join(kids.select("host", "up", "seg", "node"), level.select("host", "node", F.col("n").alias("node_n")), ["host", "node"], ["seg"])
-        open_ = open_.drop("node_n").withColumnRenamed("node", "up")
+        named = spread_join(kids.select("host", "up", "seg", "node"), level.select("host", "node", F.col("n").alias("node_n"), small), ["host", "node"], ["seg"])
+        open_ = open_.drop("node_n", "small").withColumnRenamed("node", "up")
         open_ = spread_join(open_, materialize(named, f"url_named_{depth}"), ["host", "up", "seg"], ["path"]).drop("up", "seg")
         depth += 1
-    below = F.slice("parts", F.size(F.split("node", "/")), F.size("parts"))  # a node at depth d has d slashes
-    rest = F.transform(below, lambda x: F.concat(F.lit("*"), F.regexp_extract(x, r"\.[A-Za-z]{1,5}$", 0)))
-    return done.withColumn("template", F.concat_ws("/", F.col("node"), rest)).select("host", "path", "n", "node", "template"), levels
+    return under, ended, levels
+
+
+class _Node:
+    """A node of a tree that is built in a task: its name, the node above it, its paths and the share of bad pages."""
+
+    def __init__(self, name: str, up: _Node | None, members: list[int], share: float) -> None:
+        self.name, self.up, self.members, self.share = name, up, members, share
+
+    def path(self) -> list[str]:
+        names, node = [], self
+        while node.up is not None:
+            names.append(node.name)
+            node = node.up
+        return names[::-1]
+
+
+def _branches(kids: dict[str, list], up_share: float, prior: float, z: float) -> dict[str, float]:
+    """The share of each child (name to [labelled, bad, ...]) with siblings that don't differ significantly pooled, as ``judged`` has it."""
+    rows = []
+    for name, (labelled, bad, *_) in kids.items():
+        count = max(labelled, 1)
+        similar = labelled == 0 or abs(bad / count - up_share) <= z * math.sqrt(up_share * (1 - up_share) / count)
+        rows.append((similar, bad / count, name, count, labelled, bad))
+    out: dict[str, float] = {}
+    for similar in (True, False):
+        pools: list[list[tuple]] = []
+        for row in sorted(r for r in rows if r[0] == similar):
+            if pools:
+                _, rate, _, count, _, bad = pools[-1][-1]
+                mean = (row[5] + bad) / (row[3] + count)
+                apart = abs(row[1] - rate) > z * math.sqrt(mean * (1 - mean) * (1 / row[3] + 1 / count))
+            if not pools or (apart and not similar):
+                pools.append([])
+            pools[-1].append(row)
+        for pool in pools:
+            value = (sum(r[5] for r in pool) + prior * up_share) / (sum(r[4] for r in pool) + prior)
+            out |= {r[2]: value for r in pool}
+    return out
+
+
+def _subtree(parts: list[list[str]], counts: list[tuple[int, int, int]], depth: int, share_up: float, least: int, share: float, prior: float, z: float) -> Iterator[tuple[int, list[str], float]]:
+    """Each path's (number, template below the node at ``depth``, share), from the node's paths with their (n, labelled, bad). Steps follow the nodes, of which there are no more than segments."""
+    open_ = [(depth, _Node("", None, list(range(len(parts))), share_up))]
+    while open_:
+        d, node = open_.pop()
+        total = sum(counts[i][0] for i in node.members)
+        if total < least:
+            further: list[int] = []
+            ends = node.members
+        else:
+            further = [i for i in node.members if len(parts[i]) > d]
+            ends = [i for i in node.members if len(parts[i]) <= d]
+        if ends:
+            names = node.path()
+            for i in ends:
+                yield i, names + ["*" + _ending(x) for x in parts[i][d:]], node.share
+        if not further:
+            continue
+        rows: dict[str, int] = {}
+        for i in further:
+            rows[parts[i][d]] = rows.get(parts[i][d], 0) + counts[i][0]
+        kids: dict[str, list] = {}
+        for i in further:
+            seg = parts[i][d]
+            name = seg if rows[seg] >= least and rows[seg] >= share * total else "*" + _ending(seg)
+            kid = kids.setdefault(name, [0, 0, []])
+            kid[0] += counts[i][1]
+            kid[1] += counts[i][2]
+            kid[2].append(i)
+        shares = _branches(kids, node.share, prior, z)
+        open_.extend((d + 1, _Node(name, node, kid[2], shares[name])) for name, kid in kids.items())
+
+
+def _settle(least: int, share: float, prior: float, z: float) -> Callable:
+    """Rows (host, node, depth, share, path, parts, n, labelled, bad), a node's together, to (host, path, template, share). What is held is one node's paths."""
+    names = ["host", "path", "template", "share"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (host, node, depth, up), group in itertools.groupby(rows, key=lambda r: r[:4]):
+            members = list(group)
+            found = _subtree([m[5] for m in members], [m[6:] for m in members], depth, up, least, share, prior, z)
+            out = [(host, members[i][4], "/".join([node, *below]), value) for i, below, value in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+    return run
+
+
+def placed_paths(paths: DataFrame, least: int = 4, share: float = 0.02, prior: float = 4.0, z: float = 2.0, in_task: int = IN_TASK) -> DataFrame:
+    """``paths`` (as ``template_tree``) with template and smoothed share of bad pages: host, path, template, share."""
+    under, ended, levels = template_tree(paths, least, share, in_task)
+    shares = materialize(judged(levels, prior, z), "url_shares")
+    rows = under.join(shares, ["host", "node"]).select("host", "node", "depth", "share", "path", "parts", "n", "labelled", "bad")
+    rows = rows.repartition("host", "node").sortWithinPartitions("host", "node", "path")
+    settled = rows.mapInArrow(_settle(least, share, prior, z), "host string, path string, template string, share double")
+    return settled.unionByName(ended.join(shares, ["host", "node"]).select("host", "path", F.col("node").alias("template"), "share"))
 
 
 def judged(levels: list[DataFrame], prior: float = 4.0, z: float = 2.0) -> DataFrame:
@@ -113,7 +221,7 @@ def judged(levels: list[DataFrame], prior: float = 4.0, z: float = 2.0) -> DataF
     return every
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", least: int = 4, reject_at: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", least: int = 4, reject_at: float = 0.5, in_task: int = IN_TASK) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, share (of blocked pages, smoothed)."""
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -121,8 +229,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
     paths = paths.select("host", "path", "n", "by_rule", F.when(bad.isNotNull(), F.col("n")).otherwise(0).alias("labelled"), (F.col("n") * F.coalesce(bad, F.lit(0))).alias("bad"))
     paths = materialize(paths, "url_paths")
-    placed, levels = template_tree(paths, least)
-    placed = spread_join(placed, judged(levels), ["host", "node"], ["path"]).select("host", "path", "template", "share")
+    placed = placed_paths(paths, least, in_task=in_task)
     by_method = F.when(F.col("share") >= reject_at, "block").otherwise("allow")
     placed = placed.join(paths.select("host", "path", "by_rule"), ["host", "path"]).select("host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", by_method).alias("verdict"), "template", "share")
     return spread_join(rows, materialize(placed, "url_placed"), ["host", "path"], ["page_id"]).select("page_id", "host", "path", "rule", "verdict", "template", "share")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import random
 import re
 from hashlib import sha256
 
@@ -149,9 +151,74 @@ def test_urls_against_brute_force(spark):
 
 def tree(spark, data, **options):
     paths = spark.createDataFrame(data, "host string, path string, bad int").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    placed, levels = url_templates.template_tree(paths, **options)
-    share = {(r.host, r.node): r.share for r in url_templates.judged(levels).collect()}
-    return {(r.host, r.path): (r.template, share[r.host, r.node]) for r in placed.collect()}
+    small, large = ({(r.host, r.path): (r.template, r.share) for r in url_templates.placed_paths(paths, in_task=n, **options).collect()} for n in (4096, 3))
+    assert small.keys() == large.keys() and all(small[k][0] == large[k][0] and small[k][1] == pytest.approx(large[k][1]) for k in small)
+    return small
+
+
+def plain_templates(data, least=4, share=0.02, prior=4.0, z=2.0):
+    """Template and share of each (host, path, bad or None), by recursion over whole nodes."""
+    out = {}
+    wild = lambda s: "*" + (re.findall(r"\.[A-Za-z]{1,5}\Z", s) or [""])[0]
+    cut = lambda p: re.sub("^/|/$", "", p).split("/") if p else []
+    labelled = [b for _, _, b in data if b is not None]
+    base = sum(labelled) / max(1, len(labelled))
+    tally = lambda rows: (sum(b or 0 for *_, b in rows), sum(b is not None for *_, b in rows))
+
+    def go(host, rows, depth, name, value):
+        n = len(rows)
+        for p, _ in rows:
+            if n < least or len(cut(p)) <= depth:
+                out[host, p] = ("/".join([*name, *map(wild, cut(p)[depth:])]), value)
+        rows = [r for r in rows if (host, r[0]) not in out]
+        segs = collections.Counter(cut(p)[depth] for p, _ in rows)
+        kids = collections.defaultdict(list)
+        for p, b in rows:
+            s = cut(p)[depth]
+            kids[s if segs[s] >= least and segs[s] >= share * n else wild(s)].append((p, b))
+        rate = lambda rows: tally(rows)[0] / max(1, tally(rows)[1])
+        near = {k for k, v in kids.items() if not tally(v)[1] or abs(rate(v) - value) <= z * (value * (1 - value) / tally(v)[1]) ** 0.5}
+        pools = [near] if near else []
+        last = None
+        for k in sorted(set(kids) - near, key=lambda k: (rate(kids[k]), k)):
+            if last is not None:
+                (b1, n1), (b2, n2) = tally(kids[last]), tally(kids[k])
+                mean = (b1 + b2) / (n1 + n2)
+            if last is None or abs(rate(kids[k]) - rate(kids[last])) > z * (mean * (1 - mean) * (1 / n1 + 1 / n2)) ** 0.5:
+                pools.append(set())
+            pools[-1].add(k)
+            last = k
+        for pool in pools:
+            b, m = tally([r for k in pool for r in kids[k]])
+            for k in pool:
+                go(host, kids[k], depth + 1, [*name, k], (b + prior * value) / (m + prior))
+
+    for host in {h for h, *_ in data}:
+        rows = [(p, b) for h, p, b in data if h == host]
+        b, m = tally(rows)
+        go(host, rows, 0, [""], (b + prior * base) / (m + prior))
+    return out
+
+
+def test_templates_against_plain_rule(spark):
+    rnd = random.Random(8)
+    data = []
+    for k in range(900):
+        host = rnd.choice(["h", "h", "h", "i", "j"])
+        path = "/" + "/".join(rnd.choice(["a", "b", "c", f"{k}", f"{k % 7}.html", f"{k}.php"]) for _ in range(rnd.randint(0, 6))) + rnd.choice(["", "/"])
+        data.append((host, rnd.choice([path, "", "/a/b/1.html"]), None if rnd.random() < 0.3 else int(rnd.random() < (0.9 if "/b" in path else 0.1))))
+    got, want = tree(spark, data), plain_templates(data)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_depth_costs_no_rounds(spark):
+    deep = "/trap" * 2000
+    data = [("h", deep, 1)] * 4 + [("h", deep + f"/{k}", 0) for k in range(4)] + [("w", "".join(f"/{k}-{d}" for d in range(300)), 1) for k in range(5)]
+    paths = spark.createDataFrame(data, "host string, path string, bad int").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum("bad").alias("bad"))
+    got = {(r.host, r.path): (r.template, r.share) for r in url_templates.placed_paths(paths).collect()}
+    assert got["h", deep][0] == deep and got["h", deep + "/1"][0] == deep + "/*"
+    assert {t for (h, _), (t, _) in got.items() if h == "w"} == {"/*" * 300}
 
 
 def test_templates_generalise_and_reject(spark):
@@ -175,10 +242,8 @@ def test_similar_siblings_pool_their_counts(spark):
     data = [("h", f"/good/{k}", 0) for k in range(400)] + [("h", f"/{b}/{k}", 1) for b in ("bad", "ill") for k in range(12)]
     got = tree(spark, data, share=0.0)
     assert got["h", "/bad/1"][1] == got["h", "/ill/1"][1] > got["h", "/good/1"][1]
-    nodes = url_templates.judged(url_templates.template_tree(spark.createDataFrame([("h", f"/{b}/{k}", 1, 1, int(b != "good")) for b in ("good", "bad", "ill") for k in range(12 if b != "good" else 400)], "host string, path string, n long, labelled long, bad long"), share=0.0)[1])
-    share = {r.node: r.share for r in nodes.collect()}
-    up = share[""]
-    assert share["/bad"] == pytest.approx((24 + 4 * up) / 28)
+    up = (24 + 4 * 24 / 424) / 428
+    assert got["h", "/bad/1"][1] == pytest.approx((12 + 4 * (24 + 4 * up) / 28) / 16)
 
 
 def test_pipeline_run(spark, sf_dir):
