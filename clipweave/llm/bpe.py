@@ -16,7 +16,10 @@ other than the id and the text are not read. A null or unknown id decodes to not
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,27 @@ _LETTERS, _NUMBERS = (rf"(?:[^\P{{{k}}}{_BEFORE}]+|[^\P{{{k}}}{_NEWER}])+" for k
 _OTHERS = rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]+|[{_NEWER}])+"
 #: The pre-token pattern of byte-level BPE.
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}| ?{_NUMBERS}| ?{_OTHERS}|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
+
+
+def _latin_pattern() -> re.Pattern:
+    """``PRETOKEN`` for text of Latin-1 characters only, with its classes spelled out, which the standard matcher takes faster."""
+    classes = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c)).startswith(k)) for k in "LN"}
+    white = "".join(re.escape(chr(c)) for c in range(256) if regex.match(r"\p{White_Space}", chr(c)))
+    others = rf"[^{white}{classes['L']}{classes['N']}]+"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{classes['L']}]+| ?[{classes['N']}]+| ?{others}|[{white}]+(?![^{white}])|[{white}]+")
+
+
+_PRETOKEN_LATIN = _latin_pattern()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 #: Runs that a pre-token of one kind can go on with.
 _RUNS = {k: regex.compile(p) for k, p in {"L": _LETTERS, "N": _NUMBERS, "P": _OTHERS}.items()}
 _WHITE, _WHITES = regex.compile(r"\p{White_Space}"), regex.compile(r"\p{White_Space}*")
@@ -104,12 +128,51 @@ class Vocabulary:
         return ids
 
 
+    def emit(self, data: bytes, out: list[int]) -> bytes:
+        """Adds the ids of an open pre-token's bytes that nothing after them can change; returns the bytes that are left."""
+        ahead = self.lookahead
+        while len(data) >= 2 * ahead + LONG:
+            window = data[: 2 * ahead + LONG]
+            done = 0
+            for i in self.merge(window):
+                size = len(self.bytes_of[i])
+                if done + size > len(window) - ahead:
+                    break
+                out.append(i)
+                done += size
+            data = data[done:]
+        return data
+
+    def stream(self, data: bytes) -> list[int]:
+        """The ids of one whole pre-token, window by window."""
+        out: list[int] = []
+        rest = self.emit(data, out)
+        return out + self.merge(rest)
+
+
+class Seen(dict):
+    """The ids of whole pre-tokens, kept for those seen lately."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        data = word.encode()
+        if len(data) > LONG:
+            return tuple(self.vocab.stream(data))
+        if len(self) > 400_000:
+            self.clear()
+        ids = self[word] = tuple(self.vocab.merge(data))
+        return ids
+
+
 class Encoder:
     """Feed it pieces of one text; each call returns the ids that have become stable, ``finish`` the rest."""
 
-    def __init__(self, vocab: Vocabulary, seen: dict[str, tuple[int, ...]] | None = None):
+    def __init__(self, vocab: Vocabulary, seen: Seen | None = None):
         self.vocab = vocab
-        self.seen = {} if seen is None else seen
+        self.seen = Seen(vocab) if seen is None else seen
         self.pattern = regex.compile(PRETOKEN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True))) if vocab.special else None
         self.hold = 2 + max([0, *(len(s) for s in vocab.special)])
@@ -145,19 +208,17 @@ class Encoder:
             if self.open:
                 self.buffer = text[at:]
                 return
-        seen = self.seen
-        for word in self.pattern.findall(text, at):
-            stop = at + len(word)
-            if stop > end:
-                if len(word) > LONG and not final:
-                    self.open = "S" if _WHITE.match(word, len(word) - 1) else next(k for k, run in _RUNS.items() if run.match(word, len(word) - 1))
-                    # Of white space, the last character may go to the next word.
-                    stop = end - (self.open == "S")
-                    self._grow(text[at:stop], out)
-                    at = stop
-                break
-            ids = seen.get(word)
-            out.extend(ids if ids is not None else self._word(word))
+        words = (_PRETOKEN_LATIN if _latin(text) else self.pattern).findall(text, at)
+        at, held = len(text), None
+        while words and at > end:  # words that end beyond what is settled stay in the buffer
+            held = words.pop()
+            at -= len(held)
+        out.extend(itertools.chain.from_iterable(map(self.seen.__getitem__, words)))
+        if held is not None and len(held) > LONG and not final:
+            self.open = "S" if _WHITE.match(held, len(held) - 1) else next(k for k, run in _RUNS.items() if run.match(held, len(held) - 1))
+            # Of white space, the last character may go to the next word.
+            stop = end - (self.open == "S")
+            self._grow(text[at:stop], out)
             at = stop
         self.buffer = text[at:]
 
@@ -175,40 +236,13 @@ class Encoder:
             stop = max(0, min(stop, end - white))
         self._grow(text[:stop], out)
         if closed:
-            out.extend(self.vocab.merge(self.tail) if len(self.tail) <= 2 * LONG else self._all(self.tail))
+            out.extend(self.vocab.merge(self.tail) if len(self.tail) <= 2 * LONG else self.vocab.stream(self.tail))
             self.open, self.tail = "", b""
         return stop
 
     def _grow(self, text: str, out: list[int]) -> None:
         self.tail += text.encode()
-        ahead = self.vocab.lookahead
-        while len(self.tail) >= 2 * ahead + LONG:
-            window = self.tail[: 2 * ahead + LONG]
-            done = 0
-            for i in self.vocab.merge(window):
-                size = len(self.vocab.bytes_of[i])
-                if done + size > len(window) - ahead:
-                    break
-                out.append(i)
-                done += size
-            self.tail = self.tail[done:]
-
-    def _all(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        self.tail = data
-        self._grow("", out)
-        out.extend(self.vocab.merge(self.tail))
-        self.tail = b""
-        return out
-
-    def _word(self, word: str) -> list[int] | tuple[int, ...]:
-        data = word.encode()
-        if len(data) > LONG:
-            return self._all(data)
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        ids = self.seen[word] = tuple(self.vocab.merge(data))
-        return ids
+        self.tail = self.vocab.emit(self.tail, out)
 
 
 class Decoder:
@@ -239,18 +273,18 @@ def encode_text(encoder: Encoder, text: str | None) -> list[int]:
 
 def _lists(ids: list[list[int]]) -> pa.Array:
     sizes = np.cumsum([0, *map(len, ids)])
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1]))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes[-1]))
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
 
 
-_held: dict[int, Vocabulary] = {}
+_held: dict[int, Seen] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
-    """The broadcast vocabulary, built once in each Python worker."""
+def _vocabulary(shared) -> Seen:
+    """The broadcast vocabulary and the pre-tokens seen lately, built once in each Python worker and kept for its next tasks."""
     key = hash(shared.value)
     if key not in _held:
-        _held[key] = Vocabulary(shared.value)
+        _held[key] = Seen(Vocabulary(shared.value))
     return _held[key]
 
 
@@ -268,8 +302,8 @@ def encode(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id
     shared = _share(docs, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabulary(shared)
-        seen: dict[str, tuple[int, ...]] = {}
+        seen = _vocabulary(shared)
+        vocab = seen.vocab
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
@@ -289,7 +323,7 @@ def decode(rows: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id
     shared = _share(rows, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabulary(shared)
+        vocab = _vocabulary(shared).vocab
         for b in batches:
             texts = []
             for ids in b.column(1).to_pylist():
