@@ -47,6 +47,26 @@ def span_score(x: Column) -> Column:
     return F.when(v.between(0, 1), F.bround(v * 100, 3)).when((v > 1) & (v <= 100), v)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to so many places, correctly: the exact value of the double decides, and the even neighbour where that lies exactly between two.
+
+    The product with the power of ten is taken with its own error, from factors of 26 bits.
+    """
+    scale = float(10**places)
+    c = 134217729.0 * scale
+    s_high = c - (c - scale)
+
+    def one(x: Column) -> Column:
+        high = 134217729.0 * x - (134217729.0 * x - x)
+        product = x * scale
+        error = ((high * s_high - product) + high * (scale - s_high) + (x - high) * s_high) + (x - high) * (scale - s_high)
+        below = F.floor(product)
+        over = (product - below - 0.5) + error
+        return (below + ((over > 0) | ((over == 0) & (F.pmod(below, F.lit(2)) == 1))).cast("int")) / F.lit(scale)
+
+    return F.transform(F.array(x.cast("double")), one)[0]  # x is computed once
+
+
 def to_samples(seconds: Column, rate: Column | float) -> Column:
     """Seconds to a sample index, half to even."""
     return F.bround(seconds * rate, 0).cast("bigint")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import reasons
-from clipweave.functions.numeric import clamp, clamped_percent, nearest_rank
+from clipweave.functions.numeric import clamp, clamped_percent, nearest_rank, rounded
 
 
 def duration_preference(seconds: Column) -> Column:
@@ -43,8 +43,8 @@ def default_scores(total: Column, start: Column, end: Column, transcript: Column
     edges = F.size(F.filter(flags, lambda f: f.contains("edge")))
     context = F.coalesce(transcript, F.lit("")) != ""
     base = 0.7 + F.when(context, 0.16).otherwise(0.0) + (0.1 - F.abs(length - 4.5) * 0.02) - away * 0.1 - 0.06 * edges - F.when(context, 0.0).otherwise(0.08)
-    zero, fine = F.round(base - 0.02 * length, 4), F.round(base + 0.015 * length, 4)
-    return {"zero_shot": zero, "finetune": fine, "both": F.round((zero + fine) / 2, 4)}
+    zero, fine = rounded(base - 0.02 * length, 4), rounded(base + 0.015 * length, 4)
+    return {"zero_shot": zero, "finetune": fine, "both": rounded((zero + fine) / 2, 4)}
 
 
 def clip_similarity(windows: DataFrame, key: str, similarity: str = "similarity", scorable: Column | None = None) -> DataFrame:

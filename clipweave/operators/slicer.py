@@ -123,27 +123,6 @@ def used_cutpoints(cuts: DataFrame, clips: DataFrame, keys: list[str]) -> DataFr
     return cuts.join(ends, [*keys, "cut_id"], "left_semi")
 
 
-def suppress(rows: DataFrame, keys: list[str], score: str, id_col: str, most: float) -> DataFrame:
-    """Greedy suppression: by falling score a row is kept unless it shares ``most`` or more of the shorter length with one kept before.
-
-    A key is a recording: its candidates are held in one task, sorted once, and compared with the kept ones only.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "start", id_col], ascending=[False, True, True], ignore_index=True)
-        s, e = pdf["start"].to_numpy(float), pdf["end"].to_numpy(float)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            k = np.array(kept, int)
-            shared = np.minimum(e[i], e[k]) - np.maximum(s[i], s[k])
-            shorter = np.maximum(np.minimum(e[i] - s[i], e[k] - s[k]), 0.001)
-            if not len(k) or (np.maximum(shared, 0) / shorter < most).all():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return rows.groupBy(*keys).applyInPandas(one, rows.schema)
-
-
 def keep_order_clamp(words: DataFrame, keys: list[str]) -> DataFrame:
     """Aligned words in order, each start moved to the end of the last kept word where it overlaps that by over a millisecond; empty words go.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.operators import intervals as iv
 from clipweave.operators import slicer
+from clipweave.operators.candidates import suppress
 from clipweave.plans.intervals import WORDS_SQL, words
 from clipweave.plans.registry import query, table
 
@@ -118,10 +119,24 @@ def schedule_used_cutpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicer.used_cutpoints(cutpoints(spark, sf_dir), schedule(spark, sf_dir), ["user_id", "day"]).select("user_id", "day", "cut_id", "time")
 
 
-@query()
+def greedy_sql(rows: str, key: str, score: str, id_col: str, most: float) -> str:
+    """SQL tables that suppress the rows of a table greedily, one recursion step per rank: kept (key, i)."""
+    return f"""gr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {score} DESC, start, {id_col}) AS i FROM {rows}),
+    gk AS (SELECT {key}, 0::BIGINT AS i, []::STRUCT(s DOUBLE, e DOUBLE)[] AS kept, FALSE AS took FROM (SELECT DISTINCT {key} FROM {rows})
+           UNION ALL SELECT {", ".join(f"gr.{k.strip()}" for k in key.split(","))}, gr.i, CASE WHEN fits THEN list_append(gk.kept, {{'s': gr.start, 'e': gr."end"}}) ELSE gk.kept END, fits
+           FROM gk JOIN gr ON {" AND ".join(f"gr.{k.strip()} = gk.{k.strip()}" for k in key.split(","))} AND gr.i = gk.i + 1,
+           LATERAL (SELECT len(list_filter(gk.kept, lambda x: greatest(least(x.e, gr."end") - greatest(x.s, gr.start), 0.0::DOUBLE) / greatest(least(x.e - x.s, gr."end" - gr.start), 0.001::DOUBLE) >= {most})) = 0 AS fits) f),
+    kept AS (SELECT gr.* FROM gr JOIN gk USING ({key}, i) WHERE took)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CUTS_SQL}, {_PAIRS},
+    np AS (SELECT *, start_id || '/' || end_id AS pair, round(CASE WHEN seconds BETWEEN 6 AND 8 THEN 10.0::DOUBLE - (8.0 - seconds) * 1.5 WHEN seconds > 8 THEN 6.5::DOUBLE - greatest(0.0, seconds - 9.0) ELSE seconds / 3.0::DOUBLE END, 7) AS weight FROM pr),
+    {greedy_sql("np", "user_id, day", "weight", "pair", 0.5)} SELECT user_id, day, pair, start, "end", weight FROM kept"""
+)
 def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = slicer.legal_pairs(cutpoints(spark, sf_dir), ["user_id", "day"]).withColumn("pair", F.concat_ws("/", "start_id", "end_id"))
-    return slicer.suppress(p.select("user_id", "day", "pair", "start", "end", "weight"), ["user_id", "day"], "weight", "pair", 0.5)
+    return suppress(p.select("user_id", "day", "pair", "start", "end", "weight"), ["user_id", "day"], "weight", "pair", 0.5)
 
 
 #: Words with an acoustic score of the gap after them and a confidence; and the boundaries among them.

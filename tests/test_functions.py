@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,11 @@ def test_text(spark):
 def test_seconds_round_as_written_numbers_do(spark, rate):
     got = spark.range(20_001).select("id", numeric.to_seconds(F.col("id"), rate).alias("s")).collect()
     assert all(r.s == round(r.id / rate, 6) for r in got)
+
+
+def test_rounded_is_correct_rounding(spark):
+    rnd = random.Random(3)
+    values = [rnd.uniform(-9, 9) for _ in range(300)] + [k / 20000 for k in range(-401, 20001, 37)] + [(a + b) / 2 for a, b in ((0.6505, 0.6506), (0.7031, 0.5982))] + [0.0, 0.5, 1.5, 2.5, 123456.78125]
+    for places in (0, 2, 4):
+        d = spark.createDataFrame([(v,) for v in values], "v double").select("v", numeric.rounded(F.col("v"), places).alias("r"))
+        assert all(r.r == round(r.v, places) for r in d.collect())

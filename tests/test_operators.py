@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clipweave.operators import curves, density, export, ordering, qc, scoring, signal, slicer, state, vectors
 from clipweave.operators import intervals as iv
+from clipweave.operators.candidates import suppress
 
 
 def table(spark, rows, schema):
@@ -119,7 +120,7 @@ def test_schedule_is_heaviest():
 
 def test_suppression(spark):
     d = table(spark, [("r", "a", 0.0, 4.0, 0.9), ("r", "b", 1.0, 5.0, 0.8), ("r", "c", 4.5, 8.0, 0.7)], "k string, id string, start double, end double, score double")
-    assert sorted(r.id for r in slicer.suppress(d, ["k"], "score", "id", 0.5).collect()) == ["a", "c"]
+    assert sorted(r.id for r in suppress(d, ["k"], "score", "id", 0.5).collect()) == ["a", "c"]
 
 
 def test_clamped_words(spark):
