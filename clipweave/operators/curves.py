@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions.numeric import clamp, finite
+from clipweave.operators.ordering import running_sums, with_row_number
+from clipweave.operators.written import written
 
 
 def histogram(rows: DataFrame, metric: str, bins: int, low: float = 0.0, high: float = 100.0) -> DataFrame:
@@ -22,13 +24,11 @@ def yield_curve(rows: DataFrame, metric: str, weight: str) -> DataFrame:
 
     Rows collapse to distinct scores first; running totals run over those, in range partitions.
     """
-    from clipweave.operators.ordering import running_sum
-
     x = clamp(F.col(metric), 0, 100)
     per = rows.select(x.alias("threshold"), F.col(weight).alias("w")).where("threshold IS NOT NULL").groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
     ends = rows.sparkSession.createDataFrame([(0.0, 0, 0.0), (100.0, 0, 0.0)], "threshold double, n bigint, w double")
     per = per.unionByName(ends).groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).withColumn("down", -F.col("threshold"))
-    out = running_sum(running_sum(per, ["down"], F.col("n"), "clips"), ["down"], F.col("w"), "seconds")
+    out = running_sums(per, ["down"], {"clips": F.col("n"), "seconds": F.col("w")})
     return out.select("threshold", F.col("clips").cast("bigint").alias("clips"), F.round("seconds", 6).alias("seconds"))
 
 
@@ -101,18 +101,25 @@ def pareto(rows: DataFrame, key: str, more: list[str], less: list[str]) -> DataF
     return met.groupBy(*[F.col(f"a.{c}").alias(c) for c in rows.columns]).agg(F.array_sort(F.collect_list(f"b.{key}")).alias("dominated_by")).withColumn("on_front", F.size("dominated_by") == 0)
 
 
-def bootstrap(rows: DataFrame, unit: str, label: str, scores: tuple[str, str], replicates: int, draw) -> DataFrame:
-    """Per replicate the difference in AUC of two scores over units drawn with replacement. ``draw(replicate, unit)`` is how often a unit is drawn.
+def resampled(units: DataFrame, unit: str, replicates: int, seed: int = 17) -> DataFrame:
+    """Per replicate as many units as there are, drawn with replacement: replicate, unit, w (how often). A draw is a hash of seed, replicate and place, so reruns agree."""
+    numbered, n = with_row_number(units.select(unit), [unit], "_k")
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", F.pmod("id", F.lit(max(n, 1))))), 1, 8), 16, 10).cast("bigint")
+    draws = units.sparkSession.range(replicates * n).withColumn("replicate", F.floor(F.col("id") / max(n, 1))).select("replicate", (F.pmod(pick, F.lit(max(n, 1))) + 1).alias("_k"))
+    return draws.groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("w")).join(numbered, "_k").drop("_k")
+
+
+def bootstrap(rows: DataFrame, unit: str, label: str, scores: tuple[str, str], replicates: int = 1000, seed: int = 17) -> DataFrame:
+    """Per replicate the difference in AUC of two scores over units drawn with replacement (``resampled``); replicates of one class alone go.
 
-    Each (replicate, unit) is drawn once; rows are weighted by that count instead of repeated.
+    Rows collapse to counts per unit and score, which a replicate weighs by how often it draws the unit, so no row is repeated.
     """
-    rep = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    units = rows.select(unit).distinct()
-    drawn = units.join(F.broadcast(rep)).withColumn("w", draw(F.col("replicate"), F.col(unit))).where("w > 0")
-    per_row = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (label, *scores))).join(drawn, unit)
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (unit, label, *scores)))
+    drawn = written(resampled(rows.select(unit).distinct(), unit, replicates, seed), "resampled")
 
     def auc(score: str) -> DataFrame:
-        per = per_row.groupBy("replicate", F.col(score).alias("s")).agg(F.sum(F.col("w") * F.col(label)).alias("pos"), F.sum("w").alias("n"))
+        per = rows.groupBy(unit, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
+        per = per.join(drawn, unit).groupBy("replicate", "s").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("n")).alias("n"))
         w = Window.partitionBy("replicate").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
         total = per.groupBy("replicate").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))

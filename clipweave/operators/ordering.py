@@ -28,16 +28,23 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -
     return keyed.withColumn(name, (local + offset).cast("bigint")).drop("_part"), total
 
 
-def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows up to each, in a total order, computed as ``with_row_number`` does."""
+def running_sums(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name, the sum of its value over the rows up to each, in a total order, as ``with_row_number`` orders them; one pass carries all sums."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).withColumn("_v", value)
+    keyed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).withColumns({f"_v_{k}": v for k, v in values.items()})
     keyed = written(keyed, "summed")
-    sums = {r[0]: r[1] or 0 for r in keyed.groupBy("_part").agg(F.sum("_v")).collect()}
-    shift, total = [], 0
-    for p in sorted(sums):
-        shift += [F.lit(p), F.lit(total)]
-        total += sums[p]
-    local = F.sum("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    offset = F.create_map(*shift)[F.col("_part")] if shift else F.lit(0)
-    return keyed.withColumn(name, local + offset).drop("_part", "_v")
+    parts = sorted(keyed.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(k) for k in values]).collect(), key=lambda r: r["_part"])
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for k in values:
+        shift, total = [], 0
+        for r in parts:
+            shift += [F.lit(r["_part"]), F.lit(total).cast(keyed.schema[f"_v_{k}"].dataType)]
+            total += r[k] or 0
+        out[k] = F.sum(f"_v_{k}").over(before) + (F.create_map(*shift)[F.col("_part")] if shift else F.lit(0))
+    return keyed.withColumns(out).drop("_part", *[f"_v_{k}" for k in values])
+
+
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, order, {name: value})

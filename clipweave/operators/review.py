@@ -24,7 +24,7 @@ def patched_tokens(tokens: Column, patches: Column) -> Column:
 
 
 def merge_short(clips: DataFrame, keys: list[str], shortest: float = 2.0, target: float = 7.0) -> DataFrame:
-    """Clips under ``shortest`` joined to the neighbour with which they come nearest to the target, the earlier on ties.
+    """Clips under ``shortest`` joined to the neighbour with which their two lengths together come nearest to the target, the earlier on ties.
 
     clips: keys, start, end. A join changes what the next sees, so a recording's clips are walked in order in one task. Returns keys, start, end, parts.
     """
@@ -38,7 +38,7 @@ def merge_short(clips: DataFrame, keys: list[str], shortest: float = 2.0, target
             if e - s >= shortest:
                 k += 1
                 continue
-            options = [(abs(max(e, spans[j][1]) - min(s, spans[j][0]) - target), j) for j in (k - 1, k + 1) if 0 <= j < len(spans)]
+            options = [(abs((spans[j][1] - spans[j][0]) + (e - s) - target), j) for j in (k - 1, k + 1) if 0 <= j < len(spans)]
             j = min(options)[1]
             lo, hi = min(k, j), max(k, j)
             spans[lo : hi + 1] = [[spans[lo][0], max(spans[lo][1], spans[hi][1]), spans[lo][2] + spans[hi][2]]]
@@ -99,7 +99,7 @@ def snap(gaps: DataFrame, frames: DataFrame, keys: list[str], id_col: str, bucke
     within = (F.col("g_start") <= F.col("at")) & (F.col("at") <= F.col("g_end"))
     in_gap = points_in(frames.select(*keys, "at", "level"), gaps.select(*keys, id_col, "g_start", "g_end"), keys, "at", "g_start", "g_end", bucket, within)
     low = in_gap.groupBy(id_col).agg(F.min("level").alias("low"))
-    best = in_gap.join(low, id_col).where(F.col("level") <= F.col("low") * slack + 1e-12).groupBy(id_col).agg(F.min_by("at", F.struct(F.abs(F.col("at") - middle).alias("d"), "at")).alias("cut"))
+    best = in_gap.join(low, id_col).where(F.col("level") <= F.greatest(F.col("low") * slack, F.col("low") + 1e-6)).groupBy(id_col).agg(F.min_by("at", F.struct(F.abs(F.col("at") - middle).alias("d"), "at")).alias("cut"))
     return gaps.join(best, id_col, "left").withColumn("cut", F.coalesce("cut", middle))
 
 

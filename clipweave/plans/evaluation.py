@@ -88,16 +88,20 @@ def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.survival(table(spark, sf_dir, "documents"), "n_chars", [0, 250, 500, 750, 1000, 2000], ["lang"])
 
 
-_BOOT = """r AS (SELECT d.source AS unit, l.quality AS y, (d.n_chars % 997)::DOUBLE AS a, (d.n_chars % 613)::DOUBLE AS b FROM documents d JOIN labels l USING (doc_id)),
-    k AS (SELECT range AS replicate FROM range(20)), dr AS (SELECT replicate, unit, (replicate * 7 + length(unit) * 3 + regexp_extract(unit, '[0-9]+')::BIGINT * 5) % 4 AS w FROM k, (SELECT DISTINCT unit FROM r)), x AS (SELECT replicate, w, y, a, b FROM r JOIN dr USING (unit) WHERE w > 0),
-    q AS (SELECT p.replicate, sum(p.w * n.w * CASE WHEN p.a > n.a THEN 1.0 WHEN p.a = n.a THEN 0.5 ELSE 0.0 END) / sum(p.w * n.w) - sum(p.w * n.w * CASE WHEN p.b > n.b THEN 1.0 WHEN p.b = n.b THEN 0.5 ELSE 0.0 END) / sum(p.w * n.w) AS delta FROM x p JOIN x n ON p.replicate = n.replicate AND p.y = 1 AND n.y = 0 GROUP BY p.replicate)"""
+_BOOT = """r AS (SELECT d.source AS unit, l.quality AS y, (d.n_chars % 997)::DOUBLE AS a, (d.n_chars % 613)::DOUBLE AS b FROM documents d JOIN labels l USING (doc_id) WHERE d.source IS NOT NULL AND l.quality IS NOT NULL AND d.n_chars IS NOT NULL),
+    un AS (SELECT unit, row_number() OVER (ORDER BY unit) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM r)),
+    dr AS (SELECT replicate, unit, count(*) AS w FROM (SELECT replicate, n, ('0x' || substr(md5('17:' || replicate || ':' || (k - 1)), 1, 8))::BIGINT % n + 1 AS pick FROM range(1000) t(replicate), un) p JOIN un ON un.k = p.pick GROUP BY replicate, unit),
+    x AS (SELECT replicate, w, y, a, b FROM r JOIN dr USING (unit)),
+    pa AS (SELECT replicate, a AS s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM x GROUP BY replicate, a), pb AS (SELECT replicate, b AS s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM x GROUP BY replicate, b),
+    wa AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pa), wb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pb),
+    aa AS (SELECT replicate, sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM wa GROUP BY replicate HAVING sum(pos) > 0 AND sum(neg) > 0), ab AS (SELECT replicate, sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM wb GROUP BY replicate HAVING sum(pos) > 0 AND sum(neg) > 0),
+    q AS (SELECT replicate, aa.auc - ab.auc AS delta FROM aa JOIN ab USING (replicate))"""
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = d.select(F.col("source").alias("unit"), F.col("quality").alias("y"), (F.col("n_chars") % 997).cast("double").alias("a"), (F.col("n_chars") % 613).cast("double").alias("b"))
-    # Draws are arithmetic on the keys, so that another engine can repeat them.
-    return curves.bootstrap(rows, "unit", "y", ("a", "b"), 20, lambda r, u: (r * 7 + F.length(u) * 3 + F.regexp_extract(u, "[0-9]+", 0).cast("bigint") * 5) % 4)
+    return curves.bootstrap(rows, "unit", "y", ("a", "b"))
 
 
 @query(f"WITH {_BOOT} SELECT replicate, round(delta, 6)::DOUBLE AS delta FROM q")
@@ -155,19 +159,19 @@ def policy_d_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.d_primary(boundaries(spark, sf_dir), ["user_id"], F.col("quiet_run_ms") >= 190).select("event_id")
 
 
-_TIMES = """a AS (SELECT DISTINCT user_id, round_even(t * 1000, 0)::BIGINT AS ms FROM (SELECT user_id, event_id % 40 AS t FROM events WHERE event_id % 2 = 0)), d AS (SELECT DISTINCT user_id, round_even(t * 1000, 0)::BIGINT AS ms FROM (SELECT user_id, event_id % 40 AS t FROM events WHERE event_id % 3 = 0))"""
+_TIMES = """a AS (SELECT DISTINCT user_id, round_even(t * 1000, 0)::BIGINT AS ms FROM (SELECT user_id, event_id % 40 AS t FROM events WHERE value >= 5.0)), d AS (SELECT DISTINCT user_id, round_even(t * 1000, 0)::BIGINT AS ms FROM (SELECT user_id, event_id % 40 AS t FROM events WHERE value < 5.0 OR value IS NULL))"""
 
 
 @query(f"WITH {_TIMES} SELECT coalesce(a.user_id, d.user_id) AS user_id, coalesce(a.ms, d.ms) AS ms, CASE WHEN d.ms IS NULL THEN 'A_only' WHEN a.ms IS NULL THEN 'D_only' ELSE 'A_and_D' END AS source FROM a FULL JOIN d ON a.user_id = d.user_id AND a.ms = d.ms")
 def hybrid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 40).cast("double").alias("t"))
-    return policy.hybrid(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id"], "t")
+    e = table(spark, sf_dir, "events").select("user_id", "value", (F.col("event_id") % 40).cast("double").alias("t"))
+    return policy.hybrid(e.where("value >= 5.0"), e.where("value < 5.0 OR value IS NULL"), ["user_id"], "t")
 
 
 @query(f"WITH {_TIMES} SELECT 'a' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM d) UNION ALL SELECT 'd', * FROM (SELECT * FROM d EXCEPT SELECT * FROM a)")
 def symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 40 * 1000).alias("ms"))
-    return policy.symmetric_difference(e.where("event_id % 2 = 0").select("user_id", "ms"), e.where("event_id % 3 = 0").select("user_id", "ms"), ("a", "d"))
+    e = table(spark, sf_dir, "events").select("user_id", "value", (F.col("event_id") % 40 * 1000).alias("ms"))
+    return policy.symmetric_difference(e.where("value >= 5.0").select("user_id", "ms"), e.where("value < 5.0 OR value IS NULL").select("user_id", "ms"), ("a", "d"))
 
 
 @query(

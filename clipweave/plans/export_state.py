@@ -161,13 +161,13 @@ def fk_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT user_id, 20000::BIGINT AS len, list({'kind': CASE WHEN event_id % 2 = 0 THEN 'delete_range' ELSE 'insert_silence' END, 's': event_id % 500, 'e': event_id % 500 + 100, 'd': event_id % 90 + 1} ORDER BY event_id) AS ops FROM events WHERE event_id % 9 = 0 GROUP BY user_id)
+    """WITH o AS (SELECT user_id, 20000::BIGINT AS len, list({'kind': CASE WHEN event_id % 2 = 0 THEN 'delete_range' ELSE 'insert_silence' END, 's': event_id % 500, 'e': event_id % 500 + 100, 'd': event_id % 90 + 1} ORDER BY event_id) AS ops FROM events GROUP BY user_id)
     SELECT user_id, (len + list_sum([CASE WHEN x.kind = 'delete_range' THEN -100 ELSE x.d END FOR x IN ops]))::BIGINT AS samples FROM o"""
 )
 def edited_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     op = F.struct("event_id", F.when(k % 2 == 0, "delete_range").otherwise("insert_silence").alias("kind"), (k % 500).alias("start_sample"), (k % 500 + 100).alias("end_sample"), (k % 90 + 1).alias("duration_samples"))
-    ops = table(spark, sf_dir, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list(op)).alias("ops"))
+    ops = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(op)).alias("ops"))
     return ops.select("user_id", state.timeline_length(F.lit(20000).cast("bigint"), F.col("ops")).alias("samples"))
 
 

@@ -25,7 +25,16 @@ def transcript_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("out").alias("n"), F.md5(F.array_join("out", " ")).alias("digest"))
 
 
-@query()
+@query(
+    # One step per state of a recording: spans as lists; the first short one joins the neighbour that the rule names.
+    f"""WITH RECURSIVE {WORDS_SQL}, g AS (SELECT conv_id, turn, pos // 5 AS k, min(start) AS s, max("end") AS e FROM words GROUP BY 1, 2, 3),
+    st AS (SELECT conv_id, turn, list({{'s': s, 'e': e, 'n': 1}} ORDER BY s, e) AS c FROM g GROUP BY 1, 2
+           UNION ALL SELECT conv_id, turn, list_concat(c[:a - 1], [{{'s': c[a].s, 'e': greatest(c[a].e, c[a + 1].e), 'n': c[a].n + c[a + 1].n}}], c[a + 2:])
+           FROM (SELECT *, CASE WHEN i = 1 THEN 1 WHEN i = len(c) THEN i - 1 WHEN abs((c[i - 1].e - c[i - 1].s) + (c[i].e - c[i].s) - 7.0::DOUBLE) <= abs((c[i + 1].e - c[i + 1].s) + (c[i].e - c[i].s) - 7.0::DOUBLE) THEN i - 1 ELSE i END AS a
+                 FROM (SELECT *, list_position([x.e - x.s < 2.0 FOR x IN c], TRUE) AS i FROM st) WHERE i IS NOT NULL AND i > 0 AND len(c) > 1)),
+    f AS (SELECT conv_id, turn, arg_min(c, len(c)) AS c FROM st GROUP BY 1, 2), u AS (SELECT conv_id, turn, unnest(c) AS x FROM f)
+    SELECT conv_id, turn, x.s AS start, x.e AS "end", x.n::INT AS parts FROM u"""
+)
 def short_clips_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir).groupBy("conv_id", "turn", F.floor(F.col("pos") / 5).alias("k")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return review.merge_short(w, ["conv_id", "turn"])
@@ -84,7 +93,7 @@ def window_mean_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_LEVELS}, g AS (SELECT pos, user_id, day, moment - 20 AS g_start, moment + 31 AS g_end FROM lv), x AS (SELECT g.pos, g_start, g_end, lv.moment, lv.level, min(level) OVER (PARTITION BY g.pos) AS low FROM g JOIN lv ON lv.user_id = g.user_id AND lv.day = g.day AND lv.moment >= g_start AND lv.moment <= g_end)
-    SELECT pos, round(moment, 6) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(moment - (g_start + g_end) / 2), moment) AS k FROM x WHERE level <= low * 1.15 + 1e-12) WHERE k = 1"""
+    SELECT pos, round(moment, 6) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(moment - (g_start + g_end) / 2), moment) AS k FROM x WHERE level <= greatest(low * 1.15::DOUBLE, low + 1e-6)) WHERE k = 1"""
 )
 def boundary_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lv = _levels(spark, sf_dir)

@@ -61,7 +61,11 @@ def test_short_clips(spark, sf_dir):
             if clips[i][1] - clips[i][0] >= 2.0:
                 i += 1
                 continue
-            j = min((abs(max(clips[i][1], clips[n][1]) - min(clips[i][0], clips[n][0]) - 7.0), n) for n in (i - 1, i + 1) if 0 <= n < len(clips))[1]
+            length = lambda n: clips[n][1] - clips[n][0]
+            if i == 0 or i == len(clips) - 1:
+                j = 1 if i == 0 else i - 1
+            else:  # the two lengths count, not what lies between the clips
+                j = i - 1 if abs(length(i - 1) + length(i) - 7.0) <= abs(length(i + 1) + length(i) - 7.0) else i + 1
             a, b = sorted((i, j))
             clips[a : b + 1] = [[clips[a][0], max(clips[a][1], clips[b][1]), clips[a][2] + clips[b][2]]]
             i = a
