@@ -9,7 +9,7 @@ of some thousand queries, and a block answers with k rows per query.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part. A shorter vector counts as padded with
 zeros. Rows that share the query's id are its own and no candidates; each other row counts, repeated ids too. Of rows that repeat a
-query's id the least vector asks. Tables with no query or no vector give empty results. Other columns are not read.
+query's id the least vector asks. Components so large that a score might not fit in a long are an error. Tables with no query or no vector give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -179,7 +179,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
     """
     q = materialize(quantise(vectors, scale, id_col, vec_col), "top_k_vectors")
     asking = q.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n, dims = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    widest = F.max(F.array_max(F.transform("q", lambda v: F.abs(v.cast("double")))))
+    n, dims, most = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1)), F.coalesce(widest, F.lit(0.0))).first()
+    if dims * most * most >= 2.0**62:
+        raise ValueError(f"components up to {most:g} times {scale} make scores that a long can't hold")
     n_asking = asking.count()
     blocks, chunks = max(1, -(-n * dims // block_cells)), max(1, -(-n_asking * dims // chunk_cells))
     members = F.collect_list(F.struct("vec_id", "q"))

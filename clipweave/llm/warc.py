@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.llm.shared import materialize, scratch
+from clipweave.llm.shared import materialize, scratch, spread_join
 
 #: Fixed values of the format.
 MARK = b"WARC/1.1\r\n"
@@ -119,13 +119,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes a record per row, as plain WARC files of the folder ``path``."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("nth"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    # Numbered once: a task that is run again must find the numbers that the others have.
+    rows = materialize(rows.withColumn("digest", F.sha2("payload", 256)), "warc_rows")
     large = F.length("payload") >= least_revisit
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "nth")
-    first = rows.where(large).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("of"), F.col("f.page_id").alias("refers_to"), F.col("f.nth").alias("ref_nth")), "warc_first")
-    both = rows.join(first, (F.col("digest") == F.col("of")) & large, "left")
-    both = both.withColumn("is_revisit", F.col("ref_nth").isNotNull() & (F.col("ref_nth") != F.col("nth")))
+    first = rows.where(large).groupBy("digest").agg(F.min(order).alias("f")).select("digest", F.col("f.page_id").alias("refers_to"), F.col("f.nth").alias("ref_nth"))
+    known = spread_join(rows.where(large), materialize(first, "warc_first"), ["digest"], ["nth"])
+    alone = rows.where(~large).select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("ref_nth"))
+    both = known.select(*alone.columns).unionByName(alone).withColumn("is_revisit", F.col("ref_nth").isNotNull() & (F.col("ref_nth") != F.col("nth")))
     blobs = both.select("page_id", "nth", "url", "payload", "digest", "refers_to", "ref_nth", "is_revisit").mapInArrow(_write(segment_bytes), "record binary")
     # A record's bytes as a string value, unchanged; the text sink puts the two line ends after each.
     blobs.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
@@ -194,8 +195,8 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     back = read_archives(pages.sparkSession, path)
     back = materialize(back.select("record_id", "type", "refers_to", "digest", F.length("payload").cast("long").alias("bytes"), F.when(F.col("type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest")), "warc_back")
     # A revisit's payload is its response's.
-    named = back.where("type = 'response'").select(F.col("record_id").alias("of"), F.col("bytes").alias("of_bytes"))
-    full = back.join(named, F.col("refers_to") == F.col("of"), "left")
+    named = back.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("bytes").alias("of_bytes"))
+    full = spread_join(back.where("type = 'revisit'"), named, ["refers_to"], ["record_id"]).unionByName(back.where("type <> 'revisit'").withColumn("of_bytes", F.lit(None).cast("long")))
     return full.select(
         id_of(F.col("record_id")).alias("page_id"),
         F.coalesce("of_bytes", "bytes").alias("payload_bytes"),

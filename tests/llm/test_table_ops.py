@@ -119,6 +119,10 @@ def test_top_k_edges(spark):
     assert got == [(0, 1, 5), (0, 2, 6)]
     same = top_k.top_k(spark.createDataFrame([(0, [0.0]), (0, [0.5]), (50, [0.0]), (9, [0.0])], schema)).collect()
     assert sorted((r.query_id, r.vec_id) for r in same) == [(0, 9), (0, 50), (50, 0), (50, 0), (50, 9)]
+    with pytest.raises(ValueError, match="can't hold"):
+        top_k.top_k(spark.createDataFrame([(0, [1e30, 1.0]), (1, [2.0, 1.0])], schema))
+    wide = [(0, [1e5, -2e5]), (1, [3e5, 1e5]), (2, [-3e5, 4e5])]
+    assert [(r.vec_id, r.score) for r in top_k.top_k(spark.createDataFrame(wide, schema)).orderBy("rank").collect()] == [(1, 256 * 256 * 10**10), (2, -256 * 256 * 11 * 10**10)]
 
 
 def split(url):

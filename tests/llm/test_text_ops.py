@@ -163,6 +163,12 @@ def test_warc_round_trip(spark):
     assert sorted((r.record_type, r.refers_to) for r in twice) == [("response", None), ("revisit", 1)]
 
 
+def test_warc_one_payload_of_most_pages(spark):
+    data = [(k, f"http://h/{k}", "common " * 30 if k % 3 else f"own {k} " * 20) for k in range(900)] + [(None, "u", "common " * 30), (5, "u", "common " * 30)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, data).repartition(4)).collect()), key=str)
+    assert got == sorted(((k, "response" if k is not None and (k % 3 == 0 or (k == 1)) else "revisit", None if k is not None and (k % 3 == 0 or k == 1) else 1) for k, _, _ in data), key=str)
+
+
 def test_missing_segment_is_an_error(spark):
     path = scratch(spark, "cut")
     recs = [r for r in warc.records("<urn:page:1:0>", "u", b"q" * 500, sha256(b"q" * 500).hexdigest(), None, 200) if b"Segment-Number: 2" not in r]
