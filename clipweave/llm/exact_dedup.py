@@ -131,7 +131,7 @@ def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = spark.createDataFrame([(p, b, min(key_bits - max_depth, math.ceil(math.log2(load)))) for p, b, _, load in entries], "p int, bucket int, more int")
     rows = docs.select(
         (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"),
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         F.length(text).alias("n_points"),
         F.unhex(F.sha2(norm, 256)).alias("sha"),
         key.alias("key"),
@@ -151,8 +151,7 @@ def exact_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("pages", F.lit(None).cast("int"))
     rows = rows.withColumn("pages", F.coalesce("pages", F.lit(1))).withColumn("page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int"))
     owned = rows.drop("p", "more").repartition("bucket", "part", "page").sortWithinPartitions("bucket", "part", "page", "key")
-    kind = docs.schema[id_col].dataType.simpleString()
-    index = materialize(owned.mapInArrow(_owner, f"rid long, doc_id {kind}, n_points int, sha binary, bucket int, part long, page int, pages int, key long, chain int, group_size long, keep_id {kind}, keep_rid long, keep_points int, head binary"), "exact_index")
+    index = materialize(owned.mapInArrow(_owner, "rid long, doc_id long, n_points int, sha binary, bucket int, part long, page int, pages int, key long, chain int, group_size long, keep_id long, keep_rid long, keep_points int, head binary"), "exact_index")
     columns = ["rid", "doc_id", "n_points", "sha", "group_size", "keep_id", "keep_rid"]
     if not over or index.where("pages > 1").isEmpty():
         return index.select(*columns)
@@ -185,7 +184,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are numbered and written once, so that the decisions and the rows they are joined to have the same numbers.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "exact_rows")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "exact_rows", "zstd")
     read = rows.select("rid", F.col("row").getField(id_col).alias("doc_id"), F.col("row").getField(text_col).alias("text"))
     keep = _decided(read, "doc_id", "text", rid_col="rid").where("kept").select("rid")
     return rows.join(keep, "rid", "left_semi").select("row.*")

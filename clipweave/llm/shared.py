@@ -56,10 +56,10 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs no earlier step."""
+def materialize(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs no earlier step. ``codec``: for tables of whole texts, one denser than the session's."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clipweave.llm import near_dedup as nd
 from clipweave.llm.components import connected_components
@@ -52,6 +53,13 @@ def test_exact_edges(spark):
     assert drop_copies(docs(spark, [(1, "a"), (2, "a"), (3, "b")])).columns == ["doc_id", "text", "source", "keep_id", "rid"]
 
 
+def test_exact_ids_given_as_text(spark):
+    d = docs(spark, [(30, "a"), (4, "a "), (4, "b")]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = exact_dedup(d).collect()
+    assert sorted((r.doc_id, r.keep_id) for r in got) == [(4, 4), (4, 4), (30, 4)]
+    assert sorted(r.doc_id for r in drop_copies(d).collect()) == ["4", "4"]
+
+
 def test_drop_copies_keeps_rows_not_ids(spark):
     rows = [(None, "a"), (None, "b"), (None, "a "), (7, "c"), (7, "d"), (7, "e"), (5, "e"), (8, "f"), (8, "f"), (9, "g"), (9, "g ")]
     out = drop_copies(docs(spark, rows).repartition(3))
