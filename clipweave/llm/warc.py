@@ -110,23 +110,33 @@ def _write(segment_bytes: int):
     return run
 
 
-def _record_id(page_id: int | None, nth: int) -> str:
-    """A record id that holds the page's id, and the row's number."""
+def _record_id(page_id: int | None, nth: str) -> str:
+    """A record id that holds the page's id, and the row's name."""
     return f"<urn:page:{'' if page_id is None else page_id}:{nth}>"
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 100, segment_bytes: int = 32_768) -> None:
     """Writes a record per row, as plain WARC files of the folder ``path``."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("nth"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = F.length("payload") >= least_revisit
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    # A row is named by what it holds, so that a task which is run again finds the names that the others have; rows that are alike in all are told apart by number.
+    name = F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.concat(F.lit("-"), "url"), F.lit("")), F.lit("\n"), "digest"))
+    rows = rows.withColumn("nth", name)
+    named = materialize(rows.select("page_id", "nth", "digest", F.length("payload").alias("size")), "warc_names")
+    alike = materialize(named.groupBy("nth").count().where("count > 1").select("nth"), "warc_alike")
+    if not alike.isEmpty():
+        held = [F.first(c).alias(c) for c in ("page_id", "url", "payload", "digest")]
+        again = rows.join(alike, "nth", "left_semi").groupBy("nth").agg(*held, F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).drop("copies")
+        rows = rows.join(alike, "nth", "left_anti").withColumn("copy", F.lit(0)).unionByName(again)
+    else:
+        rows = rows.withColumn("copy", F.lit(0))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "nth")
-    first = rows.where(large).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).where("n > 1")
+    first = named.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).where("n > 1")
     first = materialize(first.select(F.col("digest").alias("of"), F.col("f.page_id").alias("refers_to"), F.col("f.nth").alias("ref_nth")), "warc_first")
-    both = rows.join(first, (F.col("digest") == F.col("of")) & large, "left")
-    both = both.withColumn("is_revisit", F.col("ref_nth").isNotNull() & (F.col("ref_nth") != F.col("nth")))
-    blobs = both.select("page_id", "nth", "url", "payload", "digest", "refers_to", "ref_nth", "is_revisit").mapInArrow(_write(segment_bytes), "record binary")
+    both = rows.join(first, (F.col("digest") == F.col("of")) & (F.length("payload") >= least_revisit), "left")
+    both = both.withColumn("is_revisit", F.col("ref_nth").isNotNull() & ((F.col("ref_nth") != F.col("nth")) | (F.col("copy") > 0)))
+    own = F.when(F.col("copy") > 0, F.concat_ws("-", "nth", "copy")).otherwise(F.col("nth")).alias("nth")
+    blobs = both.select("page_id", own, "url", "payload", "digest", "refers_to", "ref_nth", "is_revisit").mapInArrow(_write(segment_bytes), "record binary")
     # A record's bytes as a string value, unchanged; the text sink puts the two line ends after each.
     blobs.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
 
