@@ -80,3 +80,17 @@ def test_stream_sessions_match_batch(spark, tmp_path):
     got = {(r.k, r.start, r.events) for r in jobs.run_to_table(s, str(tmp_path / "cp"), str(tmp_path / "out")).collect()}
     want = {(r.k, r.start, r.events) for r in d.groupBy("k", F.session_window("ts", "30 minutes").alias("s")).agg(F.count(F.lit(1)).alias("events")).select("k", "s.start", "events").collect()}
     assert got and got <= want
+
+
+def test_canonical_rows_and_staged_problems(spark):
+    from clipweave.operators.export import canonical_rows
+    from clipweave.operators.policy import same_rows, union_tables
+    from clipweave.sources.sinks import staged_problems
+
+    rows = spark.createDataFrame([("a.wav", "one", 1.23456), ("b.wav", None, None)], "audio_path string, text string, duration double")
+    assert [tuple(r) for r in canonical_rows(rows, "d1").orderBy("audio").collect()] == [("a.wav", "one", 1.235, "d1"), ("b.wav", None, None, "d1")]
+    staged = spark.createDataFrame([(1, "x", "x"), (1, "y", "y"), (2, "x", "z"), (3, None, None)], "id int, h1 string, h2 string")
+    assert sorted((r.id, r.problem) for r in staged_problems(staged, "id", ("h1", "h2")).collect()) == [("1", "repeated id"), ("2", "hashes disagree")]
+    assert same_rows(staged, staged).count() == 0 and same_rows(staged, staged.limit(3).union(staged.limit(1))).count() >= 1
+    both = union_tables({"b": rows, "a": rows.select("text")}).orderBy("config", "text").collect()
+    assert [(r.config, r.audio_path, r.text) for r in both] == [("a", None, None), ("a", None, "one"), ("b", "b.wav", None), ("b", "a.wav", "one")]
