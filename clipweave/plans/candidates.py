@@ -110,7 +110,7 @@ _FEATURES_SQL = """
 
 @query(
     f"""WITH RECURSIVE {_cut_windows_sql()}, {_FEATURES_SQL}, {_SCORES_SQL},
-    st AS (SELECT avg(f1) m1, avg(f2) m2, avg(f3) m3, avg(f4) m4, stddev_pop(f1) s1, stddev_pop(f2) s2, stddev_pop(f3) s3, stddev_pop(f4) s4 FROM cand),
+    st AS (SELECT avg(f1) m1, avg(f2) m2, avg(f3) m3, avg(f4) m4, CASE WHEN stddev_pop(f1) < 1e-12 THEN 1.0::DOUBLE ELSE stddev_pop(f1) END AS s1, CASE WHEN stddev_pop(f2) < 1e-12 THEN 1.0::DOUBLE ELSE stddev_pop(f2) END AS s2, CASE WHEN stddev_pop(f3) < 1e-12 THEN 1.0::DOUBLE ELSE stddev_pop(f3) END AS s3, CASE WHEN stddev_pop(f4) < 1e-12 THEN 1.0::DOUBLE ELSE stddev_pop(f4) END AS s4 FROM cand),
     ad AS (SELECT DISTINCT recording, candidate_id, start, "end", transcript, round(both_score + greatest(0.0, 0.15 - 0.03 * sqrt(((f1 - m1) / s1) ** 2 + ((f2 - m2) / s2) ** 2 + ((f3 - m3) / s3) ** 2 + ((f4 - m4) / s4) ** 2)), 9) AS adjusted FROM cand, st),
     {greedy_sql("ad", "recording", "adjusted", "candidate_id", 0.6)},
     top AS (SELECT *, row_number() OVER (ORDER BY adjusted DESC, recording, start, candidate_id) AS n FROM kept)
