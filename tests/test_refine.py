@@ -106,3 +106,20 @@ def test_bootstrap_is_a_resample(spark):
     got = curves.interval(curves.bootstrap(d, "unit", "y", ("a", "b"), 200)).first()
     assert got.replicates == 200 and got.low < auc(2) - auc(3) < got.high and got.high - got.low < 0.3
     assert curves.bootstrap(d, "unit", "y", ("a", "b"), 5).orderBy("replicate").collect() == curves.bootstrap(d.repartition(9), "unit", "y", ("a", "b"), 5).orderBy("replicate").collect()
+
+
+def test_planned_clips_share_their_boundaries(spark, sf_dir):
+    from clipweave.plans import catalogue
+
+    groups = {}
+    for r in catalogue.QUERIES["planned_clips"](spark, sf_dir).collect():
+        groups.setdefault((r.conv_id, r.turn), []).append(r)
+    assert any(len(g) > 2 for g in groups.values())
+    for g in groups.values():
+        g.sort(key=lambda r: r.clip)
+        assert [r.clip for r in g] == list(range(len(g)))
+        assert g[0].training_start == g[0].start and g[-1].training_end == g[-1].end
+        for a, b in zip(g, g[1:], strict=False):
+            assert a.training_end == b.training_start and a.end <= b.start
+            # The shared moment lies in the guarded gap, if there is one.
+            assert a.training_end == pytest.approx(a.end + 0.045) or a.end + 0.045 - 1e-9 <= a.training_end <= b.start - 0.035 + 1e-9
