@@ -67,6 +67,31 @@ def rounded(x: Column, places: int) -> Column:
     return F.transform(F.array(x.cast("double")), one)[0]  # x is computed once
 
 
+def scaled(x: Column, places: int) -> Column:
+    """A double to so many places as SQL engines round it: the nearest whole number to its product with the power of ten, as doubles, half away from zero.
+
+    ``F.round`` goes by the shortest decimal instead, so the two differ where that ends in a five but the product falls beside the half.
+    """
+    scale = float(10**places)
+    return F.round(x * F.lit(scale), 0) / F.lit(scale)
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once as a fused multiply-add: the errors of the product (from factors of 26 bits) and of the sum are added last."""
+
+    def one(x: Column) -> Column:
+        a, b, c = x["a"], x["b"], x["c"]
+        a_high = 134217729.0 * a - (134217729.0 * a - a)
+        b_high = 134217729.0 * b - (134217729.0 * b - b)
+        product = a * b
+        error = ((a_high * b_high - product) + a_high * (b - b_high) + (a - a_high) * b_high) + (a - a_high) * (b - b_high)
+        total = product + c
+        rest = (product - (total - (total - product))) + (c - (total - product))
+        return total + (error + rest)
+
+    return F.transform(F.array(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))), one)[0]  # each is computed once
+
+
 def to_samples(seconds: Column, rate: Column | float) -> Column:
     """Seconds to a sample index, half to even."""
     return F.bround(seconds * rate, 0).cast("bigint")

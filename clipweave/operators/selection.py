@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipweave.functions.numeric import fused
 from clipweave.operators.ordering import with_row_number
 from clipweave.operators.written import written
 
@@ -70,6 +71,23 @@ def _beside(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(r, inside).drop(*[f"_k_{k}" for k in keys])
 
 
+def with_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``rows`` with, for each name, the quantile of their key's values between the two neighbours of (n - 1) * q, as low * (1 - d) + high * d with a fused
+    multiply-add, so that a threshold made of it is the same to the last bit. Nulls don't count; a key without values has null.
+
+    Windows over one partitioning: a key's rows are sorted, not gathered.
+    """
+    own = Window.partitionBy(*keys)
+    out = rows.withColumn("_k", F.row_number().over(own.orderBy(F.asc_nulls_last(value))) - 1).withColumn("_n", F.count(value).over(own))
+    at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    beside = {f"_{name}_{side}": F.max(F.when(F.col("_k") == place(at(q)), F.col(value).cast("double"))).over(own) for name, q in quantiles.items() for side, place in (("low", F.floor), ("high", F.ceil))}
+    out = out.withColumns(beside)
+    for name, q in quantiles.items():
+        low, high, d = F.col(f"_{name}_low"), F.col(f"_{name}_high"), at(q) - F.floor(at(q))
+        out = out.withColumn(name, F.when(d == 0, low).otherwise(fused(low, 1 - d, high * d)))
+    return out.drop("_k", "_n", *beside)
+
+
 def compare_frames(one: DataFrame, two: DataFrame, key: str, threshold: float = 0.5, held: int = HELD) -> DataFrame:
     """Per key: how two backends' frames differ. Frames (key, frame, time, prob) meet by their number.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.operators.intervals import islands, points_in
+from clipweave.operators.selection import with_quantiles
 
 EPS = 1e-9
 #: A clip's legal length in seconds, with a millisecond of tolerance; lengths within PREFERRED weigh most.
@@ -30,8 +31,7 @@ def detect_cutpoints(frames: DataFrame, keys: list[str], prob_below: float = 0.2
     frames: keys (recording, buffer), center, start, end, prob, rms, pos. The level's floor is a percentile of the buffer. Numbers count all islands,
     the short ones too.
     """
-    floor = frames.groupBy(*keys).agg(F.percentile("rms", F.lit(quantile)).alias("floor"))
-    quiet = frames.join(floor, keys).where((F.col("prob") < prob_below) & (F.col("rms") <= F.col("floor") + rms_over_floor))
+    quiet = with_quantiles(frames, keys, "rms", {"floor": quantile}).where((F.col("prob") < prob_below) & (F.col("rms") <= F.col("floor") + rms_over_floor))
     runs = islands(quiet, keys, gap=EPS)
     span = Window.partitionBy(*keys, "island")
     runs = runs.withColumn("run_start", F.min("start").over(span)).withColumn("run_end", F.max("end").over(span))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipweave.functions.numeric import scaled
 from clipweave.operators import intervals as iv
 from clipweave.operators import slicer
 from clipweave.operators.candidates import suppress
@@ -33,7 +34,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, user_id, day, center, prob, rms, start, end."""
     e = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    center = F.round((us % 86_400_000_000) / F.lit(600_000_000.0), 6)
+    center = scaled((us % 86_400_000_000) / F.lit(600_000_000.0), 6)
     f = e.select(F.col("event_id").alias("pos"), "user_id", F.floor(us / 86_400_000_000).alias("day"), center.alias("center"), ((F.col("event_id") * 37 % 101) / F.lit(100.0)).alias("prob"), (-F.col("value") / 5.0).alias("rms"))
     return f.withColumn("start", F.col("center") - 1.5).withColumn("end", F.col("center") + 1.5)
 
