@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import reasons
 from clipweave.operators.intervals import points_in, union, union_length
+from clipweave.operators.selection import with_quantiles
 
 
 def patched_tokens(tokens: Column, patches: Column) -> Column:
@@ -67,8 +68,8 @@ def energy_regions(frames: DataFrame, keys: list[str], join_gap: float = 0.18, p
 
     frames: keys, start, end, level. The threshold is the largest of four statistics of the levels.
     """
-    stats = frames.groupBy(*keys).agg(F.percentile("level", F.lit(0.2)).alias("p20"), F.percentile("level", F.lit(0.5)).alias("p50"), F.max("level").alias("top"))
-    over = frames.join(stats, keys).where(F.col("level") >= F.greatest(F.col("p20") * 2.2, F.col("p50") * 0.6, F.col("top") * 0.08, F.lit(0.004)))
+    stats = with_quantiles(frames, keys, "level", {"p20": 0.2, "p50": 0.5}).withColumn("top", F.max("level").over(Window.partitionBy(*keys)))
+    over = stats.where(F.col("level") >= F.greatest(F.col("p20") * 2.2, F.col("p50") * 0.6, F.col("top") * 0.08, F.lit(0.004)))
     first = union(over, keys, gap=join_gap).withColumn("start", F.greatest(F.col("start") - pad, F.lit(0.0))).withColumn("end", F.col("end") + pad)
     return union(first.where(F.col("end") - F.col("start") >= least).drop("parts"), keys, gap=rejoin_gap)
 
