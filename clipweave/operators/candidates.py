@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions.arrays import doubles
+from clipweave.functions.numeric import scaled
 from clipweave.functions.text import candidate_id
 from clipweave.operators import intervals as iv
 from clipweave.operators.ordering import with_row_number
@@ -161,7 +162,7 @@ def cut_windows(cuts: DataFrame, keys: list[str], durations: Sequence[float] = D
 
 def scored(windows: DataFrame, recordings: DataFrame, family: Column) -> DataFrame:
     """``windows`` (recording, start, end, transcript) of at least a second, with candidate_id, duration, risk_flags and the prior scores. recordings: recording, total."""
-    out = windows.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3)).where(F.col("end") - F.col("start") >= LEAST_SECONDS).join(recordings, "recording")
+    out = windows.withColumn("start", scaled(F.col("start"), 3)).withColumn("end", scaled(F.col("end"), 3)).where(F.col("end") - F.col("start") >= LEAST_SECONDS).join(recordings, "recording")
     args = (F.col("total"), F.col("start"), F.col("end"), F.col("transcript"))
     out = out.withColumn("candidate_id", candidate_id(F.col("recording").cast("string"), F.col("start"), F.col("end"), family)).withColumn("duration", F.round(F.col("end") - F.col("start"), 3))
     return out.withColumns({"risk_flags": risk_flags(*args), **default_scores(*args)}).drop("total")
@@ -178,11 +179,11 @@ def numbered_best(candidates: DataFrame, score: str, cap: int | None = None) ->
 
 def region_candidates(recordings: DataFrame, regions: DataFrame, durations: Sequence[float] = DURATIONS, stride_ratio: float = 0.5, most: float = 0.82, cap: int | None = None, block: float = 3600.0) -> DataFrame:
     """Candidates from windows over speech regions (recording, start, end); a recording (recording, total) without regions is one itself."""
-    bare = recordings.join(regions.select("recording").distinct(), "recording", "left_anti").select("recording", F.lit(0.0).alias("start"), F.round("total", 3).alias("end"))
+    bare = recordings.join(regions.select("recording").distinct(), "recording", "left_anti").select("recording", F.lit(0.0).alias("start"), scaled(F.col("total"), 3).alias("end"))
     spans = regions.select("recording", "start", "end").unionByName(bare).where("end > start")
     windows = None
     for d in durations:
-        each = iv.candidate_windows(spans, float(d), max(0.2, min(stride_ratio, 0.9))).select("recording", F.lit(f"{d:.2f}").alias("family"), F.round("window_start", 3).alias("start"), F.round("window_end", 3).alias("end")).distinct()
+        each = iv.candidate_windows(spans, float(d), max(0.2, min(stride_ratio, 0.9))).select("recording", F.lit(f"{d:.2f}").alias("family"), scaled(F.col("window_start"), 3).alias("start"), scaled(F.col("window_end"), 3).alias("end")).distinct()
         windows = each if windows is None else windows.unionByName(each)
     found = written(scored(windows.withColumn("transcript", F.lit(None).cast("string")), recordings, F.col("family")), "candidates")
     return numbered_best(suppress(found, ["recording"], "both", "candidate_id", most, block), "both", cap)
@@ -196,7 +197,8 @@ def cut_candidates(windows: DataFrame, recordings: DataFrame, dims: int, overlap
     found = written(scored(windows, recordings, F.concat_ws(":", "start_id", "end_id")), "candidates")
     z = zscores(found, "features", dims)
     distance = F.sqrt(F.aggregate(F.col("z"), F.lit(0.0), lambda s, x: s + x * x))
-    found = written(z.withColumn("adjusted", F.col("both") + F.greatest(F.lit(0.0), 0.15 - distance * 0.03)).drop("z").dropDuplicates(["recording", "candidate_id"]), "candidates")
+    # To 9 places, so that equal windows aren't ordered by what the order of their frames' sums left behind.
+    found = written(z.withColumn("adjusted", scaled(F.col("both") + F.greatest(F.lit(0.0), 0.15 - distance * 0.03), 9)).drop("z").dropDuplicates(["recording", "candidate_id"]), "candidates")
     threshold = max(OVERLAP_LEAST, min(float(overlap or OVERLAP), OVERLAP_MOST))
     kept = suppress(found, ["recording"], "adjusted", "candidate_id", threshold, block)
     if labels is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipweave.functions.numeric import scaled
 from clipweave.operators import candidates as cd
 from clipweave.operators import intervals as iv
 from clipweave.operators import slicer
@@ -39,9 +40,9 @@ def clock(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Frames (recording, pos, start, end, prob, rms) on each user's clock, and recordings (recording, total)."""
     f = frames(spark, sf_dir)
     first = f.agg(F.min("day").alias("first"))
-    at = lambda c: F.round((F.col("day") - F.col("first")) * F.lit(144.0) + F.col(c), 6).alias(c)
+    at = lambda c: scaled((F.col("day") - F.col("first")) * F.lit(144.0) + F.col(c), 6).alias(c)
     f = f.join(F.broadcast(first)).select(F.col("user_id").alias("recording"), "pos", at("start"), at("end"), "prob", "rms")
-    return f, f.groupBy("recording").agg(F.round(F.max("end") + 1.0, 3).alias("total"))
+    return f, f.groupBy("recording").agg(scaled(F.max("end") + 1.0, 3).alias("total"))
 
 
 def spoken(f: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def cut_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = met.groupBy("recording", "window").agg(F.array(F.avg("rms"), spread("rms"), F.avg("prob"), spread("prob")).alias("features"))
     w = w.join(sound, ["recording", "window"], "left").withColumn("features", F.coalesce("features", F.array(*[F.lit(0.0)] * 4)))
     out = cd.cut_candidates(w.drop("target", "window"), recordings, 4, cap=cd.CAP_MOST, block=300.0)
-    return out.select("recording", "candidate_id", "start", "end", "transcript", F.round("adjusted", 6).alias("adjusted"), "embedding_index")
+    return out.select("recording", "candidate_id", "start", "end", "transcript", scaled(F.col("adjusted"), 6).alias("adjusted"), "embedding_index")
 
 
 @query(
