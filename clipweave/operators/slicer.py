@@ -151,14 +151,20 @@ def boundary_candidates(words: DataFrame, keys: list[str], acoustic: str | None
 
     ``acoustic``: a column of scores of the gaps' quiet, from 0 to 1; candidates below the least are dropped. Without it the score counts as 0.
     """
+    return _with_boundaries(words, keys, acoustic).where("strength IS NOT NULL")
+
+
+def _with_boundaries(words: DataFrame, keys: list[str], acoustic: str | None) -> DataFrame:
+    """All ``words`` with gap, time and strength, which are null where no clip may end."""
     w = Window.partitionBy(*keys).orderBy("start", "end", "pos")
     lo, hi = F.col("end") + GUARD_AFTER, F.lead("start").over(w) - GUARD_BEFORE
-    g = words.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("gap", F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0.0))).where(F.col("_hi").isNotNull() & (F.col("gap") >= LEAST_GAP))
     score = F.col(acoustic) if acoustic else F.lit(0.0)
+    g = words.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("gap", F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+    may = F.col("_hi").isNotNull() & (F.col("gap") >= LEAST_GAP)
     if acoustic:
-        g = g.where(score >= LEAST_ACOUSTIC)
+        may &= score >= LEAST_ACOUSTIC
     strength = F.lit(1.0 - ACOUSTIC_SHARE) * F.least(F.col("gap") / PREFERRED_GAP, F.lit(1.0)) + F.lit(ACOUSTIC_SHARE) * score
-    return g.withColumn("time", (F.col("_lo") + F.col("_hi")) / 2).withColumn("strength", strength).drop("_lo", "_hi")
+    return g.withColumns({"time": F.when(may, (F.col("_lo") + F.col("_hi")) / 2), "strength": F.when(may, strength), "gap": F.when(may, F.col("gap"))}).drop("_lo", "_hi")
 
 
 def clip_ends(start: np.ndarray, end: np.ndarray, strength: np.ndarray, gap: np.ndarray) -> list[tuple[int, int]]:
@@ -192,8 +198,7 @@ def greedy_groups(words: DataFrame, keys: list[str], acoustic: str | None = None
 
     words: keys, pos, start, end. A recording's words are one array in one task, as each cut depends on the last. Returns keys, clip, first, last, start, end.
     """
-    ends = boundary_candidates(words, keys, acoustic).select(*keys, "pos", "strength", "gap")
-    marked = words.select(*keys, "pos", "start", "end").join(ends, [*keys, "pos"], "left")
+    marked = _with_boundaries(words, keys, acoustic).select(*keys, "pos", "start", "end", "strength", "gap")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*keys).schema.fields) + ", clip int, first int, last int, start double, end double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

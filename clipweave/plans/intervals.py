@@ -137,7 +137,9 @@ WORDS_SQL = """
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, pos, word, start, end."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.regexp_replace("text", "\n", " "), " ", -1)).alias("pos", "word"))
+    # Texts are dealt by turn before they become words, so that windows over a turn's words need no shuffle; by a number, as texts are small beside their words.
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    c = c.select("conv_id", "turn", F.posexplode(F.split(F.regexp_replace("text", "\n", " "), " ", -1)).alias("pos", "word"))
     dur = F.lit(0.2) + F.lit(0.01) * F.length("word")
     c = c.withColumn("dur", dur).withColumn("step", dur + F.when((F.col("pos") + F.col("turn")) % 7 == 6, 0.6).otherwise(0.02))
     before = F.coalesce(F.sum("step").over(iv.Window.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(iv.Window.unboundedPreceding, -1)), F.lit(0.0))
