@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,29 +57,83 @@ def _means(rows: DataFrame, frames: DataFrame, keys: list[str], id_col: str, spa
     return rows.join(wide, id_col)
 
 
+def _held(frames: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Frames (keys, at, level) as one array per key and bucket of time: its own and the next bucket's, the last one before and the first one after."""
+    f = frames.where("level IS NOT NULL AND at IS NOT NULL").select(*keys, F.struct(F.col("at").cast("double").alias("at"), F.col("level").cast("double").alias("level")).alias("f"))
+    held = f.groupBy(*keys, F.floor(F.col("f.at") / F.lit(width)).alias("_b")).agg(F.array_sort(F.collect_list("f")).alias("f"))
+    own = Window.partitionBy(*keys).orderBy("_b")
+    some = lambda x: F.array_compact(F.array(x))
+    held = held.withColumns({"_before": F.lag(F.element_at("f", -1)).over(own), "_next_b": F.lead("_b").over(own), "_next": F.lead("f").over(own), "_third": F.lead(F.get("f", F.lit(0)), 2).over(own)})
+    after = F.when(F.col("_next_b") == F.col("_b") + 1, F.concat("_next", some(F.col("_third")))).when(F.col("_next").isNotNull(), F.slice("_next", 1, 1)).otherwise(F.slice("f", 1, 0))
+    return held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_b", F.concat(some(F.col("_before")), "f", after).alias("_f"))
+
+
+def _beside(rows: DataFrame, held: DataFrame, keys: list[str], lo: Column, hi: Column, width: float, measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What ``measure`` adds to rows from the frames within [lo, hi], the last one before and the first one after, which it finds as array _f; and the rows for which
+    a bucket doesn't hold them: longer than one, or in a bucket without frames."""
+    same = F.col("_b") == F.floor(lo / F.lit(width))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    met = rows.join(held, same, "left").drop("_b", *[f"_h_{k}" for k in keys])
+    within = F.filter("_f", lambda f: (f["at"] >= lo) & (f["at"] <= hi))
+    ends = F.array_compact(F.array(F.try_element_at(F.filter("_f", lambda f: f["at"] < lo), F.lit(-1)), F.get(F.filter("_f", lambda f: f["at"] > hi), F.lit(0))))
+    met = measure(met.withColumn("_f", F.when(hi - lo <= width, F.concat(within, ends))))
+    met = written(met.withColumn("_found", F.col("_f").isNotNull()).drop("_f"), "beside")
+    return met.where("_found").drop("_found"), met.where("NOT _found").select(*rows.columns)
+
+
+def _mean_beside(lo: Column, hi: Column) -> Column:
+    """The mean level over a span as in ``window_means``, from the frames in _f."""
+    inside = F.filter("_f", lambda f: (f["at"] >= lo) & (f["at"] <= hi))
+    total = F.aggregate(inside, F.lit(0).cast(_EXACT), lambda s, f: (s + f["level"].cast(_EXACT)).cast(_EXACT))
+    nearest = F.array_min(F.transform("_f", lambda f: F.struct(F.abs(f["at"] - (lo + hi) / 2).alias("d"), f["at"].alias("at"), f["level"].alias("level"))))["level"]
+    return F.coalesce(F.when(hi > lo, F.when(F.size(inside) > 0, total.cast("double") / F.size(inside)).otherwise(nearest)), F.lit(0.0))
+
+
+def _snap_beside(lo: Column, hi: Column, slack: float = 1.15) -> Column:
+    """Where to cut in [lo, hi] as in ``snap``, from the frames in _f."""
+    inside = F.filter("_f", lambda f: (f["at"] >= lo) & (f["at"] <= hi))
+    low = F.array_min(F.transform(inside, lambda f: f["level"]))
+    quiet = F.filter(inside, lambda f: f["level"] <= F.greatest(low * slack, low + 1e-6))
+    return F.coalesce(F.array_min(F.transform(quiet, lambda f: F.struct(F.abs(f["at"] - (lo + hi) / 2).alias("d"), f["at"].alias("at"))))["at"], (lo + hi) / 2)
+
+
+def _of(rows: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The frames of the rows' keys."""
+    wanted = rows.select(*[F.col(k).alias(f"_w_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    return frames.join(wanted, same, "left_semi")
+
+
 def acoustic_boundaries(words: DataFrame, frames: DataFrame, keys: list[str], bucket: float = 10.0) -> DataFrame:
     """For every gap between words with room: its guarded ends, the quiet moment to cut at (time), the score of its quiet (acoustic) and its valley's energy.
 
     words: keys, pos, start, end. The score is one less the valley's share of the levels beside it. Returns keys, pos (of the word before), g_start, g_end, time, acoustic, valley.
+    A gap meets one bucket's frames, which give its cut and its levels at once; long gaps and those far from frames are rare and take the frames in one order.
     """
     w = Window.partitionBy(*keys).orderBy("start", "end", "pos")
     gaps = words.select(*keys, "pos", F.col("start").alias("w0"), F.col("end").alias("w1"), F.lead("start").over(w).alias("n0"), F.lead("end").over(w).alias("n1"))
     gaps = gaps.where("n0 IS NOT NULL").withColumn("g_start", F.col("w1") + GUARD_AFTER).withColumn("g_end", F.col("n0") - GUARD_BEFORE).where("g_end > g_start")
-    gaps = written(gaps.withColumn("gap", F.struct(*keys, "pos")), "gaps")
-    cut = written(snap(gaps, frames, keys, "gap", bucket).withColumnRenamed("cut", "time"), "boundaries")
     t = F.col("time")
     spans = {
         "valley": (F.greatest(t - CONTEXT / 2, F.col("w1")), F.least(t + CONTEXT / 2, F.col("n0"))),
         "left": (F.greatest(F.col("w0"), F.col("w1") - CONTEXT), F.col("w1")),
         "right": (F.col("n0"), F.least(F.col("n1"), F.col("n0") + CONTEXT)),
     }
-    got = _means(cut, frames, keys, "gap", spans)
+    measure = lambda d: d.withColumn("time", _snap_beside(F.col("g_start"), F.col("g_end"))).withColumns({k: _mean_beside(*span) for k, span in spans.items()})
+    got, rest = _beside(gaps, _held(frames, keys, bucket), keys, F.col("w1") - CONTEXT, F.col("n0") + CONTEXT, bucket, measure)
+    if not rest.isEmpty():
+        few = _of(rest, frames, keys)
+        cut = written(snap(rest.withColumn("gap", F.struct(*keys, "pos")), few, keys, "gap", bucket).withColumnRenamed("cut", "time"), "boundaries")
+        got = got.unionByName(_means(cut, few, keys, "gap", spans).drop("gap"))
     speech = F.greatest((F.col("left") + F.col("right")) / 2, F.col("valley"))
     score = F.when(speech <= 0, 1.0).otherwise(clamp(1.0 - F.col("valley") / speech, 0, 1))
     return got.select(*keys, "pos", "g_start", "g_end", "time", score.alias("acoustic"), "valley")
 
 
-def refine(clips: DataFrame, frames: DataFrame, keys: list[str], bucket: float = 10.0) -> DataFrame:
+def refine(clips: DataFrame, frames: DataFrame, keys: list[str], bucket: float = 20.0) -> DataFrame:
     """Planned clips with the bounds to train on: neighbours share one quiet moment in the gap between them; and flags of loud edges, silence and little speech.
 
     clips: keys, clip (in order), start, end, total (the recording's length); safe_start, safe_end of the gap after it, null where it is cut without a boundary; breath,
@@ -87,21 +143,29 @@ def refine(clips: DataFrame, frames: DataFrame, keys: list[str], bucket: float =
     name = F.struct(*keys, "clip")
     rows = clips.withColumn("id", name).withColumn("_next", F.lead("start").over(w))
     rows = written(rows.withColumn("g_start", F.coalesce("safe_start", F.col("end") + GUARD_AFTER)).withColumn("g_end", F.coalesce("safe_end", F.col("_next") - GUARD_BEFORE)), "planned")
-    gaps = rows.where("_next IS NOT NULL").select(*keys, "id", "g_start", F.greatest("g_start", "g_end").alias("g_end"))
-    shared = snap(gaps.where("g_end > g_start"), frames, keys, "id", bucket).select("id", F.col("cut").alias("_cut"))
-    cut = rows.join(shared, "id", "left").withColumn("_cut", F.when(F.col("_next").isNotNull(), F.coalesce("_cut", "g_start")))
+    held = written(_held(frames, keys, bucket), "frame_buckets")
+    open_ = F.col("_next").isNotNull() & (F.col("g_end") > F.col("g_start"))
+    near, rest = _beside(rows.where(open_), held, keys, F.col("g_start"), F.col("g_end"), bucket, lambda d: d.withColumn("_cut", _snap_beside(F.col("g_start"), F.col("g_end"))))
+    snapped = near.unionByName(rows.where(~F.coalesce(open_, F.lit(False))).withColumn("_cut", F.lit(None).cast("double")))
+    if not rest.isEmpty():
+        snapped = snapped.unionByName(snap(rest, _of(rest, frames, keys), keys, "id", bucket).withColumnRenamed("cut", "_cut"))
+    cut = snapped.withColumn("_cut", F.when(F.col("_next").isNotNull(), F.coalesce("_cut", "g_start")))
     breath = F.coalesce(F.col("breath"), F.lit(False))
     cut = cut.withColumns({
         "training_start": F.coalesce(F.lag("_cut").over(w), F.col("start")), "training_end": F.coalesce("_cut", "end"),
         "breath_at_end": F.col("_next").isNotNull() & breath, "breath_at_start": F.coalesce(F.lag(breath).over(w), F.lit(False)),
     })
-    cut = written(cut.drop("_cut", "_next", "g_start", "g_end", "safe_start", "safe_end", "breath"), "cut")
+    cut = cut.drop("_cut", "_next", "g_start", "g_end", "safe_start", "safe_end", "breath")
     lo, hi = F.col("training_start"), F.col("training_end")
-    got = _means(cut, frames, keys, "id", {"edge_start": (lo, F.least(lo + EDGE, F.col("total"))), "edge_end": (F.greatest(F.lit(0.0), hi - EDGE), hi), "mean_level": (lo, hi)})
+    spans = {"edge_start": (lo, F.least(lo + EDGE, F.col("total"))), "edge_end": (F.greatest(F.lit(0.0), hi - EDGE), hi), "mean_level": (lo, hi)}
+    got, rest = _beside(cut, held, keys, F.least(lo, hi - EDGE), F.greatest(hi, lo + EDGE), bucket, lambda d: d.withColumns({k: _mean_beside(*span) for k, span in spans.items()}))
+    if not rest.isEmpty():
+        got = got.unionByName(_means(rest, _of(rest, frames, keys), keys, "id", spans))
     length = F.greatest(F.lit(0.0), hi - lo)
     before, after = F.greatest(F.lit(0.0), F.col("start") - lo), F.greatest(F.lit(0.0), hi - F.col("end"))
     speech = clamp((F.col("end") - F.col("start")) / length, 0, 1)
-    loud = lambda c: F.try_divide(F.col(c), F.when(F.col("mean_level") > 0, F.col("mean_level")))
+    # To 9 places, so that a ratio at the limit is not over it by the last bits of a mean.
+    loud = lambda c: F.round(F.try_divide(F.col(c), F.when(F.col("mean_level") > 0, F.col("mean_level"))), 9)
     flags = joined_flags(
         F.when(loud("edge_start") > EDGE_RATIO, F.format_string("high_start_edge_energy_%.2f", loud("edge_start"))),
         F.when(loud("edge_end") > EDGE_RATIO, F.format_string("high_end_edge_energy_%.2f", loud("edge_end"))),

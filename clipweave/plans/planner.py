@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.operators import refine as rf
 from clipweave.operators import slicer
+from clipweave.operators.written import written
 from clipweave.plans.intervals import WORDS_SQL, words
 from clipweave.plans.registry import query, table
 
@@ -29,7 +30,8 @@ _BOUNDARY_SQL = f"""{_FRAMES_SQL},
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, at, level."""
-    c = table(spark, sf_dir, "conversations").where("text <> ''").select(*KEYS, F.posexplode(F.split("text", "")).alias("i", "c"))
+    c = table(spark, sf_dir, "conversations").where("text <> ''").select(*KEYS, "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)  # as words are
+    c = c.select(*KEYS, F.posexplode(F.split("text", "")).alias("i", "c"))
     loud = (10 + F.ascii("c") % 29 + (F.col("i") + 1) % 7) / F.lit(50.0)
     return c.select(*KEYS, F.round(F.col("i") * F.lit(0.1), 6).alias("at"), F.when(F.col("c") == " ", 0.02).otherwise(loud).alias("level"))
 
@@ -81,8 +83,9 @@ def clips_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planned_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole planner: words and levels to boundaries scored by their quiet, greedy clips, and their refined bounds."""
     w, f = words(spark, sf_dir), levels(spark, sf_dir)
-    b = rf.acoustic_boundaries(w, f, KEYS)
-    scored = w.join(b.select(*KEYS, "pos", "acoustic"), [*KEYS, "pos"], "left").withColumn("acoustic", F.coalesce("acoustic", F.lit(0.0)))
+    b = written(rf.acoustic_boundaries(w, f, KEYS), "scored_gaps")
+    scored = w.select(*KEYS, "pos", "start", "end").join(b.select(*KEYS, "pos", "acoustic"), [*KEYS, "pos"], "left").withColumn("acoustic", F.coalesce("acoustic", F.lit(0.0)))
+    scored = written(scored, "scored_words")
     clips = slicer.greedy_groups(scored, KEYS, "acoustic")
     safe = slicer.boundary_candidates(scored, KEYS, "acoustic").select(*KEYS, F.col("pos").alias("last")).join(b.select(*KEYS, F.col("pos").alias("last"), F.col("g_start").alias("safe_start"), F.col("g_end").alias("safe_end")), [*KEYS, "last"])
     total = f.groupBy(*KEYS).agg(F.max("at").alias("total"))
