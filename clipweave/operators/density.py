@@ -1,7 +1,8 @@
 """Density clusters of one search's vectors: HDBSCAN as Spark jobs.
 
 Core distances and the edges of the mutual-reachability tree come from passes in which a task holds one block of points, with a
-running result for each, and streams all points past it; nothing but that result leaves the task. The tree grows by Boruvka
+running result for each, and reads all points past it from the shared folder; nothing but that result leaves the task. A core distance is found by
+counting in ranges that narrow, so that its rank costs no memory. The tree grows by Boruvka
 rounds: every component picks its least outgoing edge by an aggregate, and picks are followed by joins. The tree's edges are then merged in order of
 length, a bounded run of them per task, between which a point carries its component; of that, only the clusters' masses and births are
 gathered, after a count. Squared distances have 9 places and ties go to smaller ids, so the tree is unique.
@@ -22,8 +23,12 @@ from clipweave.functions.arrays import doubles, unit
 from clipweave.operators.ordering import with_row_number
 from clipweave.operators.written import written
 
-#: Points in a block, guests that a block meets at once, edges merged in one task, and clusters that may be gathered.
-BLOCK, GUESTS, EDGES, CLUSTERS = 2048, 512, 100_000, 100_000
+#: Points in a block and the least that it is made of, guests that a block meets at once, edges merged in one task, and clusters that may be gathered.
+BLOCK, LEAST_BLOCK, GUESTS, EDGES, CLUSTERS = 4096, 64, 256, 100_000, 100_000
+#: Squared distances count in ``SCALE`` parts of one; those of vectors of length 1 are under ``FAR`` of them.
+SCALE, FAR = 1e9, 1 << 33
+#: Parts that a range of distances is counted in, and distances in range that a block holds at most.
+PARTS, HELD = 64, 1 << 22
 
 
 class _Part:
@@ -37,103 +42,195 @@ class _Part:
         return _Part(self.id[rows], self.v[rows], {k: x[rows] for k, x in self.more.items()})
 
     def squared_distances(self, other: _Part) -> np.ndarray:
-        return np.round(np.maximum(self.squares[:, None] + other.squares - 2 * self.v @ other.v.T, 0), 9)
-
-
-def _stack(parts: list[_Part]) -> _Part:
-    return _Part(np.concatenate([p.id for p in parts]), np.concatenate([p.v for p in parts]), {k: np.concatenate([p.more[k] for p in parts]) for k in parts[0].more})
+        """In whole parts of ``SCALE``."""
+        d = self.v @ other.v.T
+        d *= -2
+        d += self.squares[:, None]
+        d += other.squares
+        np.maximum(d, 0, out=d)
+        d *= SCALE
+        return np.rint(d, out=d)
 
 
 class _Core:
-    """The squared distance to a point's k-th nearest other point."""
-
-    schema = "id long, core double"
-
-    def __init__(self, k: int):
-        self.k = k
+    """The range [lo, hi) of the squared distance to a point's nearest other point but ``index``, narrower than before.
 
-    def start(self, own: _Part) -> np.ndarray:
-        return np.full((len(own.id), self.k), np.inf)
+    A point without a range (hi is 0) takes one that its own block, a random part of all points, makes likely. Distances below the range and in its parts are
+    counted, so the new range is certain; those within it are kept while a block holds few enough, and then the distance itself is found.
+    """
 
-    def meet(self, own: _Part, best: np.ndarray, guests: _Part) -> np.ndarray:
+    schema, needs = "id long, lo long, hi long", ()
+
+    def __init__(self, index: int, n: int):
+        self.index, self.n = index, n
+
+    def start(self, own: _Part) -> dict:
+        own = own.at(np.flatnonzero(own.more["hi"] - own.more["lo"] != 1))
+        m = len(own.id)
+        lo, hi = own.more["lo"].copy(), own.more["hi"].copy()
+        if m and not hi[0]:
+            hi[:] = FAR
+            share = (self.index + 0.5) / (self.n - 1)
+            rank, width = share * (m - 1), 3 * math.sqrt(share * (1 - min(share, 1)) * (m - 1)) + 2
+            first, last = math.floor(rank - width), math.ceil(rank + width)
+            for k in range(0, m, GUESTS):
+                d = np.sort(own.at(slice(k, k + GUESTS)).squared_distances(own), 1)
+                # The point itself comes first here, so an other point's rank is one more.
+                if 0 < first and first + 1 < m:
+                    lo[k : k + GUESTS] = d[:, first + 1]
+                if last + 1 < m:
+                    hi[k : k + GUESTS] = d[:, last + 1] + 1
+        step = np.exp2(np.ceil(np.log2(np.maximum((hi - lo) / PARTS, 1))))
+        return {"own": own, "lo": lo, "hi": hi, "step": step, "below": np.zeros(m, np.int64), "parts": np.zeros((m, PARTS), np.int64), "held": [], "n": 0}
+
+    def meet(self, s: dict, guests: _Part) -> None:
+        own = s["own"]
+        if not len(own.id):
+            return
         d = own.squared_distances(guests)
-        d[own.id[:, None] == guests.id] = np.inf
-        return np.partition(np.concatenate([best, d], 1), self.k - 1, 1)[:, : self.k]
-
-    def result(self, own: _Part, best: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own.id), pa.array(best.max(1))], ["id", "core"])
+        _, at, other = np.intersect1d(own.id, guests.id, assume_unique=True, return_indices=True)
+        d[at, other] = np.inf
+        low = d < s["lo"][:, None]
+        s["below"] += np.count_nonzero(low, 1)
+        row, col = np.nonzero((d < s["hi"][:, None]) & ~low)
+        found = d[row, col] - s["lo"][row]
+        part = (found / s["step"][row]).astype(np.int64)  # steps are powers of two
+        s["parts"] += np.bincount(row * PARTS + part, minlength=s["parts"].size).reshape(s["parts"].shape)
+        s["n"] += len(row)
+        if s["n"] <= HELD:
+            s["held"].append((row, found))
+        else:
+            s["held"].clear()
+
+    def result(self, s: dict) -> pa.RecordBatch:
+        lo, hi, below, step = s["lo"], s["hi"], s["below"], s["step"].astype(np.int64)
+        upto = below[:, None] + s["parts"].cumsum(1)
+        part = (upto <= self.index).sum(1)
+        inside = (below <= self.index) & (part < PARTS)
+        first = np.where(inside, lo + np.minimum(part, PARTS - 1) * step, np.where(below > self.index, 0, hi))
+        end = np.where(inside, np.minimum(first + step, hi), np.where(below > self.index, lo, FAR))
+        if s["held"] and s["n"] <= HELD:
+            row, found = (np.concatenate(x) for x in zip(*s["held"], strict=True))
+            order = np.lexsort((found, row))
+            begins = np.searchsorted(row[order], np.arange(len(lo)))
+            which = np.flatnonzero(inside)
+            first[which] = lo[which] + found[order[begins[which] + self.index - below[which]]].astype(np.int64)
+            end[which] = first[which] + 1
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (s["own"].id, first, end)], ["id", "lo", "hi"])
 
 
 class _Outgoing:
     """A point's least edge to another component: by mutual reachability, then by the ids of its ends."""
 
-    schema = "comp long, reach double, lo long, hi long, other long"
+    schema, needs = "comp long, reach double, lo long, hi long, other long", ("core", "comp")
 
-    def start(self, own: _Part) -> tuple:
+    def start(self, own: _Part) -> dict:
         n = len(own.id)
-        return np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+        return {"own": own, "reach": np.full(n, np.inf), "to": np.full(n, np.iinfo(np.int64).max), "other": np.zeros(n, np.int64)}
 
-    def meet(self, own: _Part, best: tuple, guests: _Part) -> tuple:
-        guests = guests.at(np.argsort(guests.id))
-        reach = np.maximum(np.maximum(own.squared_distances(guests), own.more["core"][:, None]), guests.more["core"])
+    def meet(self, s: dict, guests: _Part) -> None:
+        own = s["own"]
+        reach = own.squared_distances(guests)  # guests rise by id, so ties go to the smaller one
+        np.maximum(reach, own.more["core"][:, None], out=reach)
+        np.maximum(reach, guests.more["core"], out=reach)
         reach[own.more["comp"][:, None] == guests.more["comp"]] = np.inf
         j = reach.argmin(1)
-        found = reach[np.arange(len(j)), j], guests.id[j], guests.more["comp"][j]
-        better = (found[0] < best[0]) | (np.isfinite(found[0]) & (found[0] == best[0]) & (found[1] < best[1]))
-        return tuple(np.where(better, x, y) for x, y in zip(found, best, strict=True))
-
-    def result(self, own: _Part, best: tuple) -> pa.RecordBatch:
-        fine = np.isfinite(best[0])
-        a, b = own.id[fine], best[1][fine]
-        columns = own.more["comp"][fine], best[0][fine], np.minimum(a, b), np.maximum(a, b), best[2][fine]
+        least = reach[np.arange(len(j)), j]
+        better = (least < s["reach"]) | (np.isfinite(least) & (least == s["reach"]) & (guests.id[j] < s["to"]))
+        for name, found in (("reach", least), ("to", guests.id[j]), ("other", guests.more["comp"][j])):
+            s[name] = np.where(better, found, s[name])
+
+    def result(self, s: dict) -> pa.RecordBatch:
+        fine = np.isfinite(s["reach"])
+        a, b = s["own"].id[fine], s["to"][fine]
+        columns = s["own"].more["comp"][fine], s["reach"][fine] / SCALE, np.minimum(a, b), np.maximum(a, b), s["other"][fine]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["comp", "reach", "lo", "hi", "other"])
 
 
-def _folded(fold, names: list[str]) -> Callable:
-    """Rows (block, guest, id, v, the named columns) in order of block and guest to ``fold``'s result of each block."""
+def _packed(rows: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+    """One row a block of points: ``block`` and the columns (numbers, or vectors of doubles) as bytes, by id."""
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", *[c for c in columns if c != "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, whole, state = None, [], None, None
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([b"".join(x)], pa.binary()) for x in zip(*held, strict=True)]], ["block", *columns])
+
+        block, held = None, []
         for b in batches:
             if not b.num_rows:
                 continue
-            at, guest, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            part = _Part(ids, b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), {n: b.column(4 + k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)})
-            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(guest) != 0)) + 1).tolist(), len(ids)]
+            at = b.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if at[lo] != block:
-                    if state is not None:
-                        yield fold.result(whole, state)
-                    block, own, state = at[lo], [], None
-                if not guest[lo]:
-                    own.append(part.at(slice(lo, hi)))
-                elif own:
-                    if state is None:
-                        whole = _stack(own)
-                        state = fold.start(whole)
-                    for k in range(lo, hi, GUESTS):
-                        state = fold.meet(whole, state, part.at(slice(k, min(k + GUESTS, hi))))
-        if state is not None:
-            yield fold.result(whole, state)
+                    if held:
+                        yield out()
+                    block, held = at[lo], []
+                part = [b.column(c).slice(lo, hi - lo) for c in columns]
+                held.append([(x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False).tobytes() for x in part])
+        if held:
+            yield out()
 
-    return run
+    return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, ", ".join(["block int", *[f"{c} binary" for c in columns]]))
 
 
-def _beside_all(points: DataFrame, names: list[str], fold, n: int, block_rows: int) -> DataFrame:
-    """``fold`` over every block of ``points`` (id, v, the named columns) beside all points."""
-    blocks = max(1, -(-n // block_rows))
-    own = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("guest", F.lit(0))
-    guests = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("guest", F.lit(1))
-    rows = own.unionByName(guests).select("block", "guest", "id", "v", *names)
-    return rows.repartition("block").sortWithinPartitions("block", "guest").mapInArrow(_folded(fold, names), fold.schema)
+def _folded(fold, types: dict[str, str]) -> Callable:
+    """Rows of a block (id, v, the named columns) and a block of guests (the same as g_, those that the fold needs) to ``fold``'s result of each block."""
 
+    def part(columns: dict, i: int, prefix: str, names) -> _Part:
+        raw = lambda c, t: np.frombuffer(columns[prefix + c][i].as_buffer(), t)
+        ids = raw("id", "i8")
+        return _Part(ids, raw("v", "f8").reshape(len(ids), -1), {c: raw(c, types[c]) for c in names})
 
-def _tree(points: DataFrame, n: int, block_rows: int) -> DataFrame:
-    """The minimum spanning tree (reach, lo, hi) of ``points`` (id, v, core) by mutual reachability; every round at least halves the components."""
-    member = written(points.withColumn("comp", F.col("id")), "member")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = {}
+        for b in batches:
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            for i, block in enumerate(columns["block"].to_pylist()):
+                if block not in states:
+                    states[block] = fold.start(part(columns, i, "", types))
+                guests = part(columns, i, "g_", fold.needs)
+                for k in range(0, len(guests.id), GUESTS):
+                    fold.meet(states[block], guests.at(slice(k, k + GUESTS)))
+        for s in states.values():
+            yield fold.result(s)
+
+    return run
+
+
+def _beside_all(vectors: DataFrame, more: DataFrame, types: dict[str, str], fold, blocks: int) -> DataFrame:
+    """``fold`` over every block of points beside all points. vectors: ``_packed`` id and v; more: the points' id and the columns of ``types``.
+
+    A task has one block and reads all blocks past it, one at a time, from the shared folder: what is shuffled and written is each point once, whatever the number of blocks.
+    """
+    each = vectors.join(_packed(more, list(types), blocks), "block").repartitionByRange(blocks, "block")
+    each = written(each, "blocks")  # a block a file, so that no more is in memory
+    guests = each.select(*[F.col(c).alias(f"g_{c}") for c in ("id", "v", *fold.needs)]).coalesce(1)
+    rows = guests.hint("shuffle_replicate_nl").crossJoin(each.repartitionByRange(blocks, "block"))
+    return rows.mapInArrow(_folded(fold, types), fold.schema)
+
+
+def _cores(vectors: DataFrame, points: DataFrame, index: int, n: int, blocks: int) -> DataFrame:
+    """Points' id and core, the squared distance (in parts of ``SCALE``) to their nearest other point but ``index``."""
+    zero = F.lit(0).cast("long")
+    found, ranges = None, points.select("id", zero.alias("lo"), zero.alias("hi"))
+    while True:
+        new = written(_beside_all(vectors, ranges, {"lo": "i8", "hi": "i8"}, _Core(index, n), blocks), "ranges")
+        done = new.where("hi - lo = 1").select("id", F.col("lo").cast("double").alias("core"))
+        found = done if found is None else found.unionByName(done)
+        if new.where("hi - lo > 1").isEmpty():
+            return written(found, "core")
+        # Points that are done stay in their block, where they count as others.
+        one = F.lit(1).cast("long")
+        ranges = written(new.where("hi - lo > 1").unionByName(found.select("id", F.col("core").cast("long").alias("lo"), (F.col("core").cast("long") + one).alias("hi"))), "open")
+
+
+def _tree(vectors: DataFrame, core: DataFrame, n: int, blocks: int) -> DataFrame:
+    """The minimum spanning tree (reach, lo, hi) by mutual reachability of points, of ``core`` (id, core); every round at least halves the components."""
+    member = core.withColumn("comp", F.col("id"))
     edges = None
     for _ in range(n.bit_length() + 1):
-        near = _beside_all(member, ["core", "comp"], _Outgoing(), n, block_rows)
+        near = _beside_all(vectors, member, {"core": "f8", "comp": "i8"}, _Outgoing(), blocks)
         picks = written(near.groupBy("comp").agg(F.min(F.struct("reach", "lo", "hi", "other")).alias("p")).select("comp", "p.*"), "picks")
         new = picks.select("reach", "lo", "hi").distinct()
         edges = new if edges is None else edges.unionByName(new)
@@ -147,7 +244,7 @@ def _tree(points: DataFrame, n: int, block_rows: int) -> DataFrame:
             moved, up = not jumped.where("moved").isEmpty(), jumped.drop("moved")
         if up.where("comp = to").count() == 1:
             break
-        member = written(member.join(up, "comp").select("id", "v", "core", F.col("to").alias("comp")), "member")
+        member = written(member.join(up, "comp").select("id", "core", F.col("to").alias("comp")), "member")
     return written(edges, "tree")
 
 
@@ -243,9 +340,11 @@ def density_clusters(rows: DataFrame, id_col: str, vector: str, least: int | Non
     if n < 2:
         return every.withColumn("cluster", F.when(F.col("v").isNotNull(), 0)).select(*named)
     least = min(max(least or max(5, n * 3 // 100), 2), n)
-    held = max(64, min(block_rows, (1 << 24) // (least + GUESTS)))
-    core = written(_beside_all(points, [], _Core(least - 1), n, held), "core")
-    edges, n_edges = with_row_number(_tree(points.join(core, "id"), n, block_rows), ["reach", "lo", "hi"], "at")
+    # Two blocks a core at least, where they aren't too small.
+    blocks = -(-n // min(block_rows, max(LEAST_BLOCK, n // (2 * spark.sparkContext.defaultParallelism))))
+    vectors = written(_packed(points, ["id", "v"], blocks), "packed")
+    core = _cores(vectors, points, least - 2, n, blocks)
+    edges, n_edges = with_row_number(_tree(vectors, core, n, blocks), ["reach", "lo", "hi"], "at")
     edges = written(edges, "edges")
     one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
     member = points.select("id", F.col("id").alias("comp"), one.alias("size"), none.alias("cluster"), none.alias("out"))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pytest
 
+from clipweave.operators import density
 from clipweave.operators.density import density_clusters
 
 
@@ -78,3 +79,41 @@ def test_edges_of_the_rule(spark):
     assert set(labels([(k, [1.0, 0.0]) for k in range(30)]).values()) <= {-1, 0, 1, 2, 3, 4, 5}  # all ties: any split of equal vectors, but an end
     with pytest.raises(ValueError, match="repeated"):
         labels([(1, [1.0]), (1, [2.0])])
+
+
+def test_bytes_do_not_grow_with_blocks(spark):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (900, 48)))], "id long, v array<double>").cache()
+    d.count()
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    took = []
+    for block_rows in (2048, 64):
+        before = shuffled()
+        density_clusters(d, "id", "v", 5, block_rows).collect()
+        took.append(shuffled() - before)
+    assert 0 < took[1] < 1.5 * took[0]
+
+
+def test_ranges_narrow_to_the_distance(monkeypatch):
+    """The distance is found where ranges guessed from a block miss it, and where a block may hold no distances."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 4))
+    x[:40] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(300)
+    d = density._Part(ids, x, {}).squared_distances(density._Part(ids, x, {}))
+    np.fill_diagonal(d, np.inf)
+    for held in (0, 1 << 22):
+        monkeypatch.setattr(density, "HELD", held)
+        for index in (0, 20, 298):
+            want, own, rounds = np.sort(d, 1)[:, index], ids[30:60], 0
+            lo = hi = np.zeros(30, np.int64)
+            while not rounds or (hi - lo != 1).any():
+                fold, rounds = density._Core(index, 300), rounds + 1
+                s = fold.start(density._Part(own, x[own], {"lo": lo, "hi": hi}))
+                for k in range(0, 300, 100):
+                    fold.meet(s, density._Part(ids[k : k + 100], x[k : k + 100], {}))
+                found = {i: (a, b) for i, a, b in zip(*[c.to_pylist() for c in fold.result(s).columns], strict=True)}
+                lo, hi = (np.array([found.get(i, (lo[k], hi[k]))[e] for k, i in enumerate(own)]) for e in (0, 1))
+                assert (lo <= want[own]).all() and (want[own] < hi).all() and rounds < 10
+            assert (lo == want[own]).all()
