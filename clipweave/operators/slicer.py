@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.operators.intervals import islands, points_in
 from clipweave.operators.selection import with_quantiles
+from clipweave.operators.written import written
 
 EPS = 1e-9
 #: A clip's legal length in seconds, with a millisecond of tolerance; lengths within PREFERRED weigh most.
@@ -60,8 +64,10 @@ def clip_weight(seconds: Column) -> Column:
 def legal_pairs(cuts: DataFrame, keys: list[str], shortest: float = SHORTEST, longest: float = LONGEST) -> DataFrame:
     """Pairs of cuts of one buffer at a legal distance: keys, start_id, end_id, start, end, seconds, weight.
 
-    A banded join on time buckets of the longest length: a cut meets those of its own and the next bucket only.
+    A banded join on time buckets of the longest length: a cut meets those of its own and the next bucket only. Cuts are written
+    first, else both sides would find them anew.
     """
+    cuts = written(cuts.select(*keys, "cut_id", "time"), "cuts")
     a = cuts.select(*keys, F.col("cut_id").alias("start_id"), F.col("time").alias("start"), F.floor(F.col("time") / longest).alias("_b"))
     b = cuts.select(*keys, F.col("cut_id").alias("end_id"), F.col("time").alias("end"), F.floor(F.col("time") / longest).alias("_b"))
     # The longest legal distance plus tolerance reaches at most two buckets on.
@@ -85,12 +91,12 @@ def schedule(start: np.ndarray, end: np.ndarray, weight: np.ndarray, max_overlap
     order = np.lexsort((start, end))
     s, e, w = start[order], end[order], weight[order]
     before = np.searchsorted(e, s + max_overlap + 1e-12, "right")
-    best = np.zeros(len(s) + 1)
-    take = np.zeros(len(s), bool)
-    for i in range(len(s)):
+    before, w = before.tolist(), w.tolist()
+    best, take = [0.0], []
+    for i in range(len(w)):
         with_it = w[i] + best[min(before[i], i)]
-        take[i] = with_it >= best[i] - 1e-12
-        best[i + 1] = max(with_it, best[i]) if not take[i] else with_it
+        take.append(with_it >= best[i] - 1e-12)
+        best.append(with_it if take[i] else max(with_it, best[i]))
     out, i = [], len(s)
     while i > 0:
         if take[i - 1]:
@@ -102,13 +108,38 @@ def schedule(start: np.ndarray, end: np.ndarray, weight: np.ndarray, max_overlap
 
 
 def schedule_clips(pairs: DataFrame, keys: list[str], max_overlap: float = 0.0) -> DataFrame:
-    """The best schedule of each buffer. A buffer is one trusted stretch of a recording, so its candidates fit in a task."""
+    """The best schedule of each buffer. A buffer is one trusted stretch of a recording, so its candidates fit in a task.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "start_id", "end_id"], ignore_index=True)
-        return pdf.iloc[schedule(pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf["weight"].to_numpy(), max_overlap)]
+    Most buffers have a few pairs, so a task takes its buffers one after the other from rows in order, not one by one as frames.
+    """
 
-    return pairs.groupBy(*keys).applyInPandas(one, pairs.schema)
+    def chosen(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        start, end, weight = (rows.column(c).to_numpy() for c in ("start", "end", "weight"))
+        taken = [lo + schedule(start[lo:hi], end[lo:hi], weight[lo:hi], max_overlap) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield from rows.take(pa.array(np.concatenate(taken))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = []  # batches of the last buffer so far, which may go on
+        key = lambda b, i: [repr(b.column(k)[i].as_py()) for k in keys]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = [b.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            cuts = (np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1).tolist()
+            if open_ and key(open_[-1], open_[-1].num_rows - 1) != key(b, 0):
+                yield from chosen(pa.Table.from_batches(open_), [0, sum(x.num_rows for x in open_)])
+                open_ = []
+            if cuts:
+                rows = pa.Table.from_batches([*open_, b.slice(0, cuts[-1])])
+                before = rows.num_rows - cuts[-1]
+                yield from chosen(rows, [0, *(before + c for c in cuts)])
+                open_ = []
+            open_.append(b.slice(cuts[-1] if cuts else 0))
+        if open_:
+            yield from chosen(pa.Table.from_batches(open_), [0, sum(x.num_rows for x in open_)])
+
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, "start", "end", "start_id", "end_id")
+    return ordered.mapInArrow(run, pairs.schema)
 
 
 def schedule_breaks(clips: DataFrame, keys: list[str], max_overlap: float = 0.0) -> DataFrame:
@@ -117,10 +148,10 @@ def schedule_breaks(clips: DataFrame, keys: list[str], max_overlap: float = 0.0)
     return clips.withColumn("over", F.lag("end").over(w) - F.col("start")).where(F.col("over") > max_overlap + 1e-9)
 
 
-def used_cutpoints(cuts: DataFrame, clips: DataFrame, keys: list[str]) -> DataFrame:
-    """The cuts that a schedule ends or begins at."""
-    ends = clips.select(*keys, F.col("start_id").alias("cut_id")).unionByName(clips.select(*keys, F.col("end_id").alias("cut_id")))
-    return cuts.join(ends, [*keys, "cut_id"], "left_semi")
+def used_cutpoints(clips: DataFrame, keys: list[str]) -> DataFrame:
+    """The cuts that a schedule ends or begins at, once each: keys, cut_id, time."""
+    ends = F.explode(F.array(F.struct(F.col("start_id").alias("cut_id"), F.col("start").alias("time")), F.struct(F.col("end_id").alias("cut_id"), F.col("end").alias("time"))))
+    return clips.select(*keys, ends.alias("c")).select(*keys, "c.*").distinct()
 
 
 def keep_order_clamp(words: DataFrame, keys: list[str]) -> DataFrame:

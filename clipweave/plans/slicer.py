@@ -117,7 +117,7 @@ def schedule_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def schedule_used_cutpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicer.used_cutpoints(cutpoints(spark, sf_dir), schedule(spark, sf_dir), ["user_id", "day"]).select("user_id", "day", "cut_id", "time")
+    return slicer.used_cutpoints(schedule(spark, sf_dir), ["user_id", "day"]).select("user_id", "day", "cut_id", "time")
 
 
 def greedy_sql(rows: str, key: str, score: str, id_col: str, most: float) -> str:
