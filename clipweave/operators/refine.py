@@ -58,23 +58,26 @@ def _means(rows: DataFrame, frames: DataFrame, keys: list[str], id_col: str, spa
 
 
 def _held(frames: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """Frames (keys, at, level) as one array per key and bucket of time: its own and the next bucket's, the last one before and the first one after."""
+    """Frames (keys, at, level) as two arrays, _at and _level, per key and bucket of time: its own and the next bucket's, the last one before and the first one after."""
     f = frames.where("level IS NOT NULL AND at IS NOT NULL").select(*keys, F.struct(F.col("at").cast("double").alias("at"), F.col("level").cast("double").alias("level")).alias("f"))
     held = f.groupBy(*keys, F.floor(F.col("f.at") / F.lit(width)).alias("_b")).agg(F.array_sort(F.collect_list("f")).alias("f"))
     own = Window.partitionBy(*keys).orderBy("_b")
     some = lambda x: F.array_compact(F.array(x))
     held = held.withColumns({"_before": F.lag(F.element_at("f", -1)).over(own), "_next_b": F.lead("_b").over(own), "_next": F.lead("f").over(own), "_third": F.lead(F.get("f", F.lit(0)), 2).over(own)})
     after = F.when(F.col("_next_b") == F.col("_b") + 1, F.concat("_next", some(F.col("_third")))).when(F.col("_next").isNotNull(), F.slice("_next", 1, 1)).otherwise(F.slice("f", 1, 0))
-    return held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_b", F.concat(some(F.col("_before")), "f", after).alias("_f"))
+    held = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_b", F.concat(some(F.col("_before")), "f", after).alias("_f"))
+    return held.select(*[f"_h_{k}" for k in keys], "_b", F.col("_f.at").alias("_at"), F.col("_f.level").alias("_level"))  # half as large as structs
 
 
 def _beside(rows: DataFrame, held: DataFrame, keys: list[str], lo: Column, hi: Column, width: float, measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """What ``measure`` adds to rows from the frames within [lo, hi], the last one before and the first one after, which it finds as array _f; and the rows for which
-    a bucket doesn't hold them: longer than one, or in a bucket without frames."""
+    a bucket doesn't hold them: longer than one, or in a bucket without frames. Frames never go through the driver: what they were gathered from, or are written as,
+    says little of their size, so a broadcast is ruled out."""
     same = F.col("_b") == F.floor(lo / F.lit(width))
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    met = rows.join(held, same, "left").drop("_b", *[f"_h_{k}" for k in keys])
+    met = rows.join(held.hint("merge"), same, "left").drop("_b", *[f"_h_{k}" for k in keys])
+    met = met.withColumn("_f", F.zip_with("_at", "_level", lambda at, level: F.struct(at.alias("at"), level.alias("level")))).drop("_at", "_level")
     within = F.filter("_f", lambda f: (f["at"] >= lo) & (f["at"] <= hi))
     ends = F.array_compact(F.array(F.try_element_at(F.filter("_f", lambda f: f["at"] < lo), F.lit(-1)), F.get(F.filter("_f", lambda f: f["at"] > hi), F.lit(0))))
     met = measure(met.withColumn("_f", F.when(hi - lo <= width, F.concat(within, ends))))
