@@ -84,10 +84,11 @@ def planned_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole planner: words and levels to boundaries scored by their quiet, greedy clips, and their refined bounds."""
     w, f = words(spark, sf_dir), levels(spark, sf_dir)
     b = written(rf.acoustic_boundaries(w, f, KEYS), "scored_gaps")
-    scored = w.select(*KEYS, "pos", "start", "end").join(b.select(*KEYS, "pos", "acoustic"), [*KEYS, "pos"], "left").withColumn("acoustic", F.coalesce("acoustic", F.lit(0.0)))
+    # Gaps are as many as words: they don't go through the driver, however small they are as written.
+    scored = w.select(*KEYS, "pos", "start", "end").join(b.select(*KEYS, "pos", "acoustic").hint("merge"), [*KEYS, "pos"], "left").withColumn("acoustic", F.coalesce("acoustic", F.lit(0.0)))
     scored = written(scored, "scored_words")
     clips = slicer.greedy_groups(scored, KEYS, "acoustic")
-    safe = slicer.boundary_candidates(scored, KEYS, "acoustic").select(*KEYS, F.col("pos").alias("last")).join(b.select(*KEYS, F.col("pos").alias("last"), F.col("g_start").alias("safe_start"), F.col("g_end").alias("safe_end")), [*KEYS, "last"])
+    safe = slicer.boundary_candidates(scored, KEYS, "acoustic").select(*KEYS, F.col("pos").alias("last")).join(b.select(*KEYS, F.col("pos").alias("last"), F.col("g_start").alias("safe_start"), F.col("g_end").alias("safe_end")).hint("merge"), [*KEYS, "last"])
     total = f.groupBy(*KEYS).agg(F.max("at").alias("total"))
-    planned = clips.join(safe, [*KEYS, "last"], "left").join(total, KEYS).withColumn("breath", F.lit(False))
+    planned = clips.join(safe.hint("merge"), [*KEYS, "last"], "left").join(total, KEYS).withColumn("breath", F.lit(False))
     return rf.refine(planned, f, KEYS).select(*KEYS, "clip", "start", "end", "training_start", "training_end", "mean_level", "flags")

@@ -148,3 +148,16 @@ def test_frames_stay_off_the_driver(spark, sf_dir, planned):
     assert catalogue.QUERIES["acoustic_boundaries"](spark, sf_dir).count()
     met = [plan for name, plan in planned[0] if name == "beside"]
     assert met and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in met)
+
+
+def test_gaps_of_the_planner_stay_off_the_driver(spark, sf_dir, planned, monkeypatch):
+    from clipweave.plans import catalogue, planner
+
+    monkeypatch.setattr(planner, "written", planned[1])
+    assert catalogue.QUERIES["planned_clips"](spark, sf_dir).count()
+    plans = {}
+    for name, plan in planned[0]:
+        plans.setdefault(name, []).append(plan)
+    assert {"scored_gaps", "scored_words", "planned", "beside"} <= set(plans)
+    assert all("BroadcastHashJoin" not in plan for name in ("scored_gaps", "scored_words", "beside") for plan in plans[name])
+    assert all(plan.count("BroadcastHashJoin") <= 1 for plan in plans["planned"])  # the turns' lengths
