@@ -100,6 +100,9 @@ def suppress(rows: DataFrame, keys: list[str], score: str, id_col: str, most: fl
     A row waits for better ones that it shares so much with, and is decided once they are. A task decides what touches one block of a key's time, as far as
     that goes without its neighbours; rows over a border are kept once all blocks that they touch clear them. Further rounds take only blocks with rows that
     wait, so rounds follow how often a chain of such rows crosses borders. ``id_col`` is distinct within a key; keys aren't null.
+
+    A block's rows come together by their hash, not by the columns that the join below has: Spark would drop such a repartition after a join that shuffles, and then
+    deal the rows anew, block or not, where it turns that join into a broadcast at run time.
     """
     place = lambda c: F.floor(F.col(c) / F.lit(float(block)))
     kind = rows.schema[id_col].dataType.simpleString()
@@ -107,10 +110,13 @@ def suppress(rows: DataFrame, keys: list[str], score: str, id_col: str, most: fl
     state = written(state.withColumn("_at", F.sequence(place("_s"), F.greatest(place("_e"), place("_s")))).withColumn("_blocks", F.size("_at")), "suppress")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields) + f", _id {kind}, _says int"
 
+    first = True
     while True:
         touched = state.withColumn("_block", F.explode("_at"))
-        open_ = touched.where("NOT _kept").select(*keys, "_block").distinct()
-        block_rows = touched.join(open_, [*keys, "_block"], "left_semi").repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", F.desc("_score"), "_s", "_id")
+        if not first:  # at first all blocks are open
+            touched = touched.join(touched.where("NOT _kept").select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
+        first = False
+        block_rows = touched.repartition(F.xxhash64(*keys, "_block")).sortWithinPartitions(*keys, "_block", F.desc("_score"), "_s", "_id")
         says = block_rows.select(*keys, "_block", "_id", "_s", "_e", "_kept", "_blocks").mapInArrow(_by_block(len(keys), most), schema)
         says = says.groupBy(*keys, "_id").agg(F.max("_says").alias("_most"), F.min("_says").alias("_least"))
         told = state.join(says, [*keys, "_id"], "left").where(F.col("_kept") | (F.col("_most") != _OUT))

@@ -39,6 +39,24 @@ def test_suppress_a_chain_over_every_border(spark):
     assert cd.suppress(spark.createDataFrame([], ROWS), ["rec"], "score", "id", 0.6).count() == 0
 
 
+def test_suppress_keeps_blocks_whole_where_joins_change(spark):
+    # Many rows and few that wait: the join that finds their blocks is a shuffle by Spark's guess, but a broadcast once the blocks are counted.
+    rnd = random.Random(9)
+    rows = [(f"r{r}", f"{rnd.getrandbits(128):032x}", 20.0 * k, 20.0 * k + 3.0, 0.5) for r in range(150) for k in range(40)]
+    rows += [(f"c{c}", f"{k:03}{rnd.getrandbits(128):032x}", 1.0 * k, 1.0 * k + 3.0, 1.0 - k / 100) for c in range(4) for k in range(40)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = cd.suppress(spark.createDataFrame(rows, ROWS).repartition(4), ["rec"], "score", "id", 0.6, block=10.0)
+        got = sorted((r.rec, r.id) for r in got.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(x for rec in {r[0] for r in rows} for x in plain_suppress([r for r in rows if r[0] == rec], 0.6))
+
+
 def test_window_text_reads_parts_of_a_token_once(spark):
     words = [("r", 0, 1.0, 1.2, "a", "a1"), ("r", 1, 1.2, 1.4, "b", None), ("r", 2, 1.4, 1.5, "New-York", "t"), ("r", 3, 1.5, 1.6, "New-York", "t"), ("r", 4, 9.9, 12.0, "late", ""), ("r", 5, 10.0, 10.1, "late", "")]
     w = spark.createDataFrame(words, "rec string, pos long, start double, end double, word string, token string")
