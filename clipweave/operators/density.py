@@ -120,25 +120,37 @@ class _Core:
 
 
 class _Outgoing:
-    """A point's least edge to another component: by mutual reachability, then by the ids of its ends."""
+    """A point's least edge to another component: by mutual reachability, then by the ids of its ends.
+
+    No edge is shorter than the core distance at its end. So a point whose edge is as short as that looks only for smaller ids, and one whose core distance is over the
+    best edge of its component in the block looks no further: it may tell a longer edge than its least, or none, but never where that is its component's least.
+    """
 
     schema, needs = "comp long, reach double, lo long, hi long, other long", ("core", "comp")
 
     def start(self, own: _Part) -> dict:
         n = len(own.id)
-        return {"own": own, "reach": np.full(n, np.inf), "to": np.full(n, np.iinfo(np.int64).max), "other": np.zeros(n, np.int64)}
+        comps, group = np.unique(own.more["comp"], return_inverse=True)
+        return {"own": own, "reach": np.full(n, np.inf), "to": np.full(n, np.iinfo(np.int64).max), "other": np.zeros(n, np.int64), "group": group, "best": np.full(len(comps), np.inf)}
 
     def meet(self, s: dict, guests: _Part) -> None:
-        own = s["own"]
-        reach = own.squared_distances(guests)  # guests rise by id, so ties go to the smaller one
+        core = s["own"].more["core"]
+        open_ = (core <= s["best"][s["group"]]) & ((core < s["reach"]) | (guests.id[0] < s["to"]))  # guests rise by id
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            return
+        own = s["own"] if len(rows) == len(core) else s["own"].at(rows)
+        reach = own.squared_distances(guests)  # ties go to the smaller id
         np.maximum(reach, own.more["core"][:, None], out=reach)
         np.maximum(reach, guests.more["core"], out=reach)
         reach[own.more["comp"][:, None] == guests.more["comp"]] = np.inf
         j = reach.argmin(1)
         least = reach[np.arange(len(j)), j]
-        better = (least < s["reach"]) | (np.isfinite(least) & (least == s["reach"]) & (guests.id[j] < s["to"]))
-        for name, found in (("reach", least), ("to", guests.id[j]), ("other", guests.more["comp"][j])):
-            s[name] = np.where(better, found, s[name])
+        better = np.flatnonzero((least < s["reach"][rows]) | (np.isfinite(least) & (least == s["reach"][rows]) & (guests.id[j] < s["to"][rows])))
+        at, j = rows[better], j[better]
+        for name, found in (("reach", least[better]), ("to", guests.id[j]), ("other", guests.more["comp"][j])):
+            s[name][at] = found
+        np.minimum.at(s["best"], s["group"][at], s["reach"][at])
 
     def result(self, s: dict) -> pa.RecordBatch:
         fine = np.isfinite(s["reach"])

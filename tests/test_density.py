@@ -117,3 +117,33 @@ def test_ranges_narrow_to_the_distance(monkeypatch):
                 lo, hi = (np.array([found.get(i, (lo[k], hi[k]))[e] for k, i in enumerate(own)]) for e in (0, 1))
                 assert (lo <= want[own]).all() and (want[own] < hi).all() and rounds < 10
             assert (lo == want[own]).all()
+
+
+@pytest.mark.parametrize("comps", [600, 5])
+def test_edges_are_sought_only_where_they_may_be_shorter(monkeypatch, comps):
+    rng = np.random.default_rng(comps)
+    x = rng.normal(0, 1, (600, 8)) + 4 * np.eye(8)[rng.integers(0, 5, 600)]
+    x[:20] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, comp = np.arange(600), rng.permutation(600) % comps
+    d = density._Part(ids, x, {}).squared_distances(density._Part(ids, x, {}))
+    core = np.sort(d, 1)[:, 60]
+    reach = np.maximum(np.maximum(core[:, None], core), d)
+    least = {}
+    for a in range(600):
+        for b in np.flatnonzero(comp != comp[a]):
+            least[comp[a]] = min(least.get(comp[a], (np.inf,)), (reach[a, b] / density.SCALE, min(a, b), max(a, b), comp[b]))
+    pairs, plain_distances = [], density._Part.squared_distances
+    monkeypatch.setattr(density._Part, "squared_distances", lambda own, other: pairs.append(len(own.id) * len(other.id)) or plain_distances(own, other))
+    blocks = [np.flatnonzero(ids % 3 == k) for k in range(3)]
+    part = lambda rows: density._Part(ids[rows], x[rows], {"core": core[rows], "comp": comp[rows]})
+    got = {}
+    for own in blocks:
+        s = density._Outgoing().start(part(own))
+        for guests in blocks:
+            for k in range(0, len(guests), 20):
+                density._Outgoing().meet(s, part(guests[k : k + 20]))
+        for c, *edge in zip(*[c.to_pylist() for c in density._Outgoing().result(s).columns], strict=True):
+            got[c] = min(got.get(c, (np.inf,)), tuple(edge))
+    assert got == least
+    assert sum(pairs) < 0.6 * 600 * 600
